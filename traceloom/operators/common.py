@@ -41,3 +41,19 @@ def top_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int
     from pyspark.sql import Window
     w = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= n).drop("_rn")
+
+
+def parsed_rows(df: DataFrame, carry: Sequence[str], required: Sequence[str], **fields: Column) -> DataFrame:
+    """Parse each row once and keep it when all ``required`` fields were found.
+
+    A plain filter above the parsing would be pushed below it and repeat every
+    pattern; a generator with zero or one row is evaluated once and stays put.
+    """
+    def whole(r: Column) -> Column:
+        ok = F.lit(True)
+        for n in required:
+            ok = ok & r[n].isNotNull()
+        return ok
+
+    one = F.struct(*[c.alias(n) for n, c in fields.items()])
+    return df.select(*carry, F.inline(F.filter(F.array(one), whole)))

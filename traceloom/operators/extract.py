@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from traceloom.functions import cdm
 from traceloom.functions import edge_text as T
-from traceloom.operators.common import first_rows
+from traceloom.operators.common import first_rows, parsed_rows
 from traceloom.operators.filters import REVERSE_TYPES
 
 FIELDS = ("source", "dest", "action", "timestamp")
@@ -81,9 +81,11 @@ def match_patterns(line: Column, patterns: Sequence[dict]) -> Column:
         def unquote(c: Column) -> Column:
             return F.regexp_replace(c, "^[\"']+|[\"']+$", "")
 
-        pairs = F.flatten(F.transform(srcs, lambda s, d=dsts, a=act, t=ts: F.transform(d, lambda x: F.struct(
-            unquote(s).alias("src"), unquote(x).alias("dst"), unquote(a).alias("action"), t.alias("ts")))))
-        found.append(F.when(s_ok & d_ok & a_ok & t_ok, pairs).otherwise(F.array().cast(EDGE)))
+        def cross(srcs: Column, dsts: Column, act: Column, ts: Column) -> Column:
+            return F.flatten(F.transform(srcs, lambda s: F.transform(dsts, lambda d: F.struct(
+                unquote(s).alias("src"), unquote(d).alias("dst"), unquote(act).alias("action"), ts.alias("ts")))))
+
+        found.append(F.when(s_ok & d_ok & a_ok & t_ok, cross(srcs, dsts, act, ts)).otherwise(F.array().cast(EDGE)))
     return F.array_distinct(F.flatten(F.array(*found)))
 
 
@@ -259,10 +261,9 @@ def cdm_nodes(logs: DataFrame, mode: str = "lenient", seq: str = "log_idx") -> D
     """
     line = F.col("line")
     prop = cdm.strict_property(line) if mode == "strict" else cdm.lenient_property(line)
-    rows = (logs.filter(F.contains(line, F.lit(cdm.CDM)))
-            .select(cdm.node_uuid(line).alias("uuid"), cdm.node_kind(line).alias("kind"), prop.alias("property"),
-                    F.col(seq).alias("_seq"))
-            .filter("uuid IS NOT NULL AND kind IS NOT NULL AND property IS NOT NULL"))
+    nodes = logs.filter(F.contains(line, F.lit(cdm.CDM)) & ~cdm.is_record(line, "Event"))
+    rows = parsed_rows(nodes, [F.col(seq).alias("_seq")], ["uuid", "kind", "property"], uuid=cdm.node_uuid(line),
+                       kind=cdm.node_kind(line), property=prop)
     last = first_rows(rows, ["uuid", "kind"], ["_seq"], last=True)
     return last.select("uuid", "kind", "property", F.sha2("property", 256).alias("node"), F.col("_seq").alias("seq"))
 
@@ -270,9 +271,9 @@ def cdm_nodes(logs: DataFrame, mode: str = "lenient", seq: str = "log_idx") -> D
 def cdm_events(logs: DataFrame) -> DataFrame:
     line = F.col("line")
     ev = logs.filter(cdm.is_record(line, "Event") & ~F.contains(line, F.lit("EVENT_FLOWS_TO")))
-    return ev.select("log_idx", cdm.timestamp_ns(line).alias("ts_ns"), cdm.uuid_of(line, "subject").alias("subject"),
-                     cdm.uuid_of(line, "predicateObject").alias("object"), cdm.record_type(line).alias("action"),
-                     ).filter("ts_ns IS NOT NULL AND subject IS NOT NULL AND object IS NOT NULL AND action IS NOT NULL")
+    fields = dict(ts_ns=cdm.timestamp_ns(line), subject=cdm.uuid_of(line, "subject"),
+                  object=cdm.uuid_of(line, "predicateObject"), action=cdm.record_type(line))
+    return parsed_rows(ev, ["log_idx"], list(fields), **fields)
 
 
 def resolve_nodes(events: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -305,8 +306,7 @@ def cdm_node_types(logs: DataFrame, seq: str = "log_idx") -> DataFrame:
     kind = cdm.record_type(line)
     for k in cdm.UNTYPED_KINDS:
         kind = F.coalesce(kind, F.when(F.contains(line, F.lit(cdm.CDM + k)), F.lit(k)))
-    rows = logs.filter(~skip).select(cdm.node_uuid(line).alias("uuid"), kind.alias("type"), F.col(seq).alias("_seq"))
-    rows = rows.filter("uuid IS NOT NULL AND type IS NOT NULL")
+    rows = parsed_rows(logs.filter(~skip), [F.col(seq).alias("_seq")], ["uuid", "type"], uuid=cdm.node_uuid(line), type=kind)
     return rows.groupBy("uuid").agg(F.max_by("type", "_seq").alias("type"))
 
 
@@ -318,10 +318,10 @@ def typed_edges(logs: DataFrame, types: DataFrame) -> DataFrame:
         u = cdm.uuid_of(line, key)
         return F.when(u != "null", u)
 
-    ev = logs.filter(F.contains(line, F.lit(cdm.CDM + "Event"))).select(
-        "log_idx", cdm.uuid_of(line, "subject").alias("actor"), cdm.record_type(line).alias("action"),
-        cdm.timestamp_ns(line).alias("ts_ns"),
-        F.explode(F.array_compact(F.array(real("predicateObject"), real("predicateObject2")))).alias("object"))
+    ev = parsed_rows(logs.filter(F.contains(line, F.lit(cdm.CDM + "Event"))), ["log_idx"], ["actor"],
+                     actor=cdm.uuid_of(line, "subject"), action=cdm.record_type(line), ts_ns=cdm.timestamp_ns(line),
+                     _o=F.array_compact(F.array(real("predicateObject"), real("predicateObject2"))))
+    ev = ev.select("*", F.explode("_o").alias("object"))
     a = types.select(F.col("uuid").alias("actor"), F.col("type").alias("actor_type"))
     o = types.select(F.col("uuid").alias("object"), F.col("type").alias("object_type"))
     return ev.join(a, "actor").join(o, "object").select("log_idx", "actor", "actor_type", "object", "object_type", "action", "ts_ns")
@@ -329,23 +329,22 @@ def typed_edges(logs: DataFrame, types: DataFrame) -> DataFrame:
 
 def event_attributes(logs: DataFrame) -> DataFrame:
     """Command line and object path per (actor, object, action, time), from the full JSON."""
-    ev = f"$.datum['{cdm.CDM}Event']"
-    line = F.col("line")
-
-    def j(path: str) -> Column:
-        return F.get_json_object(line, ev + path)
-
-    uid = f"['{cdm.CDM}UUID']"
-    rows = logs.filter(F.contains(line, F.lit("EVENT"))).select(
-        j(".subject" + uid).alias("actor"), j(".type").alias("action"), j(".timestampNanos").cast("long").alias("ts_ns"),
-        F.coalesce(j(".properties.map.cmdLine"), F.lit("")).alias("exec"),
-        F.explode(F.array(
-            F.struct(j(".predicateObject" + uid).alias("object"),
-                     F.coalesce(j(".predicateObjectPath.string"), F.lit("")).alias("path")),
-            F.struct(j(".predicateObject2" + uid).alias("object"),
-                     F.coalesce(j(".predicateObject2Path.string"), F.lit("")).alias("path")))).alias("o"))
-    return rows.select("actor", F.col("o.object").alias("object"), "action", "ts_ns", "exec", F.col("o.path").alias("path")
-                       ).filter("actor IS NOT NULL AND object IS NOT NULL AND action IS NOT NULL")
+    uid = f"struct<`{cdm.CDM}UUID`:string>"
+    schema = (f"struct<datum:struct<`{cdm.CDM}Event`:struct<subject:{uid},type:string,timestampNanos:bigint,"
+              f"properties:struct<map:struct<cmdLine:string>>,predicateObject:{uid},predicateObjectPath:struct<string:string>,"
+              f"predicateObject2:{uid},predicateObject2Path:struct<string:string>>>>")
+    ev = F.from_json("line", schema)["datum"][cdm.CDM + "Event"]
+
+    def target(r: Column, which: str) -> Column:
+        return F.struct(r[which][cdm.CDM + "UUID"].alias("object"),
+                        F.coalesce(r[which + "Path"]["string"], F.lit("")).alias("path"))
+
+    rows = parsed_rows(logs.filter(F.contains(F.col("line"), F.lit("EVENT"))), [], ["ev"], ev=ev)
+    rows = rows.select(
+        F.col("ev.subject")[cdm.CDM + "UUID"].alias("actor"), F.col("ev.type").alias("action"),
+        F.col("ev.timestampNanos").alias("ts_ns"), F.coalesce("ev.properties.map.cmdLine", F.lit("")).alias("exec"),
+        F.inline(F.array(target(F.col("ev"), "predicateObject"), target(F.col("ev"), "predicateObject2"))))
+    return rows.filter("actor IS NOT NULL AND object IS NOT NULL AND action IS NOT NULL")
 
 
 def add_event_attributes(edges: DataFrame, logs: DataFrame) -> DataFrame:

@@ -2,5 +2,6 @@
 
 from traceloom.plans.catalog import (  # noqa: F401
     cleaning,
+    extract,
 )
 from traceloom.plans.registry import all_queries, all_sql  # noqa: F401
