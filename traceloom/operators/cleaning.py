@@ -16,7 +16,8 @@ def parse_edge_lines(lines: DataFrame, line: str = "line") -> DataFrame:
 
 
 def _explode_action(e: DataFrame, parts: Column) -> DataFrame:
-    return e.select(*[c for c in e.columns if c != "action"], F.posexplode(parts).alias("part_no", "action"))
+    return e.select(*[c for c in e.columns if c != "action"], F.posexplode_outer(parts).alias("part_no", "action")
+                    ).filter("action IS NOT NULL")
 
 
 def split_multi_actions(e: DataFrame) -> DataFrame:

@@ -47,7 +47,8 @@ def parsed_rows(df: DataFrame, carry: Sequence[str], required: Sequence[str], **
     """Parse each row once and keep it when all ``required`` fields were found.
 
     A plain filter above the parsing would be pushed below it and repeat every
-    pattern; a generator with zero or one row is evaluated once and stays put.
+    pattern; a generator with zero or one row is evaluated once and stays put. The
+    outer form also keeps Spark from adding a pushed-down size test on its input.
     """
     def whole(r: Column) -> Column:
         ok = F.lit(True)
@@ -56,4 +57,4 @@ def parsed_rows(df: DataFrame, carry: Sequence[str], required: Sequence[str], **
         return ok
 
     one = F.struct(*[c.alias(n) for n, c in fields.items()])
-    return df.select(*carry, F.inline(F.filter(F.array(one), whole)))
+    return df.select(*carry, F.inline_outer(F.filter(F.array(one), whole))).filter(F.col(required[0]).isNotNull())

@@ -114,7 +114,10 @@ def merge_repeats(edges: Column, smart: bool) -> Column:
         return F.struct(s.alias("s"), d.alias("d"))
 
     def merged(k: Column) -> Column:
-        same = F.filter(edges, lambda e: key(e) == k)
+        # a one-element array binds the group, so that it is filtered only once
+        return F.get(F.transform(F.array(F.filter(edges, lambda e: key(e) == k)), one_edge), F.lit(0))
+
+    def one_edge(same: Column) -> Column:
         words = F.array_distinct(F.flatten(F.transform(same, lambda e: F.split(T.trim_all(e["action"]), r"\s+"))))
         text = F.array_join(F.array_sort(F.transform(words, F.lower)), " ")
         one = F.get(same, F.lit(0))
@@ -124,11 +127,8 @@ def merge_repeats(edges: Column, smart: bool) -> Column:
     return F.transform(F.array_distinct(F.transform(edges, key)), merged)
 
 
-def tidy_edges(edges: Column, merge: str | None, builtin_ids: bool) -> Column:
-    """The ordered clean-up of one log's edges up to name resolution.
-
-    ``merge`` is None, 'plain' or 'smart'. The order of steps is part of the result.
-    """
+def tidy_edges(edges: Column, builtin_ids: bool) -> Column:
+    """The ordered clean-up of one log's edges; the order of steps is part of the result."""
     keep = F.filter
     e = _split(edges, T.action_lines)
     e = _each(e, action=T.strip_action_marks)
@@ -146,16 +146,13 @@ def tidy_edges(edges: Column, merge: str | None, builtin_ids: bool) -> Column:
         e = _each(e, action=T.http_only)
     e = F.array_distinct(e)
     e = keep(e, lambda x: T.ends_not_empty(x["src"], x["dst"]))
-    e = keep(e, lambda x: T.ends_not_integer(x["src"], x["dst"]))
-    if merge:
-        e = merge_repeats(e, merge == "smart")
-    return keep(e, lambda x: T.not_self_loop(x["src"], x["dst"]))
+    return keep(e, lambda x: T.ends_not_integer(x["src"], x["dst"]))
 
 
 def final_checks(edges: Column, names: Column | None) -> Column:
     """Filters that compare an edge with its own log: entity names, times and other ends."""
     keep = F.filter
-    e = edges
+    e = keep(edges, lambda x: T.not_self_loop(x["src"], x["dst"]))
     if names is not None:
         e = keep(e, lambda x: ~(F.array_contains(names, x["src"]) | F.array_contains(names, x["dst"]) |
                                 F.array_contains(names, x["action"])))
@@ -192,17 +189,22 @@ def extract_edges(logs: DataFrame, patterns: Sequence[dict], name_patterns: Sequ
     """Log lines to clean edges: ``log_idx, source_id, source_name, dest_id, dest_name, action, timestamp``.
 
     Log types without ids of their own (``builtin_ids=False``) carry the names in
-    the name columns and leave the id columns null. One narrow stage throughout.
+    the name columns and leave the id columns null. ``merge`` is None, 'plain' or
+    'smart'. One narrow stage throughout.
     """
     carry = [c for c in logs.columns if c != "line"]
-    raw = logs.select("*", tidy_edges(match_patterns(F.col("line"), patterns), merge, builtin_ids).alias("_e"))
+    raw = logs.select("*", tidy_edges(match_patterns(F.col("line"), patterns), builtin_ids).alias("_e"))
+    if merge:
+        raw = raw.withColumn("_e", merge_repeats(F.col("_e"), merge == "smart"))
     if builtin_ids and name_patterns:
         raw = raw.withColumn("_n", name_pairs(F.col("line"), name_patterns))
-        raw = raw.withColumn("_e", final_checks(F.col("_e"), F.transform("_n", lambda p: p["name"])))
+        raw = raw.withColumn("_names", F.transform("_n", lambda p: p["name"]))
+        raw = raw.withColumn("_e", final_checks(F.col("_e"), F.col("_names")))
     else:
         raw = raw.withColumn("_n", F.array().cast("array<struct<entity:string,name:string>>"))
         raw = raw.withColumn("_e", final_checks(F.col("_e"), None))
-    rows = raw.withColumn("_e", without_end_actions(F.col("_e"))).select(*carry, "_n", F.explode("_e").alias("_x"))
+    rows = raw.withColumn("_e", without_end_actions(F.col("_e"))).select(
+        *carry, "_n", F.explode_outer("_e").alias("_x")).filter("_x IS NOT NULL")
 
     def name_of(end: str) -> Column:
         hits = F.filter("_n", lambda p: p["entity"] == F.col(end))
