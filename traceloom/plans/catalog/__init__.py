@@ -1,7 +1,10 @@
 """All registered queries; importing a module registers its entries."""
 
 from traceloom.plans.catalog import (  # noqa: F401
+    aggregates,
     cleaning,
     extract,
+    lookups,
+    windows,
 )
 from traceloom.plans.registry import all_queries, all_sql  # noqa: F401
