@@ -5,6 +5,7 @@ from traceloom.plans.catalog import (  # noqa: F401
     cleaning,
     extract,
     lookups,
+    metrics,
     windows,
 )
 from traceloom.plans.registry import all_queries, all_sql  # noqa: F401
