@@ -78,9 +78,33 @@ def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(sq, 0.0))
 
 
-def _packed(df: DataFrame, keys: list[str], ident: str, out: str) -> DataFrame:
-    """Blocks of vectors as one row each; a block holds at most a few thousand rows by construction."""
-    return df.groupBy(*keys).agg(F.collect_list(F.struct(F.col(ident).alias("id"), F.col("v"))).alias(out))
+def _blocks(df: DataFrame, keys: list[str], ident: str, rows: int, out: str) -> DataFrame:
+    """Pack vectors into one row per block of about ``rows``; a heavy key gets as many blocks as it needs."""
+    parts = df.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / rows).alias("_parts"))
+    d = df.join(parts, keys).withColumn("_part", F.pmod(F.xxhash64(F.col(ident).cast("string")), F.col("_parts")))
+    return d.groupBy(*keys, "_part").agg(F.collect_list(F.struct(F.col(ident).alias("id"), F.col("v"))).alias(out)).drop("_part")
+
+
+def _search(pairs: DataFrame, k: int, qkind: str, tkind: str) -> DataFrame:
+    """The k nearest of each query within each pair of blocks: (qid, tid, distance)."""
+    def run(batches):
+        for pdf in batches:
+            for qs, ts in zip(pdf["qs"], pdf["ts"]):
+                qm, tm = _matrix([x["v"] for x in qs]), _matrix([x["v"] for x in ts])
+                tids = np.array([x["id"] for x in ts])
+                d = _distances(qm, tm)
+                m = min(k, len(ts))
+                # a few spare rows, as the product form is less exact than the final distance
+                spare = min(m + 8, len(ts))
+                near = np.argpartition(d, spare - 1, axis=1)[:, :spare]
+                rows = []
+                for i, cand in enumerate(near):
+                    exact = np.sqrt(((tm[cand] - qm[i]) ** 2).sum(1))
+                    for j in np.lexsort((tids[cand], exact))[:m]:
+                        rows.append((qs[i]["id"], tids[cand[j]], float(exact[j])))
+                yield pd.DataFrame(rows, columns=["qid", "tid", "distance"])
+
+    return pairs.select("qs", "ts").mapInPandas(run, f"qid {qkind}, tid {tkind}, distance double")
 
 
 def nearest(queries: DataFrame, train: DataFrame, k: int, ident: str = "id", block_rows: int = 4096,
@@ -134,33 +158,12 @@ def nearest(queries: DataFrame, train: DataFrame, k: int, ident: str = "id", blo
     qkind = queries.schema[ident].dataType.simpleString()
     q = queries.select(ident, "v").mapInPandas(
         visit, f"{ident} {qkind}, v array<double>, cells array<struct<cell:int,sub:int>>")
-    salt = F.xxhash64(F.col(ident).cast("string"))
-    q = q.select(ident, "v", F.inline("cells"))
-    # one row per block of the searched side
-    load = q.groupBy("cell", "sub").agg(F.ceil(F.count(F.lit(1)) / query_rows).alias("_parts"))
-    q = cut(q.join(load, ["cell", "sub"]).withColumn("part", F.pmod(salt, F.col("_parts"))).drop("_parts"))
+    q = cut(q.select(ident, "v", F.inline("cells")))
     per_cell = F.element_at(F.create_map(*[F.lit(x) for c, s in zip(ids, subs) for x in (int(c), int(s))]), F.col("cell"))
-    t = t.withColumn("sub", F.pmod(salt, per_cell).cast("int"))
-    pairs = _packed(q, ["cell", "sub", "part"], ident, "qs").join(_packed(t, ["cell", "sub"], ident, "ts"), ["cell", "sub"])
-
-    def search(batches):
-        for pdf in batches:
-            for qs, ts in zip(pdf["qs"], pdf["ts"]):
-                qm, tm = _matrix([x["v"] for x in qs]), _matrix([x["v"] for x in ts])
-                tids = np.array([x["id"] for x in ts])
-                d = _distances(qm, tm)
-                m = min(k, len(ts))
-                # a few spare rows, as the product form is less exact than the final distance
-                near = np.argpartition(d, min(m + 8, len(ts)) - 1, axis=1)[:, :min(m + 8, len(ts))]
-                rows = []
-                for i, cand in enumerate(near):
-                    exact = np.sqrt(((tm[cand] - qm[i]) ** 2).sum(1))
-                    for j in np.lexsort((tids[cand], exact))[:m]:
-                        rows.append((qs[i]["id"], tids[cand[j]], float(exact[j])))
-                yield pd.DataFrame(rows, columns=["qid", "tid", "distance"])
-
-    hits = pairs.select("qs", "ts").mapInPandas(search, f"qid {qkind}, tid {kind}, distance double")
-    return top_rows(hits, ["qid"], [F.col("distance"), F.col("tid")], k)
+    t = t.withColumn("sub", F.pmod(F.xxhash64(F.col(ident).cast("string")), per_cell).cast("int"))
+    packed = t.groupBy("cell", "sub").agg(F.collect_list(F.struct(F.col(ident).alias("id"), F.col("v"))).alias("ts"))
+    pairs = _blocks(q, ["cell", "sub"], ident, query_rows, "qs").join(packed, ["cell", "sub"])
+    return top_rows(_search(pairs, k, qkind, kind), ["qid"], [F.col("distance"), F.col("tid")], k)
 
 
 def knn_scores(train: DataFrame, test: DataFrame, k: int = 10, ident: str = "id", max_train_sample: int = 50_000) -> DataFrame:
@@ -180,69 +183,94 @@ def knn_scores(train: DataFrame, test: DataFrame, k: int = 10, ident: str = "id"
     return out.select(ident, (F.col("_d") / F.col("_base")).alias("score"))
 
 
-def most_similar(queries: DataFrame, typed: DataFrame, ident: str = "id", rtol: float = 1e-9, atol: float = 1e-8) -> DataFrame:
-    """Best cosine match per query with all tied candidates: (qid, tid, similarity, n_candidates).
+def _unit_groups(df: DataFrame, ident: str) -> tuple[DataFrame, DataFrame]:
+    """Unit vectors, and one row per distinct vector: (grp, v, copies). ``grp`` is the smallest id."""
+    unit = df.select(ident, F.transform(V.l2_normalized(F.col("v")), lambda x: F.round(x, 10)).alias("v"))
+    return unit, unit.groupBy("v").agg(F.min(ident).alias("grp"), F.count(F.lit(1)).alias("copies"))
 
-    Equal vectors are searched once and their holders joined back, so groups of
-    copies cost one search. One row per tied candidate is returned.
+
+def similar_groups(queries: DataFrame, typed: DataFrame, ident: str = "id", rtol: float = 1e-9,
+                   atol: float = 1e-8) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Best cosine matches between groups of equal vectors.
+
+    Returns (query members, typed members, tied pairs). Members are (id, grp); pairs
+    are (qgrp, tgrp, similarity, copies), every typed group within the tolerance of
+    the best. Copies are searched once and never multiplied out.
     """
-    def unit(df: DataFrame) -> DataFrame:
-        return df.select(ident, F.transform(V.l2_normalized(F.col("v")), lambda x: F.round(x, 10)).alias("v"))
-
-    t, q = unit(typed), unit(queries)
-    tv = t.groupBy("v").agg(F.min(ident).alias(ident), F.count(F.lit(1)).alias("_copies"))
-    qv = q.groupBy("v").agg(F.min(ident).alias(ident))
-    # neighbours are asked for until the last one found is no longer tied
-    k = 4
-    total = tv.count()
-    while True:
-        hits = cut(nearest(qv, tv.select(ident, "v"), min(k, total), ident))
+    qu, qg = _unit_groups(queries, ident)
+    tu, tg = _unit_groups(typed, ident)
+    qg, tg = cut(qg), cut(tg)
+    q_in, t_in = (d.select(F.col("grp").alias(ident), "v") for d in (qg, tg))
+    total, k = tg.count(), 4
+    while True:  # ask for more neighbours until the last one found is no longer tied
+        hits = cut(nearest(q_in, t_in, min(k, total), ident))
         sims = hits.withColumn("similarity", 1 - F.col("distance") * F.col("distance") / 2)
         sims = with_group_stats(sims, ["qid"], F.max("similarity").alias("_best"), F.min("similarity").alias("_worst"))
-        tied = F.abs(F.col("similarity") - F.col("_best")) <= atol + rtol * F.abs("_best")
-        open_end = F.abs(F.col("_worst") - F.col("_best")) <= atol + rtol * F.abs("_best")
-        if k >= total or sims.filter(open_end).isEmpty():
+        if k >= total or sims.filter(F.abs(F.col("_worst") - F.col("_best")) <= atol + rtol * F.abs("_best")).isEmpty():
             break
         k *= 4
-    sims = sims.filter(tied).select("qid", "tid", "similarity")
-    # vector representatives back to all their holders
-    q_all = q.join(qv.withColumnRenamed(ident, "qid"), "v").select(F.col(ident).alias("_q"), "qid")
-    t_all = t.join(tv.select(F.col(ident).alias("tid"), "v"), "v").select(F.col(ident).alias("_t"), "tid")
-    copies = tv.select(F.col(ident).alias("tid"), "_copies")
-    n = sims.join(copies, "tid").groupBy("qid").agg(F.sum("_copies").alias("n_candidates"))
-    return (sims.join(n, "qid").join(q_all, "qid").join(t_all, "tid")
-            .select(F.col("_q").alias("qid"), F.col("_t").alias("tid"), "similarity", "n_candidates"))
-
-
-def best_matches(candidates: DataFrame) -> DataFrame:
-    """One candidate per query: the first id among the tied ones."""
-    return candidates.groupBy("qid").agg(F.min("tid").alias("tid"), F.max("similarity").alias("similarity"),
-                                         F.max("n_candidates").alias("n_candidates"))
-
-
-def break_ties(candidates: DataFrame, query_names: DataFrame, typed_names: DataFrame, name_vectors: DataFrame,
-               known_types: DataFrame, floor: float = 0.99) -> DataFrame:
-    """Choose among tied candidates by the best similarity of entity names.
-
-    ``query_names(qid, name)``, ``typed_names(tid, name)``, ``name_vectors(name, v)``,
-    ``known_types(name)`` lists names with a known type. Names of a query are
-    compared only with the names of its own tied candidates, and names are reduced
-    to distinct pairs first. Queries without a usable name keep the first candidate.
+    tied = sims.filter(F.abs(F.col("similarity") - F.col("_best")) <= atol + rtol * F.abs("_best"))
+    pairs = tied.join(tg.select(F.col("grp").alias("tid"), "copies"), "tid").select(
+        F.col("qid").alias("qgrp"), F.col("tid").alias("tgrp"), "similarity", "copies")
+    members = [u.join(g.select("v", "grp"), "v").select(ident, "grp") for u, g in ((qu, qg), (tu, tg))]
+    return members[0], members[1], pairs
+
+
+def most_similar(queries: DataFrame, typed: DataFrame, ident: str = "id") -> DataFrame:
+    """Best cosine match per query, the smallest id among tied candidates: (qid, tid, similarity, n_candidates)."""
+    qm, _, pairs = similar_groups(queries, typed, ident)
+    return _first_matches(qm, pairs, ident)
+
+
+def _first_matches(qm: DataFrame, pairs: DataFrame, ident: str) -> DataFrame:
+    best = pairs.groupBy("qgrp").agg(F.min("tgrp").alias("tid"), F.max("similarity").alias("similarity"),
+                                     F.sum("copies").alias("n_candidates"))
+    return qm.join(best.withColumnRenamed("qgrp", "grp"), "grp").select(
+        F.col(ident).alias("qid"), "tid", "similarity", "n_candidates", "grp")
+
+
+def infer_types(queries: DataFrame, typed: DataFrame, query_names: DataFrame, typed_names: DataFrame,
+                name_vectors: DataFrame, known_types: DataFrame, ident: str = "id", floor: float = 0.99,
+                block_rows: int = 2048) -> DataFrame:
+    """Best match per query, tied candidates told apart by their entity names.
+
+    ``query_names(id, name)``, ``typed_names(id, name)``, ``name_vectors(name, v)``,
+    ``known_types(name)``. Where several candidates tie at ``floor`` or more, the
+    candidate owning the name most similar to a query name wins; without usable
+    names the smallest id stays. Names meet as packed blocks inside their tie, and
+    only the best name per query name comes out.
     """
-    first = best_matches(candidates)
-    open_ = candidates.join(first.filter((F.col("n_candidates") > 1) & (F.col("similarity") >= floor)).select("qid"), "qid")
-    typed = typed_names.join(known_types.select("name"), "name", "left_semi")
-    trio = open_.select("qid", "tid").join(query_names.withColumnRenamed("name", "qname"), "qid").join(
-        typed.withColumnRenamed("name", "tname"), "tid")
-    best_tid = trio.groupBy("qid", "qname", "tname").agg(F.min("tid").alias("tid"))
-    words = best_tid.select("qname", "tname").distinct()
+    qm, tm, pairs = similar_groups(queries, typed, ident)
+    first = _first_matches(qm, pairs, ident)
     nv = name_vectors.select("name", V.l2_normalized(F.col("v"), 1e-8).alias("v"))
-    sim = (words.join(nv.select(F.col("name").alias("qname"), F.col("v").alias("_a")), "qname")
-           .join(nv.select(F.col("name").alias("tname"), F.col("v").alias("_b")), "tname")
-           .select("qname", "tname", V.dot(F.col("_a"), F.col("_b")).alias("_s")))
-    win = best_tid.join(sim, ["qname", "tname"]).groupBy("qid").agg(
-        F.min_by("tid", F.struct((-F.round("_s", 9)).alias("s"), F.col("tid"))).alias("_tid"))
-    return first.join(win, "qid", "left").withColumn("tid", F.coalesce("_tid", "tid")).drop("_tid")
+    open_ = pairs.filter(F.col("similarity") >= floor).withColumnRenamed("tgrp", "grp")
+    t_names = typed_names.join(known_types.select("name"), "name", "left_semi").join(tm, ident)
+    pool = t_names.groupBy("grp", "name").agg(F.min(ident).alias("_t")).join(open_.select("qgrp", "grp"), "grp")
+    pool = pool.groupBy("qgrp", "name").agg(F.min("_t").alias("_t")).join(nv, "name")
+    q_names = query_names.join(first.filter("n_candidates > 1").select(F.col("qid").alias(ident), "grp"), ident)
+    asked = q_names.select(F.col("grp").alias("qgrp"), "name").distinct().join(nv, "name")
+    blocks = _blocks(asked, ["qgrp"], "name", block_rows, "qs").join(
+        _blocks(pool, ["qgrp"], "name", block_rows, "ts"), "qgrp")
+
+    gkind = dict(blocks.dtypes)["qgrp"]
+
+    def closest(batches):
+        for pdf in batches:
+            for g, qs, ts in zip(pdf["qgrp"], pdf["qs"], pdf["ts"]):
+                sims = np.round(_matrix([x["v"] for x in qs]) @ _matrix([x["v"] for x in ts]).T, 9)
+                names = np.array([x["id"] for x in ts])
+                rank = np.lexsort((names,))
+                at = rank[sims[:, rank].argmax(1)]
+                yield pd.DataFrame({"qgrp": [g] * len(qs), "qname": [x["id"] for x in qs], "name": names[at],
+                                    "s": sims[np.arange(len(qs)), at]})
+
+    found = blocks.mapInPandas(closest, f"qgrp {gkind}, qname string, name string, s double")
+    found = found.join(pool.select("qgrp", "name", "_t"), ["qgrp", "name"])
+    per = found.groupBy("qgrp", "qname").agg(F.min_by(F.struct("s", "_t"), F.struct((-F.col("s")).alias("o"), F.col("_t"))).alias("b"))
+    win = q_names.select(F.col(ident).alias("qid"), F.col("grp").alias("qgrp"), F.col("name").alias("qname")).join(
+        per, ["qgrp", "qname"]).groupBy("qid").agg(F.min_by("b._t", F.struct((-F.col("b.s")).alias("o"), F.col("b._t"))).alias("_tid"))
+    out = first.join(win, "qid", "left")
+    return out.select("qid", F.coalesce("_tid", "tid").alias("tid"), "similarity", "n_candidates")
 
 
 def transfer_labels(matches: DataFrame, typed: DataFrame) -> DataFrame:

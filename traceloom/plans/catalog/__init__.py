@@ -6,6 +6,7 @@ from traceloom.plans.catalog import (  # noqa: F401
     extract,
     lookups,
     metrics,
+    vectors,
     windows,
 )
 from traceloom.plans.registry import all_queries, all_sql  # noqa: F401
