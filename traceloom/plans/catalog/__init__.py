@@ -2,8 +2,10 @@
 
 from traceloom.plans.catalog import (  # noqa: F401
     aggregates,
+    answers,
     cleaning,
     extract,
+    graph,
     lookups,
     metrics,
     vectors,
