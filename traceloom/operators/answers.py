@@ -137,8 +137,12 @@ def judge_scores(votes: DataFrame, attack: str = "attack") -> DataFrame:
 
 
 def stage_correctness(votes: DataFrame, attack: str = "attack") -> DataFrame:
-    """Share of stages that never had two or more NO verdicts in one subgraph."""
-    per = votes.groupBy(attack, "stage", "subgraph").agg(F.count_if(F.col("verdict") == "NO").alias("no"))
+    """Share of stages on which never two or more judges said NO in one subgraph.
+
+    A judge's last verdict on a stage counts.
+    """
+    last = votes.groupBy(attack, "stage", "subgraph", "judge").agg(F.max_by("verdict", "pos").alias("verdict"))
+    per = last.groupBy(attack, "stage", "subgraph").agg(F.count_if(F.col("verdict") == "NO").alias("no"))
     st = per.groupBy(attack, "stage").agg((F.max("no") >= 2).alias("wrong"))
     return st.groupBy(attack).agg(F.count_if("wrong").alias("incorrect_stages"), F.count(F.lit(1)).alias("total_stages"),
                                   (1 - F.count_if("wrong") / F.count(F.lit(1))).alias("stage_correctness"))

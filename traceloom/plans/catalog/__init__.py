@@ -5,9 +5,11 @@ from traceloom.plans.catalog import (  # noqa: F401
     answers,
     cleaning,
     extract,
+    files,
     graph,
     lookups,
     metrics,
+    streams,
     vectors,
     windows,
 )

@@ -82,14 +82,14 @@ def _(t):
 
 
 VOTE_SQL = """(SELECT l_partkey % 50 AS attack, 'j' || (l_suppkey % 3) AS judge, l_partkey % 7 AS subgraph, 's' || (l_orderkey % 4) AS stage,
- CASE WHEN l_quantity > 12 THEN 'YES' ELSE 'NO' END AS verdict, row_number() OVER (PARTITION BY l_partkey % 50, l_suppkey % 3 ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) - 1 AS pos FROM lineitem)"""
+ CASE WHEN l_quantity > 2 THEN 'YES' ELSE 'NO' END AS verdict, row_number() OVER (PARTITION BY l_partkey % 50, l_suppkey % 3 ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) - 1 AS pos FROM lineitem)"""
 
 
 def _votes(t):
     from traceloom.operators.ordered import row_index
     li = t.read("lineitem").withColumns({
         "attack": F.col("l_partkey") % 50, "judge": F.concat(F.lit("j"), F.col("l_suppkey") % 3), "subgraph": F.col("l_partkey") % 7,
-        "stage": F.concat(F.lit("s"), F.col("l_orderkey") % 4), "verdict": F.when(F.col("l_quantity") > 12, "YES").otherwise("NO")})
+        "stage": F.concat(F.lit("s"), F.col("l_orderkey") % 4), "verdict": F.when(F.col("l_quantity") > 2, "YES").otherwise("NO")})
     cols = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
     return row_index(li.select("attack", "judge", "subgraph", "stage", "verdict", *cols), ["attack", "judge"], cols, "pos")
 
@@ -108,7 +108,8 @@ def _(t):
 
 
 @query("stage_correctness", f"""
-WITH p AS (SELECT attack, stage, subgraph, count(*) FILTER (verdict = 'NO') AS n FROM {VOTE_SQL} GROUP BY 1, 2, 3), s AS (SELECT attack, stage, max(n) >= 90 OR max(n) >= 2 AS wrong FROM p GROUP BY 1, 2)
+WITH j AS (SELECT attack, stage, subgraph, judge, max_by(verdict, pos) AS verdict FROM {VOTE_SQL} GROUP BY 1, 2, 3, 4),
+p AS (SELECT attack, stage, subgraph, count(*) FILTER (verdict = 'NO') AS n FROM j GROUP BY 1, 2, 3), s AS (SELECT attack, stage, max(n) >= 2 AS wrong FROM p GROUP BY 1, 2)
 SELECT attack, count(*) FILTER (wrong) AS incorrect_stages, count(*) AS total_stages, round(1 - count(*) FILTER (wrong) / count(*)::DOUBLE, 6) AS stage_correctness FROM s GROUP BY attack""")
 def _(t):
     return R.stage_correctness(_votes(t)).withColumn("stage_correctness", F.round("stage_correctness", 6))
