@@ -40,8 +40,9 @@ def hashed_buckets(tokens: Column, buckets: int = 16) -> Column:
     codes = F.transform(tokens, lambda t: F.conv(F.substring(F.md5(t), 1, 8), 16, 10).cast("long"))
     cells = F.sequence(F.lit(0), F.lit(buckets - 1))
 
-    def cell(b: Column) -> Column:
-        return F.aggregate(codes, F.lit(0.0), lambda s, c: s + F.when(
+    def cell(cs: Column, b: Column) -> Column:
+        return F.aggregate(cs, F.lit(0.0), lambda s, c: s + F.when(
             c % buckets != b, 0.0).when(F.floor(c / buckets) % 2 == 0, 1.0).otherwise(-1.0))
 
-    return F.transform(cells, cell)
+    # a one-element array binds the codes, so that each token is hashed once
+    return F.flatten(F.transform(F.array(codes), lambda cs: F.transform(cells, lambda b: cell(cs, b))))

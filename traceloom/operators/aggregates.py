@@ -204,10 +204,15 @@ def node_days(e: DataFrame) -> DataFrame:
 
 
 def name_clusters(mapped: DataFrame) -> DataFrame:
-    """Processed name → the distinct original names that differ from it."""
-    other = F.when(F.col("name") != F.col("processed"), F.col("name"))
-    return mapped.groupBy("processed").agg(F.array_join(F.array_sort(F.collect_set(other)), "|").alias("members"),
-                                           F.count_distinct(other).alias("n"))
+    """Processed name → the distinct original names that differ from it, one per row.
+
+    A processed name without other originals has one row with a null member. Rows
+    instead of lists keep a name shared by very many originals spread.
+    """
+    pairs = mapped.select("processed", F.when(F.col("name") != F.col("processed"), F.col("name")).alias("member")).distinct()
+    named = pairs.filter("member IS NOT NULL")
+    alone = pairs.select("processed").distinct().join(named.select("processed").distinct(), "processed", "left_anti")
+    return named.unionByName(alone.withColumn("member", F.lit(None).cast("string")))
 
 
 def reduction_report(mapped: DataFrame, is_file: str = "is_file") -> DataFrame:

@@ -157,8 +157,10 @@ def candidate_table(edges: DataFrame, names: DataFrame) -> DataFrame:
     from traceloom.operators.cleaning import orient
     from traceloom.operators.filters import drop_no_label, drop_noise_names, drop_step_names
     from traceloom.operators.lookup import resolve_ids
-    lists = drop_step_names(names).groupBy("entity").agg(F.array_sort(F.collect_list(F.struct("seq", "name"))).alias("_n"))
-    lists = lists.select("entity", F.transform("_n", lambda s: s["name"]).alias("names"))
+    good = (F.upper("name") != "NONE") & (F.col("name") != F.col("entity"))
+    # only the first telling name and the first name at all can be shown
+    lists = drop_step_names(names).groupBy("entity").agg(F.array_compact(F.array(
+        F.min_by("name", F.when(good, F.col("seq"))), F.min_by("name", "seq"))).alias("names"))
     e = drop_no_label(edges)
     for end in ("src", "dst"):
         e = resolve_ids(e, lists, end).drop(end).withColumnRenamed("resolved", end)

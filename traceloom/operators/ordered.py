@@ -120,16 +120,18 @@ def filled(sliced: DataFrame, keys: Sequence[str], order: Sequence, column: str,
     """
     keys = list(keys)
     names = [c for c, _ in _order(order)]
-    w = Window.partitionBy(SLICE, *keys).orderBy(*_sort_cols(order))
-    across = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(SLICE)
+    back = [(c, "desc" if up else "asc") for c, up in _order(order)]
+    # a frame from the current row to the end is recomputed per row; the reversed order needs only a running frame
+    upto = (Window.unboundedPreceding, 0)
+    ahead = Window.partitionBy(SLICE, *keys).orderBy(*_sort_cols(back)).rowsBetween(*upto)
+    behind = Window.partitionBy(SLICE, *keys).orderBy(*_sort_cols(order)).rowsBetween(*upto)
+    across = Window.partitionBy(*(keys or [F.lit(0)])).rowsBetween(Window.unboundedPreceding, -1)
     has = F.when(F.col(column).isNotNull(), F.struct(*names))
     carry = _carry(sliced, keys, [F.min_by(column, has).alias("_f"), F.max_by(column, has).alias("_l")])
-    carry = carry.select(
-        *keys, SLICE,
-        F.first("_f", ignorenulls=True).over(across.rowsBetween(1, Window.unboundedFollowing)).alias("_next"),
-        F.last("_l", ignorenulls=True).over(across.rowsBetween(Window.unboundedPreceding, -1)).alias("_prior"))
-    res = sliced.withColumn("_b", F.first(column, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing)))
-    res = res.withColumn("_w", F.last(column, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    carry = carry.select(*keys, SLICE, F.last("_f", ignorenulls=True).over(across.orderBy(F.desc(SLICE))).alias("_next"),
+                         F.last("_l", ignorenulls=True).over(across.orderBy(SLICE)).alias("_prior"))
+    res = sliced.withColumn("_b", F.last(column, ignorenulls=True).over(ahead))
+    res = res.withColumn("_w", F.last(column, ignorenulls=True).over(behind))
     res = _attach(res, _renamed(carry, keys), keys)
     pick = {"back": F.coalesce("_b", "_next"), "forward": F.coalesce("_w", "_prior")}
     return res.withColumn(out, F.coalesce(*[pick[d] for d in directions])).drop("_b", "_w", "_next", "_prior")

@@ -229,8 +229,8 @@ def _(t):
 
 
 @query("name_clusters", "WITH " + PATH_SQL.format(src="name") + """
-SELECT processed, coalesce(string_agg(DISTINCT name, '|' ORDER BY name) FILTER (name <> processed), '') AS members, count(DISTINCT name) FILTER (name <> processed) AS n
-FROM out GROUP BY processed""", "names")
+SELECT DISTINCT processed, name AS member FROM out WHERE name <> processed
+UNION ALL SELECT DISTINCT processed, NULL FROM out WHERE processed NOT IN (SELECT processed FROM out WHERE name <> processed)""", "names")
 def _(t):
     return A.name_clusters(C.normalize_paths(t.names, known_extensions(t)))
 

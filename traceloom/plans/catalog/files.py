@@ -142,10 +142,10 @@ def _(t):
     return R.find_enriched(links, rec).select("key", "src", "dst", "edge_action")
 
 
-@query("label_list", "SELECT lower(trim(replace(n_name, chr(9), ''))) AS label FROM nation")
+@query("label_list", "SELECT lower(c_name) AS label FROM customer")
 def _(t):
     p = _place(t, "labels")
-    t.read("nation").select(F.explode(F.array(F.concat(F.lit("  "), F.upper("n_name"), F.lit("\t")), F.lit(" ")))).write.text(p)
+    t.read("customer").select(F.explode(F.array(F.concat(F.lit("  "), F.upper("c_name"), F.lit("\t")), F.lit(" ")))).write.text(p)
     return R.read_label_list(t.spark, p)
 
 
@@ -163,12 +163,15 @@ def _(t):
     return R.read_extensions(t.spark, p)
 
 
-@query("lookup_json", "SELECT n_name AS key, CASE WHEN n_regionkey % 2 = 0 THEN 'VALID' ELSE 'INVALID' END AS value FROM nation")
+@query("lookup_json", "SELECT s_name AS key, CASE WHEN s_nationkey % 2 = 0 THEN 'VALID' ELSE 'INVALID' END AS value FROM supplier")
 def _(t):
     p = _place(t, "lookup")
-    item = F.format_string('"%s": "%s"', F.col("n_name"), F.when(F.col("n_regionkey") % 2 == 0, "VALID").otherwise("INVALID"))
-    t.read("nation").agg(F.concat(F.lit("{"), F.array_join(F.collect_list(item), ",\n"), F.lit(",\n}"))).coalesce(1).write.text(p)
-    return R.read_lookup(t.spark, p)
+    item = F.format_string('"%s": "%s"', F.col("s_name"), F.when(F.col("s_nationkey") % 2 == 0, "VALID").otherwise("INVALID"))
+    # documents of a hundred entries each, with the stray comma the reader forgives
+    doc = F.concat(F.lit("{"), F.array_join(F.collect_list(item), ",\n"), F.lit(",\n}"))
+    docs = t.read("supplier").groupBy(F.floor(F.col("s_suppkey") / 100).alias("doc")).agg(doc.alias("value"))
+    docs.write.partitionBy("doc").text(p)
+    return R.read_lookup(t.spark, p).select("key", "value")
 
 
 @query("truth_with_totals", "SELECT id, window_key, log_type, y, count(*) OVER (PARTITION BY window_key, log_type) AS total FROM scores", "scores")

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from traceloom.functions import times
+from traceloom.session import spread
 
 CDM = "com.bbn.tc.schema.avro.cdm18."
 
@@ -48,7 +49,7 @@ class Tables:
 
     @cached_property
     def ev(self) -> DataFrame:
-        e = self.read("events")
+        e = spread(self.read("events"))
         return e.select(
             "event_id", "user_id", "event_type", "value", times.ntz_to_ns(F.col("ts")).alias("ts_ns"),
             F.get_json_object("props", "$.k").cast("long").alias("k"),
@@ -150,7 +151,7 @@ class Tables:
     @cached_property
     def names(self) -> DataFrame:
         """File-like names from parts, addresses from suppliers, URLs from pages."""
-        p = self.read("part")
+        p = spread(self.read("part"))
         path = F.concat(F.lit("C:\\\\srv12\\"), F.translate("p_brand", "#", "-"), F.lit("//"),
                         F.translate("p_name", " ", "_"), F.col("p_partkey").cast("string"),
                         F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("."), F.lower("p_type")))

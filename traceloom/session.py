@@ -59,3 +59,14 @@ def cut(df: DataFrame) -> DataFrame:
     path = os.path.join(shared_dir(df.sparkSession), "traceloom-" + uuid.uuid4().hex)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Give a CPU-heavy step all cores when its input has fewer splits than the cluster has.
+
+    A large input has many splits and is returned unchanged, without a shuffle.
+    """
+    if df.isStreaming:
+        return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
