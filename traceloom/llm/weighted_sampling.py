@@ -73,19 +73,23 @@ def terms(texts: DataFrame, keys: list[str], text_col: str = "text") -> DataFram
     return word.filter("word <> ''").groupBy(*keys, F.xxhash64("word").alias("term")).agg(F.sum(F.char_length("word")).alias("weight"))
 
 
-def with_edits(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, n, next, text, edited): each text beside the one whose last quarter the next document's beginning replaces."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    base = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.char_length(text).cast("long").alias("n"), text.alias("text"))
+def next_documents(base: DataFrame) -> DataFrame:
+    """(id, next, take): the id after each one (after the last: the first), and a quarter of its own length."""
     ids = base.groupBy("id").agg(F.min("n").alias("n"))
     line = ordered.lagged(ordered.slice_by(ids, [], ["id"]), [], ["id"], before="id", before_n="n")
     top = line.agg(F.max(F.struct("id", "n")).alias("top")).withColumn("_all", F.lit(0))  # one row
-    line = line.withColumn("_all", F.lit(0)).join(F.broadcast(top), "_all").select(
-        F.col("id").alias("next"), F.coalesce("before", "top.id").alias("id"), F.floor(F.coalesce("before_n", "top.n") / 4).cast("int").alias("take"))
-    # both joins and all later grouping keep this one partitioning
+    return cut(line.withColumn("_all", F.lit(0)).join(F.broadcast(top), "_all").select(
+        F.coalesce("before", "top.id").alias("id"), F.col("id").alias("next"), F.floor(F.coalesce("before_n", "top.n") / 4).cast("int").alias("take")))
+
+
+def with_edits(base: DataFrame, line: DataFrame) -> DataFrame:
+    """(id, n, text, edited): each text beside the one whose last quarter the next document's beginning replaces.
+
+    The texts are dealt by id once; both joins and all later grouping by id keep that partitioning.
+    """
     whole = base.repartition("id").groupBy("id").agg(F.min(F.struct("n", "text")).alias("d")).select("id", "d.n", "d.text")
-    heads = whole.select(F.col("id").alias("next"), "text").join(line, "next").select("id", "next", "take", F.substring("text", F.lit(1), F.col("take")).alias("head"))
-    return whole.join(heads, "id").select("id", "n", "next", "text", F.concat(
+    heads = whole.select(F.col("id").alias("next"), "text").join(line, "next").select("id", "take", F.substring("text", F.lit(1), F.col("take")).alias("head"))
+    return whole.join(heads, "id").select("id", "n", "text", F.concat(
         F.substring("text", F.lit(1), (F.col("n") - F.col("take")).cast("int")), "head").alias("edited"))
 
 
@@ -96,14 +100,18 @@ def fingerprints(docs: DataFrame, count: int = 64, id_col: str = "doc_id", text_
     without words the fingerprint is the empty string. Rows without an id are left out; of rows that repeat an id, the shortest
     (then smallest) text counts. An empty table gives an empty table. Other columns are not read.
     """
-    both = with_edits(docs, id_col, text_col)
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    base = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.char_length(text).cast("long").alias("n"), text.alias("text"))
+    line = next_documents(base)
+    both = with_edits(base, line)
     sides = both.select("id", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("text").alias("t")),
                                                 F.struct(F.lit(1).alias("side"), F.col("edited").alias("t")))).alias("x")).select("id", "x.side", "x.t")
     drawn = samples(terms(sides, ["id", "side"], "t"), ["id", "side"], count)
-    drawn = cut(drawn.groupBy("id").agg(*[F.max(F.when(F.col("side") == i, F.col("samples"))).alias(f"s{i}") for i in (0, 1)]))
+    drawn = drawn.groupBy("id").agg(*[F.max(F.when(F.col("side") == i, F.col("samples"))).alias(f"s{i}") for i in (0, 1)])
+    meta = both.select("id", "n", F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"))
+    own = cut(meta.join(drawn, "id", "left"))  # one query: its branches share the shuffles of the texts
     none = F.array().cast("array<int>")
-    meta = both.select("id", "n", "next", F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"))
-    out = meta.join(drawn, "id", "left").join(drawn.select(F.col("id").alias("next"), F.col("s0").alias("s2")), "next", "left")
+    out = own.join(line.select("id", "next"), "id").join(own.select(F.col("id").alias("next"), F.col("s0").alias("s2")), "next")
     a, b, c = (F.coalesce(s, none) for s in ("s0", "s1", "s2"))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_chars"), "edited_sha256", _printed(a).alias("fingerprint"),
                       _printed(b).alias("edited_fingerprint"), likeness(a, b).alias("near_edited"), likeness(a, c).alias("near_next"))
