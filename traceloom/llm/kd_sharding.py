@@ -72,7 +72,7 @@ def assign(units: DataFrame, shards: int, dims: list[str], bits: int = 16) -> Da
     return state.withColumnRenamed("node", "shard")
 
 
-def shard(docs: DataFrame, shards: int = 16, heavy: float = 0.02, id_col: str = "doc_id", text_col: str = "text",
+def shard(docs: DataFrame, shards: int = 16, heavy: float = 0.05, id_col: str = "doc_id", text_col: str = "text",
           labels: tuple[str, ...] = ("lang", "source")) -> DataFrame:
     """Per row: id, size (UTF-8 bytes of the text, 0 for null, plus 1), text_crc32, shard, and its gapless slot there.
 

@@ -1,8 +1,10 @@
-"""Interpolated modified Kneser-Ney language model: counted in Spark, looked up in mapped arrays.
+"""Interpolated modified Kneser-Ney bigram model: counted in Spark, looked up in mapped arrays.
 
-Counting is aggregation over hashed words. Each level is then written, bucket by bucket of the hash's
-leading bits, as sorted arrays to the shared folder; scoring workers map those files and find the n-grams of
-a batch of texts by binary search, so a worker holds no more than the pages it touches.
+One job counts. Workers add up large batches of word pairs and send them, as arrays, to buckets of the pair's hash; a
+bucket's task adds the batches, writes its pairs as sorted arrays, and sends what it has seen of each word (as a
+history, as a continuation) to the word's bucket, where the same happens. Buckets are even whatever the words'
+frequencies are, and no frequent word is gathered anywhere. Scoring workers map the files and find the pairs
+of a batch of texts by binary search, so a worker holds no more than the pages it touches.
 """
 
 from __future__ import annotations
@@ -14,77 +16,79 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import pyarrow.fs as pafs
 from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from traceloom.llm.common import by_text, chunks, cut, encoded, words
+from traceloom.llm.common import by_text, chunks, encoded, mix, words
 from traceloom.session import shared_dir
 
 START, END = np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707344)
 _BATCH = 1 << 20  # tokens that are counted together before they leave the worker
 _OPEN: dict[str, list[np.ndarray]] = {}
+_HALF = np.uint64(32)
 
 
-def xxhash64(columns: list[np.ndarray]) -> np.ndarray:
-    """What Spark's xxhash64 gives for columns of longs."""
-    p1, p2, p3, p4, p5 = (np.uint64(p) for p in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9,
-                                                 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+def token_pairs(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of all tokens (the words of each text and one end), of the tokens before them, and the bounds of each text."""
+    h, at, _, _ = words(texts)
+    size = np.diff(at)
+    bounds = np.concatenate(([0], np.cumsum(size + 1)))
+    token = np.full(int(bounds[-1]), END, np.uint64)
+    token[np.repeat(bounds[:-1] - at[:-1], size) + np.arange(len(h))] = h
+    before = np.concatenate((token[:0], [START], token[:-1])) if len(token) else token
+    before[bounds[:-1]] = START
+    return token, before, bounds
 
-    def turn(x, n):
-        return x << np.uint64(n) | x >> np.uint64(64 - n)
-    h = np.full(len(columns[0]), np.uint64(42))
-    for c in columns:
-        h = h + p5 + np.uint64(8)
-        h = turn(h ^ turn(c * p2, 31) * p1, 27) * p1 + p4
-        h = (h ^ h >> np.uint64(33)) * p2
-        h = (h ^ h >> np.uint64(29)) * p3
-        h = h ^ h >> np.uint64(32)
-    return h
 
+def pair_keys(token: np.ndarray, before: np.ndarray) -> np.ndarray:
+    """History and token as 32 bits each: two of millions of words that share theirs blur each other's pairs, not their own counts."""
+    return before >> _HALF << _HALF | token >> _HALF
 
-def token_columns(texts: list[bytes], order: int) -> tuple[list[np.ndarray], np.ndarray]:
-    """For every token, the ``order`` words up to it (earliest first), and the bounds of each text.
 
-    Each text is its words and one end; before it stand ``order`` - 1 starts.
-    """
-    h, at, _, _ = words(texts)
-    size = np.diff(at)
-    width = size + order  # starts, words, end
-    base = np.cumsum(width) - width
-    line = np.full(int(width.sum()), START, np.uint64)
-    line[np.repeat(base + order - 1 - at[:-1], size) + np.arange(len(h))] = h
-    line[base + width - 1] = END
-    bounds = np.concatenate(([0], np.cumsum(size + 1)))
-    here = np.repeat(base + order - 1 - bounds[:-1], size + 1) + np.arange(bounds[-1])
-    return [line[here - order + 1 + i] for i in range(order)], bounds
+def _parts(keys: np.ndarray, bits: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Bucket numbers and the positions of their keys; keys become even by mixing."""
+    bucket = (mix(keys) >> np.uint64(64 - bits)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    edge = np.searchsorted(bucket[order], np.arange((1 << bits) + 1))
+    for b in np.flatnonzero(np.diff(edge)):
+        yield int(b), order[edge[b]:edge[b + 1]]
 
 
-def count_ngrams(docs: DataFrame, order: int, text_col: str = "text") -> DataFrame:
-    """Counts of the highest order: columns w1..wN (hashed words) and c. Workers add up large batches first."""
-    names = [f"w{i + 1}" for i in range(order)]
+_SENT = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
+SENT = "bucket int, kind int, keys binary, counts binary"
+PAIRS, OWN, HISTORY, KINDS = 0, 1, 2, 3
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
 
-        def out():
-            cols = [np.concatenate(c) for c in zip(*held, strict=True)]
-            _, first, n = np.unique(xxhash64(cols), return_index=True, return_counts=True)
-            return pa.RecordBatch.from_arrays([*[pa.array(c[first].view(np.int64)) for c in cols], pa.array(n, pa.int64())], [*names, "c"])
-        for b in batches:
-            texts = encoded(b.column(0))
-            for lo, hi in chunks(texts):
-                cols, bounds = token_columns(texts[lo:hi], order)
-                held.append(cols)
-                size += int(bounds[-1])
-                if size >= _BATCH:
-                    yield out()
-                    held, size = [], 0
-        if held:
-            yield out()
-    schema = ", ".join(f"{n} bigint" for n in [*names, "c"])
-    return docs.select(text_col).mapInArrow(run, schema).groupBy(*names).agg(F.sum("c").alias("c"))
+def _send(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _SENT.types, strict=True)], schema=_SENT)
+
+
+def _packed(kind: int, keys: np.ndarray, counts: np.ndarray, bits: int) -> list[tuple]:
+    """Rows to send: for each bucket its keys, and their counts (one row of numbers for each key) in the narrowest type."""
+    out = []
+    for b, at in _parts(keys, bits):
+        c = counts[at]
+        narrow = np.min_scalar_type(int(c.max()))
+        out.append((b, kind, keys[at].tobytes(), narrow.str.encode() + b" " + c.astype(narrow).tobytes()))
+    return out
+
+
+def _added(table: pa.Table, kind: int, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct keys of the received rows of a kind, and the sums of their counts."""
+    own = table.filter(pa.compute.equal(table["kind"], kind)) if table.num_rows else table
+    keys, counts = [np.zeros(0, np.uint64)], [np.zeros((0, width), np.int64)]
+    for k, c in zip(own["keys"].to_pylist(), own["counts"].to_pylist(), strict=True):
+        kind_of, _, raw = c.partition(b" ")
+        keys.append(np.frombuffer(k, np.uint64))
+        counts.append(np.frombuffer(raw, np.dtype(kind_of.decode())).reshape(-1, width).astype(np.int64))
+    key, n = np.concatenate(keys), np.concatenate(counts)
+    order = np.argsort(key)
+    key, n = key[order], n[order]
+    first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+    return key[first], np.add.reduceat(n, first, axis=0) if len(first) else n
 
 
 def _filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -93,77 +97,48 @@ def _filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
 
 @dataclass
 class Store:
-    """A table of sorted hashes with float values in ``1 << bits`` buckets, one file each."""
+    """Tables of sorted 64-bit keys with numbers, in ``1 << bits`` bucket files each, in the shared folder."""
 
     uri: str
     bits: int
-    values: int
     fetched: bool = False
 
-    def _path(self, bucket: int) -> str:
-        name = f"{self.uri.rsplit('/', 1)[-1]}-{bucket}.bin"
-        return os.path.join(SparkFiles.get(self.uri.rsplit("/", 1)[-1]), name) if self.fetched else f"{_filesystem(self.uri)[1]}/{name}"
-
-    def bucket(self, b: int) -> list[np.ndarray]:
-        """The bucket's hashes and value columns, mapped."""
-        key = f"{self.uri}-{b}"
+    def write(self, name: str, bucket: int, keys: np.ndarray, columns: list[np.ndarray]) -> None:
+        """One bucket; a repeated task replaces the file by the same one."""
+        fs, place = _filesystem(self.uri)
+        path = f"{place}/{name}-{bucket}.bin"
+        part = f"{path}.{uuid.uuid4().hex}"
+        with fs.open_output_stream(part) as f:
+            for c in (keys, *columns):
+                f.write(np.ascontiguousarray(c).tobytes())
+        fs.move(part, path)
+
+    def bucket(self, name: str, b: int, types: tuple) -> list[np.ndarray]:
+        """The bucket's keys and columns, mapped."""
+        key = f"{self.uri} {name} {b}"
         if key not in _OPEN:
-            path = self._path(b)
-            n = os.path.getsize(path) // (8 + 8 * self.values) if os.path.exists(path) else 0
-            if n:
-                flat = np.memmap(path, np.uint64, "r")
-                _OPEN[key] = [flat[:n], *[flat[n * (i + 1):n * (i + 2)].view(np.float64) for i in range(self.values)]]
-            else:
-                _OPEN[key] = [np.zeros(0, np.uint64), *[np.zeros(0) for _ in range(self.values)]]
+            place = SparkFiles.get(self.uri.rsplit("/", 1)[-1]) if self.fetched else _filesystem(self.uri)[1]
+            path = f"{place}/{name}-{b}.bin"
+            sizes = [8, *[np.dtype(t).itemsize for t in types]]
+            n = os.path.getsize(path) // sum(sizes) if os.path.exists(path) else 0
+            flat = np.memmap(path, np.uint8, "r") if n else np.zeros(0, np.uint8)
+            edge = np.concatenate(([0], np.cumsum(np.array(sizes) * n)))
+            _OPEN[key] = [flat[i:j].view(t) for i, j, t in zip(edge[:-1], edge[1:], (np.uint64, *types), strict=True)]
         return _OPEN[key]
 
-    def find(self, h: np.ndarray) -> list[np.ndarray]:
-        """Value columns for sorted hashes, zero where a hash is absent."""
-        out = [np.zeros(len(h)) for _ in range(self.values)]
-        edge = np.searchsorted(h >> np.uint64(64 - self.bits), np.arange((1 << self.bits) + 1))
-        for b in np.flatnonzero(np.diff(edge)):
-            part = h[edge[b]:edge[b + 1]]
-            keys, *values = self.bucket(int(b))
-            if not len(keys):
+    def find(self, name: str, keys: np.ndarray, types: tuple) -> list[np.ndarray]:
+        """Columns for the keys, zero where one is absent. Equal keys are looked up once, in sorted order."""
+        short, back = np.unique(keys, return_inverse=True)
+        out = [np.zeros(len(short)) for _ in types]
+        for b, at in _parts(short, self.bits):
+            have, *columns = self.bucket(name, b, types)
+            if not len(have):
                 continue
-            at = np.minimum(np.searchsorted(keys, part), len(keys) - 1)
-            hit = np.asarray(keys[at]) == part
-            for o, v in zip(out, values, strict=True):
-                o[edge[b]:edge[b + 1]] = np.where(hit, v[at], 0.0)
-        return out
-
-
-def write_store(df: DataFrame, keys: list[str], values: list[str], rows: int, bucket_rows: int = 1 << 20) -> Store:
-    """Write hash(keys) -> values as sorted arrays; a bucket has about ``bucket_rows`` rows at most, whatever the input."""
-    spark = df.sparkSession
-    bits = max(8, (max(rows, 1) // bucket_rows).bit_length())
-    uri = f"{shared_dir(spark).rstrip('/')}/ngrams-{uuid.uuid4().hex}"
-    fs, path = _filesystem(uri)
-    fs.create_dir(path, recursive=True)
-    names = list(values)
-
-    h = F.xxhash64(*keys)
-    small = df.select(h.alias("h"), *[F.col(v).cast("double").alias(v) for v in values])
-
-    def run(t: pa.Table) -> pa.Table:
-        h = t["h"].to_numpy().view(np.uint64)
-        order = np.argsort(h)
-        bucket = int(h[0] >> np.uint64(64 - bits))
-        own, place = _filesystem(uri)
-        name = f"{place}/{place.rsplit('/', 1)[-1]}-{bucket}.bin"
-        part = f"{name}.{uuid.uuid4().hex}"
-        with own.open_output_stream(part) as f:
-            f.write(h[order].tobytes())
-            for v in names:
-                f.write(t[v].to_numpy().astype(np.float64)[order].tobytes())
-        own.move(part, name)  # a repeated task replaces the file by the same one
-        return pa.table({"bucket": [bucket], "n": [len(h)]})
-    grouped = small.groupBy(F.shiftrightunsigned("h", 64 - bits).alias("bucket"))
-    grouped.applyInArrow(run, "bucket bigint, n bigint").agg(F.sum("n")).first()
-    fetched = not isinstance(fs, pafs.LocalFileSystem)
-    if fetched:  # a store that workers cannot map: executors fetch a copy from it
-        spark.sparkContext.addFile(uri, recursive=True)
-    return Store(uri, bits, len(values), fetched)
+            i = np.minimum(np.searchsorted(have, short[at]), len(have) - 1)
+            hit = have[i] == short[at]
+            for o, c in zip(out, columns, strict=True):
+                o[at] = np.where(hit, c[i], 0)
+        return [o[back] for o in out]
 
 
 def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
@@ -177,62 +152,110 @@ def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
 
 @dataclass
 class Model:
-    """What scoring needs: stores of counts and contexts by level, discounts, and totals."""
-
-    order: int
-    counts: list[Store]  # level k at k - 1; the first also has the token's own count
-    contexts: list[Store]  # histories of k words at k - 1: total and the weight left for the lower level
-    discount: list[tuple[float, float, float]]
-    unigram_total: float
-    unigram_left: float
+    """What scoring needs: the store, discounts of both levels, and totals."""
+
+    store: Store
+    pair_discount: tuple[float, float, float]
+    word_discount: tuple[float, float, float]
+    least: int  # smallest count of a stored pair
+    kinds: int  # distinct pairs
+    word_left: float  # share of the continuation level left for unknown tokens
     vocabulary: int
     tokens: int
 
-    def probabilities(self, columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        """P(token | history) for each token, and how often the token itself was counted."""
-        def found(store: Store, cols: list[np.ndarray]) -> list[np.ndarray]:
-            h, back = np.unique(xxhash64(cols), return_inverse=True)
-            return [v[back] for v in store.find(h)]
-
+    def probabilities(self, token: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """P(token | token before) for each token, and how often the token itself was counted."""
         def less(a: np.ndarray, d: tuple[float, float, float]) -> np.ndarray:
             return np.maximum(a - np.select([a <= 0, a == 1, a == 2], [0.0, d[0], d[1]], d[2]), 0.0)
-        a, own = found(self.counts[0], columns[-1:])
-        p = less(a, self.discount[0]) / max(self.unigram_total, 1.0) + self.unigram_left / (self.vocabulary + 1)
-        for k in range(2, self.order + 1):
-            cols = columns[self.order - k:]
-            total, left = found(self.contexts[k - 2], cols[:-1])
-            a, = found(self.counts[k - 1], cols)
-            p = np.where(total > 0, less(a, self.discount[k - 1]) / np.maximum(total, 1.0) + left * p, p)
-        return p, own
-
-
-def train(docs: DataFrame, order: int = 2, text_col: str = "text") -> Model:
-    """Count, discount and store a model of the given order. Null texts are empty: one end. No row: the uniform model."""
-    counts, contexts, discount = [], [], []
-    left0, total0 = 1.0, 0.0
-    level = cut(count_ngrams(docs, order, text_col)).withColumnRenamed("c", "a")
-    own = cut(level.groupBy(f"w{order}").agg(F.sum("a").alias("own")))
-    vocabulary, tokens = own.agg(F.count(F.lit(1)), F.coalesce(F.sum("own"), F.lit(0))).first()
-    own = own.withColumnRenamed(f"w{order}", "w1")
-    for k in range(order, 0, -1):
-        of = [F.count(F.when(F.col("a") == i, 1)) for i in (1, 2, 3, 4)]
-        n1, n2, n3, n4, rows, total = level.agg(*of, F.count(F.lit(1)), F.coalesce(F.sum("a"), F.lit(0))).first()
-        d = discounts(n1, n2, n3, n4)
-        discount.insert(0, d)
-        ws = [f"w{i + 1}" for i in range(k)]
-        if k > 1:
-            counts.insert(0, write_store(level, ws, ["a"], rows))
-            ctx = level.groupBy(*ws[:-1]).agg(F.sum("a").alias("total"), *[F.count(F.when(c, 1)).alias(f"n{i + 1}") for i, c in enumerate(
-                (F.col("a") == 1, F.col("a") == 2, F.col("a") >= 3))])
-            ctx = cut(ctx.withColumn("left", sum((F.col(f"n{i + 1}") * d[i] for i in range(3)), F.lit(0.0)) / F.col("total")))
-            contexts.insert(0, write_store(ctx, ws[:-1], ["total", "left"], rows))
-            # the next level counts in how many contexts its n-gram was continued
-            level = cut(level.groupBy(*ws[1:]).agg(F.count(F.lit(1)).alias("a")).toDF(*ws[:-1], "a"))
-        else:
-            counts.insert(0, write_store(level.join(own, "w1"), ws, ["a", "own"], rows))
-            total0 = float(total)
-            left0 = (n1 * d[0] + n2 * d[1] + (rows - n1 - n2) * d[2]) / total if total else 1.0
-    return Model(order, counts, contexts, discount, total0, left0, int(vocabulary), int(tokens))
+        own, = self.store.find("own", token, (np.int64,))
+        types = (np.int64,) * 5
+        continued = self.store.find("word", token >> _HALF, types)[0]
+        _, total, n1, n2, n3 = self.store.find("word", before >> _HALF, types)
+        a, = self.store.find("pair", pair_keys(token, before), (np.uint32,))
+        p = less(np.where(own > 0, continued, 0), self.word_discount) / max(self.kinds, 1) + self.word_left / (self.vocabulary + 1)
+        d = self.pair_discount
+        # pairs below the stored count leave all their weight to the lower level
+        left = sum(n * (c if c < self.least else x) for n, c, x in ((n1, 1, d[0]), (n2, 2, d[1]), (n3, 3, d[2])))
+        return np.where(total > 0, (less(a, d) + left * p) / np.maximum(total, 1), p), own
+
+
+def train(docs: DataFrame, least: int = 2, text_col: str = "text") -> Model:
+    """Count, discount and store the model of the texts. Null texts are empty: one end. Without rows: the uniform model.
+
+    Counts and discounts come from all pairs. The file of pairs keeps those counted ``least`` (1, 2 or 3) times or more; the weight
+    of the others goes to the lower level, so probabilities still add up to one.
+    """
+    spark = docs.sparkSession
+    bits = max(8, (4 * int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length())
+    uri = f"{shared_dir(spark).rstrip('/')}/ngrams-{uuid.uuid4().hex}"
+    fs, path = _filesystem(uri)
+    fs.create_dir(path, recursive=True)
+    store = Store(uri, bits)
+
+    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def out():
+            token, before = (np.concatenate(c) for c in zip(*held, strict=True))
+            rows = []
+            for kind, keys in ((PAIRS, pair_keys(token, before)), (OWN, token)):
+                key, n = np.unique(keys, return_counts=True)
+                rows += _packed(kind, key, n[:, None], bits)
+            return _send(rows)
+        for b in batches:
+            texts = encoded(b.column(0))
+            for lo, hi in chunks(texts):
+                token, before, _ = token_pairs(texts[lo:hi])
+                held.append((token, before))
+                size += len(token)
+                if size >= _BATCH:
+                    yield out()
+                    held, size = [], 0
+        if held:
+            yield out()
+
+    def add_pairs(table: pa.Table) -> pa.Table:
+        bucket = table["bucket"][0].as_py()
+        own, n = _added(table, OWN, 1)
+        store.write("own", bucket, own, [n[:, 0]])
+        rows = [(0, KINDS, b"", b"<i8 " + np.array([len(own), n.sum(), 0, 0, 0, 0], np.int64).tobytes())]
+        key, c = _added(table, PAIRS, 1)
+        c = c[:, 0]
+        kept = c >= least
+        store.write("pair", bucket, key[kept], [np.minimum(c[kept], 2 ** 32 - 1).astype(np.uint32)])
+        rows.append((0, KINDS, b"", b"<i8 " + np.array([0, 0, *[(c == i).sum() for i in (1, 2, 3, 4)]], np.int64).tobytes()))
+        # continued, total, n1, n2, n3 of both words
+        one = np.ones(len(c), np.int64)
+        nothing = np.zeros((len(c), 4), np.int64)
+        seen = np.concatenate([np.column_stack([one, nothing]), np.column_stack([0 * one, c, c == 1, c == 2, c >= 3])])
+        word = np.concatenate([key & np.uint64(0xFFFFFFFF), key >> _HALF])
+        order = np.argsort(word, kind="stable")
+        word, seen = word[order], seen[order]
+        first = np.flatnonzero(np.append(True, word[1:] != word[:-1])) if len(word) else np.zeros(0, np.int64)
+        if len(first):
+            rows += _packed(HISTORY, word[first], np.add.reduceat(seen, first, axis=0), bits)
+        return pa.Table.from_batches([_send(rows)])
+
+    def add_words(table: pa.Table) -> pa.Table:
+        word, n = _added(table, HISTORY, 5)
+        if len(word):
+            store.write("word", table["bucket"][0].as_py(), word, list(n.T))
+        c = n[:, 0]
+        totals = np.array([c.sum(), *[(c == i).sum() for i in (1, 2, 3, 4)], (c > 0).sum()], np.int64)
+        sums = sum((np.frombuffer(x[4:], np.int64) for x, k in zip(table["counts"].to_pylist(), table["kind"].to_pylist(), strict=True) if k == KINDS),
+                   np.zeros(6, np.int64))
+        return pa.table({"t": [[*map(int, sums), *map(int, totals)]]})
+
+    sent = docs.select(text_col).mapInArrow(count, SENT)
+    sent = sent.groupBy("bucket").applyInArrow(add_pairs, SENT).groupBy("bucket").applyInArrow(add_words, "t array<bigint>")
+    total = np.array([r["t"] for r in sent.collect()], np.int64).reshape(-1, 12).sum(axis=0).tolist()  # a row for each bucket
+    vocabulary, tokens, *pairs, kinds, w1, w2, w3, w4, several = total
+    d = discounts(w1, w2, w3, w4)
+    left = (w1 * d[0] + w2 * d[1] + (several - w1 - w2) * d[2]) / kinds if kinds else 1.0
+    store.fetched = not isinstance(fs, pafs.LocalFileSystem)
+    if store.fetched:  # a store that workers cannot map: executors fetch a copy from it
+        spark.sparkContext.addFile(uri, recursive=True)
+    return Model(store, discounts(*pairs), d, least, kinds, left, vocabulary, tokens)
 
 
 def score(docs: DataFrame, model: Model, keep: list[Column | str], text_col: str = "text") -> DataFrame:
@@ -244,8 +267,8 @@ def score(docs: DataFrame, model: Model, keep: list[Column | str], text_col: str
         n, known, base, full = [], [], [], []
         texts = encoded(b.column(b.num_columns - 1))
         for lo, hi in chunks(texts):
-            cols, bounds = token_columns(texts[lo:hi], model.order)
-            p, own = model.probabilities(cols)
+            token, before, bounds = token_pairs(texts[lo:hi])
+            p, own = model.probabilities(token, before)
             n.append(np.diff(bounds))
             for out, x in ((known, own > 0), (base, np.log10((own + 1) / room)), (full, np.log10(p))):
                 out.append(np.add.reduceat(x, bounds[:-1], dtype=np.int64 if x.dtype == bool else np.float64))

@@ -103,37 +103,39 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 75, bands: int =
     same = ["n_shingles", "s1", "s2"]
     classes = cut(sig.filter("n_shingles > 0").groupBy(*same).agg(F.min("id").alias("rep"), F.min_by("bands", "id").alias("bands"))
                   .filter("rep is not null"))
-    band = cut(classes.select("rep", "n_shingles", F.explode("bands").alias("band")))
+    band = classes.select("rep", F.explode("bands").alias("band"))
     shared = cut(band.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("band"))
-    member = cut(band.join(shared, "band"))  # only buckets of two or more
-    group = cut(member.select("rep").distinct().select("rep", F.col("rep").alias("c")))
+    # members of buckets of two or more, with their group so far
+    member = cut(band.join(shared, "band").withColumn("c", F.col("rep")))
+    group = cut(member.select("rep").distinct().join(classes.select("rep", "n_shingles"), "rep").withColumn("c", F.col("rep")))
     tested = links = None
     texts = cut(base.join(group.select(F.col("rep").alias("id")), "id"))
-    fits = f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)"
+    size_a, size_b = (group.select(F.col("rep").alias(c), F.col("n_shingles").alias("n_" + c)) for c in "ab")
     for k in range(hub_rounds + 1):
-        now = cut(member.join(group, "rep"))
-        unsettled = now.groupBy("band").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("n"),
-                                            F.min_by(F.struct("rep", "c", "n_shingles"), F.xxhash64("rep", F.lit(k))).alias("h"))
-        unsettled = cut(unsettled.filter("lo <> hi").select("band", F.col("h.rep").alias("a"), F.col("h.c").alias("ca"),
-                                                            F.col("h.n_shingles").alias("n_a"), "n"))
-        if unsettled.isEmpty():
-            break
-        right = now.select("band", F.col("rep").alias("b"), F.col("c").alias("cb"), F.col("n_shingles").alias("n_b"))
-        if k == hub_rounds:  # what no hub has joined, all pairs of different groups
-            right = right.join(unsettled.select("band"), "band")
-            left = right.toDF("band", "a", "ca", "n_a")
-            pairs = left.join(right, "band").filter("a < b")
+        if k == hub_rounds:  # what no hub has joined: all pairs of different groups
+            right = member.toDF("band", "b", "cb")
+            pairs = member.toDF("band", "a", "ca").join(right, "band").filter("a < b")
         else:
-            pairs = unsettled.drop("n").join(right, "band")
-        pairs = pairs.filter("ca <> cb").filter(fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+            hub = member.groupBy("band").agg(F.min_by(F.struct("rep", "c"), F.xxhash64("rep", F.lit(k))).alias("h"))
+            hub = cut(hub.select("band", F.col("h.rep").alias("a"), F.col("h.c").alias("ca")))
+            pairs = hub.join(member.toDF("band", "b", "cb"), "band")
+        pairs = pairs.filter("ca <> cb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = cut(pairs)
         tested = pairs if tested is None else tested.union(pairs)
-        found = cut(verified(pairs, texts, n, percent))
+        fit = cut(pairs.join(size_a, "a").join(size_b, "b").filter(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)").select("a", "b"))
+        found = cut(verified(fit, texts, n, percent))
         links = found if links is None else links.union(found)
-        root = components(links).select(F.col("id").alias("rep"), F.col("component").alias("root"))
-        group = cut(group.join(root, "rep", "left").select("rep", F.coalesce("root", "rep").alias("c")))
+        root = cut(components(links).select(F.col("id").alias("rep"), F.col("component").alias("root")))
+        group = cut(group.drop("c").join(root, "rep", "left").select("rep", "n_shingles", F.coalesce("root", "rep").alias("c")))
+        # buckets whose members are in different groups go on
+        now = member.select("rep", "band").join(group.select("rep", "c"), "rep").select("band", "rep", "c")
+        open_ = cut(now.groupBy("band").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("band"))
+        if k == hub_rounds or open_.isEmpty():
+            break
+        member = cut(now.join(open_, "band"))
+    group = group.select("rep", "c")
     whole = classes.join(group, "rep", "left").select(*[F.col(c).alias("_" + c) for c in same], F.coalesce("c", "rep").alias("c"))
     cond = (sig.n_shingles == F.col("_n_shingles")) & (sig.s1 == F.col("_s1")) & (sig.s2 == F.col("_s2"))
     out = sig.drop("bands").join(cut(whole), cond, "left").select(
