@@ -97,10 +97,10 @@ def _filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
 
 @dataclass
 class Store:
-    """Tables of sorted 64-bit keys with numbers, in ``1 << bits`` bucket files each, in the shared folder."""
+    """Tables of sorted 64-bit keys with numbers, in ``1 << bits[name]`` bucket files each, in the shared folder."""
 
     uri: str
-    bits: int
+    bits: dict[str, int]
     fetched: bool = False
 
     def write(self, name: str, bucket: int, keys: np.ndarray, columns: list[np.ndarray]) -> None:
@@ -130,7 +130,7 @@ class Store:
         """Columns for the keys, zero where one is absent. Equal keys are looked up once, in sorted order."""
         short, back = np.unique(keys, return_inverse=True)
         out = [np.zeros(len(short)) for _ in types]
-        for b, at in _parts(short, self.bits):
+        for b, at in _parts(short, self.bits[name]):
             have, *columns = self.bucket(name, b, types)
             if not len(have):
                 continue
@@ -186,11 +186,14 @@ def train(docs: DataFrame, least: int = 2, text_col: str = "text") -> Model:
     of the others goes to the lower level, so probabilities still add up to one.
     """
     spark = docs.sparkSession
-    bits = max(8, (4 * int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length())
+    size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    # about 4 MB of text to a bucket of pairs; fewer buckets of words, as each bucket of pairs sends to all of them
+    bits = max(8, (size >> 22).bit_length())
+    word_bits = max(8, bits - 6)
     uri = f"{shared_dir(spark).rstrip('/')}/ngrams-{uuid.uuid4().hex}"
     fs, path = _filesystem(uri)
     fs.create_dir(path, recursive=True)
-    store = Store(uri, bits)
+    store = Store(uri, {"pair": bits, "own": bits, "word": word_bits})
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -233,7 +236,7 @@ def train(docs: DataFrame, least: int = 2, text_col: str = "text") -> Model:
         word, seen = word[order], seen[order]
         first = np.flatnonzero(np.append(True, word[1:] != word[:-1])) if len(word) else np.zeros(0, np.int64)
         if len(first):
-            rows += _packed(HISTORY, word[first], np.add.reduceat(seen, first, axis=0), bits)
+            rows += _packed(HISTORY, word[first], np.add.reduceat(seen, first, axis=0), word_bits)
         return pa.Table.from_batches([_send(rows)])
 
     def add_words(table: pa.Table) -> pa.Table:
