@@ -265,7 +265,8 @@ def without_repeats(docs: DataFrame, least: int = 50, alike: float = 0.8, id_col
                 t = b"".join([*keep, raw[place:]]).decode("utf-8", "surrogatepass")
             out.append(t)
         cols = [pa.array(out, pa.string()) if i == at else c for i, c in enumerate(b.columns[:-1])]
-        return pa.RecordBatch.from_arrays(cols, docs.columns)
-    at = docs.columns.index(text_col)
+        return pa.RecordBatch.from_arrays(cols, names)
+    names = docs.columns
+    at = names.index(text_col)
     types = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes)
     return by_text(docs.join(cut(spans), F.col(id_col) == F.col("_id"), "left").drop("_id"), run, types)
