@@ -321,9 +321,9 @@ def _(t):
     return A.vocabulary(t.edges, t.edges_big, column="action")
 
 
-@query("common_values", "SELECT node FROM types INTERSECT SELECT node FROM scores WHERE score > 150", "types scores")
+@query("common_values", "SELECT node FROM types INTERSECT SELECT node FROM scores", "types scores")
 def _(t):
-    return A.common_values(t.types, t.scores.filter("score > 150"), "node")
+    return A.common_values(t.types, t.scores, "node")
 
 
 @query("missing_values", "SELECT node FROM scores EXCEPT SELECT node FROM types", "types scores")

@@ -205,11 +205,11 @@ def _(t):
 
 
 @query("rank_subgraphs", """
-WITH s AS (SELECT node, max(score) AS score FROM scores GROUP BY node), n AS (SELECT log_type AS subgraph, src AS node FROM edges WHERE value > 150 UNION SELECT log_type, dst FROM edges WHERE value > 150)
+WITH s AS (SELECT node, max(score) AS score FROM scores GROUP BY node), n AS (SELECT log_type AS subgraph, src AS node FROM edges UNION SELECT log_type, dst FROM edges)
 SELECT subgraph, round(0.7 * avg(coalesce(score, 0)) + 0.3 * max(coalesce(score, 0)), 6) AS anomaly_score, count(*) AS num_nodes FROM n LEFT JOIN s ON s.node = n.node GROUP BY subgraph""", "edges scores")
 def _(t):
     mx = t.scores.groupBy("node").agg(F.max("score").alias("score"))
-    e = t.edges.filter("value > 150").select(F.col("log_type").alias("subgraph"), "src", "dst")
+    e = t.edges.select(F.col("log_type").alias("subgraph"), "src", "dst")
     return G.rank_subgraphs(e, mx).withColumn("anomaly_score", F.round("anomaly_score", 6))
 
 

@@ -215,9 +215,9 @@ def _(t):
 
 
 @query("seed_vectors", """
-SELECT 'S' || (label % 3) AS scenario, 'audit' AS log_type, 'w' || (id // 100) AS window_key, id AS log_pos, round(v[1]::DOUBLE, 6) AS v1 FROM vecs WHERE label < 6""", "vecs")
+SELECT 'S' || (label % 3) AS scenario, 'audit' AS log_type, 'w' || (id // 100) AS window_key, id AS log_pos, round(v[1]::DOUBLE, 6) AS v1 FROM vecs""", "vecs")
 def _(t):
     v = t.vecs.select(F.concat(F.lit("S"), F.col("label") % 3).alias("scenario"), F.lit("audit").alias("log_type"),
                       F.concat(F.lit("w"), F.floor(F.col("id") / 100)).alias("window_key"), F.col("id").alias("log_pos"), "v", "label")
-    out = J.seed_vectors(v.filter("label < 6").drop("v", "label"), v.drop("label"), 64)
+    out = J.seed_vectors(v.drop("v", "label"), v.drop("label"), 64)
     return out.select("scenario", "log_type", "window_key", "log_pos", F.round(F.get("v", F.lit(0)).cast("double"), 6).alias("v1"))

@@ -222,9 +222,9 @@ def _(t):
 
 
 @query("hour_calendar", """
-SELECT DISTINCT window_key FROM edges WHERE substr(window_key, 1, 10) BETWEEN '2024-01-10' AND '2024-01-15' AND value > 20""", "edges")
+SELECT DISTINCT window_key FROM edges WHERE substr(window_key, 1, 10) BETWEEN '2024-01-10' AND '2024-01-15'""", "edges")
 def _(t):
-    return W.hour_calendar(t.edges.filter("value > 20"), "2024-01-10", "2024-01-15")
+    return W.hour_calendar(t.edges, "2024-01-10", "2024-01-15")
 
 
 @query("scenario_windows", """
