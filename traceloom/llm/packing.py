@@ -17,45 +17,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from traceloom.llm.bpe import held
 from traceloom.llm.common import by_text, chunks, cut
-from traceloom.llm.bpe import WordBpe
-
-
-class _Library(WordBpe):
-    """The same gathering of ids, with the words' ids from the tokenizers library."""
-
-    def __init__(self, path: str):
-        super().__init__(path)
-        from tokenizers import Tokenizer
-        self.library = Tokenizer.from_file(path)
-        self.library.no_truncation()
-        self.library.no_padding()
-
-    def learn(self, fresh: list[str]) -> None:
-        ids = [e.ids for e in self.library.encode_batch_fast(fresh, add_special_tokens=False)]
-        n = len(self.number)
-        self.number.update(zip(fresh, range(n, n + len(fresh)), strict=True))
-        self.flat = np.concatenate([self.flat, np.fromiter((i for x in ids for i in x), np.uint32)])
-        self.start = np.concatenate([self.start, self.start[-1] + np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)))])
-
-
-_ENCODERS: dict[str, _Library] = {}
 
 
 def cut_pieces(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id",
                text_col: str = "text") -> DataFrame:
     """Tokenised length of every document with an end id, cut into pieces where it exceeds ``capacity``.
 
-    Rows (id, piece, start, length, ids_crc32). Only the digest of the ids leaves the worker. Null texts are empty and
+    Rows (id, piece, start, length, ids_crc32). The ids are those of the
+    tokenizers library, from the encoder of this package, which the tests hold against it. Only their digest leaves the worker. Null texts are empty and
     yield the end id alone.
     """
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        if path not in _ENCODERS:
-            _ENCODERS[path] = _Library(path)
         rows, texts = [], [t or "" for t in b.column(1).to_pylist()]
         at = 0
         for lo, hi in chunks(texts, 4 << 20):
-            for ids, _ in _ENCODERS[path].encode(texts[lo:hi]):
+            for ids, _ in held(path).encode(texts[lo:hi]):
                 ids = np.append(ids, np.uint32(end_id)).astype("<u4")
                 for piece, first in enumerate(range(0, len(ids), capacity)):
                     part = ids[first:first + capacity]
