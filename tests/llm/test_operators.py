@@ -330,3 +330,24 @@ def test_pipeline_runs_its_stages(spark):
         assert after.join(docs, "doc_id", "left_anti").count() == 0
     assert corpus_pipeline.run(spark, sf).columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
     assert public_tokenizers.path("word_bpe_49k.json") == VOCABULARY
+
+
+@pytest.mark.parametrize(("block_rows", "block_shingles"), [(1024, 1 << 18), (4, 1 << 18), (1024, 300)])
+def test_blocks_join_what_brute_force_joins(spark, block_rows, block_shingles):
+    """Members of crowded bands, blocks large and small: the groups are those of all pairs, empty members give nothing."""
+    base = prose(60).split()
+    texts = [" ".join(w if RND.random() > 0.03 else f"x{i}y{k}" for k, w in enumerate(base)) for i in range(40)] + ["", "one two"]
+    members = [(b, i, i - i % 2) for i in range(len(texts)) for b in ((1, 2) if i % 3 else (2, 3))]
+    sets = [shingles(t) for t in texts]
+
+    def grouped(links):
+        root = list(range(len(texts)))
+        for a, b in list(links) + [(i, i - i % 2) for i in root]:
+            old, new = max(root[a], root[b]), min(root[a], root[b])
+            root = [new if r == old else r for r in root]
+        return root
+    want = grouped((i, j) for i in range(len(texts)) for j in range(i)
+                   if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j]))
+    got = minhash.crossed(spark.createDataFrame(members, "band bigint, rep bigint, c bigint"), spark.createDataFrame(list(enumerate(texts)), "id bigint, text string"),
+                          spark.createDataFrame([(i, len(s)) for i, s in enumerate(sets)], "rep bigint, n_shingles bigint"), 5, 75, block_rows, block_shingles)
+    assert grouped((r.a, r.b) for r in got.collect()) == want

@@ -2,8 +2,8 @@
 
 One permutation scatters the shingles over a table; a second one, circularly shifted by k places,
 gives the k-th coordinate. Both are tables, so all coordinates of a shingle are one run of memory.
-Candidates meet in band buckets. A bucket never yields all its pairs at first: it links its members to a hub,
-in several rounds with other hubs, and only members that are still in different groups are compared pairwise.
+Candidates meet in band buckets. A bucket never yields its pairs as rows: it links its members to a hub, in a few
+rounds with other hubs, and members still in different groups meet in blocks, which compare whole sets inside a task.
 """
 
 from __future__ import annotations
@@ -89,7 +89,63 @@ def verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFr
     return by_text(full, run, f"a {kind}, b {kind}")
 
 
-def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 75, bands: int = 64, rows: int = 6, hub_rounds: int = 4,
+def crossed(members: DataFrame, texts: DataFrame, sizes: DataFrame, n: int, percent: int, block_rows: int = 1024, block_shingles: int = 1 << 18) -> DataFrame:
+    """Links (a, b) that join different groups c among members (band, rep, c) of the same band.
+
+    Each member lives in a block of its fullest bucket. Two blocks meet once, whatever number of buckets they share,
+    each with those of its members that lie in a shared bucket. A block holds about ``block_rows`` members or
+    ``block_shingles`` shingles (a longer document stands in one all the same), which bounds a task; of the links
+    between two blocks a spanning forest is returned.
+    """
+    full = members.groupBy("band").agg(F.count(F.lit(1)).alias("n"))
+    home = members.join(full, "band").groupBy("rep").agg(F.max_by("band", F.struct("n", "band")).alias("home"), F.min("c").alias("c")).join(sizes, "rep")
+    home = cut(home)
+    split = home.groupBy("home").agg(F.ceil(F.greatest(F.count(F.lit(1)) / block_rows, F.sum("n_shingles") / block_shingles)).alias("parts"))
+    place = cut(home.join(split, "home").select("rep", "c", F.xxhash64("home", F.pmod(F.xxhash64("rep"), "parts")).alias("block")))
+    side = cut(members.select("band", "rep").join(place, "rep").groupBy("band", "block").agg(
+        F.collect_list("rep").alias("reps"), F.min("c").alias("lo"), F.max("c").alias("hi")))
+    one, two = (side.select("band", *[F.col(c).alias(c + k) for c in ("block", "reps", "lo", "hi")]) for k in "12")
+    met = one.join(two, "band").filter("block1 <= block2 and least(lo1, lo2) <> greatest(hi1, hi2)")
+    # a member has as many bands as the signature, so the lists of a block are bounded too
+    met = cut(met.groupBy("block1", "block2").agg(*[F.array_distinct(F.flatten(F.collect_list(c))).alias(c) for c in ("reps1", "reps2")]))
+    sides = F.when(F.col("block1") == F.col("block2"), F.array(F.struct(F.lit(3).alias("side"), F.col("reps1").alias("reps")))).otherwise(
+        F.array(F.struct(F.lit(1).alias("side"), F.col("reps1").alias("reps")), F.struct(F.lit(2).alias("side"), F.col("reps2").alias("reps"))))
+    rows = met.select("block1", "block2", F.inline(sides)).select("block1", "block2", "side", F.explode("reps").alias("rep"))
+    rows = rows.join(texts.select(F.col("id").alias("rep"), "text"), "rep").join(place.select("rep", "c"), "rep")
+
+    def compare(t: pa.Table) -> pa.Table:
+        rep, side = t.column("rep").combine_chunks(), t.column("side").to_numpy()
+        label = t.column("c").combine_chunks().dictionary_encode().indices.to_numpy().copy()
+        sets = _sets(encoded(t.column("text").combine_chunks()), n)
+        size = np.array([len(s) for s in sets])
+        at = np.concatenate(([0], np.cumsum(size)))
+        _, key = np.unique(np.concatenate(sets), return_inverse=True)
+        owner = np.repeat(np.arange(len(sets)), size)
+        listed = np.flatnonzero(side[owner] & 2)
+        listed = listed[np.argsort(key[listed], kind="stable")]
+        first = np.searchsorted(key[listed], np.arange(key.max() + 2 if len(key) else 1))
+        posted, right = owner[listed], np.flatnonzero(side & 2)
+        a, b = [], []
+        for i in np.flatnonzero(side & 1):
+            if not size[i] or (label[right] == label[i]).all():
+                continue
+            both = np.zeros(len(sets), np.int64)
+            for lo in range(at[i], at[i + 1], 1024):
+                k = key[lo:min(lo + 1024, at[i + 1])]
+                many = first[k + 1] - first[k]
+                run = np.repeat(first[k] - np.cumsum(many) + many, many) + np.arange(many.sum())
+                both += np.bincount(posted[run], minlength=len(sets))
+            hit = np.flatnonzero((both > 0) & (100 * both >= percent * (size + size[i] - both)) & (label != label[i]))
+            old, which = np.unique(label[hit], return_index=True)
+            a += [i] * len(old)
+            b += hit[which].tolist()
+            label[np.isin(label, old)] = label[i]
+        return pa.table([rep.take(pa.array(a, pa.int64())), rep.take(pa.array(b, pa.int64()))], ["a", "b"])
+    kind = members.schema["rep"].dataType.simpleString()
+    return rows.groupBy("block1", "block2").applyInArrow(compare, f"a {kind}, b {kind}")
+
+
+def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 75, bands: int = 64, rows: int = 6, hub_rounds: int = 2,
                     id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: id, n_shingles, component_id (smallest id reachable over links), kept.
 
@@ -115,21 +171,16 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 75, bands: int =
     size_a, size_b = (group.select(F.col("rep").alias(c), F.col("n_shingles").alias("n_" + c)) for c in "ab")
     rank = group.select("rep", "buckets")
     tested = links = None
-    for k in range(hub_rounds + 1):
-        if k == hub_rounds:  # what no hub has joined: all pairs of different groups
-            pairs = member.toDF("band", "a", "ca").join(member.toDF("band", "b", "cb"), "band").filter("a < b")
-        else:
-            hub = cut(member.join(rank, "rep").groupBy("band").agg(F.max_by(F.struct("rep", "c"), F.struct("buckets", F.xxhash64("rep"))).alias("h"))
-                      .select("band", F.col("h.rep").alias("a"), F.col("h.c").alias("ca")))
-            pairs = hub.join(member.toDF("band", "b", "cb"), "band")
+    for _ in range(hub_rounds):
+        hub = cut(member.join(rank, "rep").groupBy("band").agg(F.max_by(F.struct("rep", "c"), F.struct("buckets", F.xxhash64("rep"))).alias("h"))
+                  .select("band", F.col("h.rep").alias("a"), F.col("h.c").alias("ca")))
+        pairs = hub.join(member.toDF("band", "b", "cb"), "band")
         pairs = pairs.filter("ca <> cb").select("a", "b").distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = cut(pairs.join(size_a, "a").join(size_b, "b").filter(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)").select("a", "b"))
         found = cut(verified(pairs, texts, n, percent))
         links = found if links is None else links.union(found)
-        if k == hub_rounds:
-            break
         both = pairs.union(pairs.select("b", "a"))
         tested = both if tested is None else tested.union(both)
         hubs = hub.select(F.col("a").alias("rep")).distinct()
@@ -141,6 +192,8 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 75, bands: int =
         if open_.isEmpty():
             break
         member = cut(now.join(open_, "band"))
+    else:  # what no hub has joined
+        links = links.union(cut(crossed(member, texts, group.select("rep", "n_shingles"), n, percent)))
     group = components(links).select(F.col("id").alias("rep"), F.col("component").alias("c"))
     whole = classes.join(group, "rep", "left").select(*[F.col(c).alias("_" + c) for c in same], F.coalesce("c", "rep").alias("c"))
     cond = (sig.n_shingles == F.col("_n_shingles")) & (sig.s1 == F.col("_s1")) & (sig.s2 == F.col("_s2"))
