@@ -70,3 +70,8 @@ def test_list_and_types(spark):
     assert one(spark, N.parse_list, "['a', \"b\", '']") == ["a", "b"]
     assert one(spark, lambda c: N.compound_type(N.parse_list(c)), "['B', 'a', 'b']") == "a+b"
     assert one(spark, lambda c: N.longest_name(N.parse_list(c)), "['datum', 'xy', 'zz', 'q']") == "xy"
+
+
+@pytest.mark.parametrize("raw", ["0x0", "0xFFFFFFFFFFFFFFFF", "0x10000000000000000", "0x" + "0" * 30, "0x" + "f" * 64, "0x000" + "9a3" * 40, " 0X1" + "0" * 17 + " "])
+def test_hex_of_any_length(spark, raw):
+    assert one(spark, N.hex_to_decimal, raw) == str(int(raw, 16))

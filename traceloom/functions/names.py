@@ -166,10 +166,29 @@ def longest_name(values: Column) -> Column:
                        lambda best, v: F.when(F.length(v) > F.length(best), v).otherwise(best))
 
 
+def _decimal_text(digits: Column) -> Column:
+    """Decimal text of hex digits of any length, worked out in limbs of nine decimal digits, the least first."""
+    base = F.lit(10 ** 9)
+
+    def limb(state: Column, d: Column, by: Column) -> Column:
+        t = d * by + state["carry"]
+        return F.struct(F.array_append(state["limbs"], t % base).alias("limbs"), F.call_function("div", t, base).alias("carry"))
+
+    def times(limbs: Column, piece: Column) -> Column:
+        by = F.pow(F.lit(16), F.length(piece)).cast("bigint")
+        start = F.struct(F.array().cast("array<bigint>").alias("limbs"), F.conv(piece, 16, 10).cast("bigint").alias("carry"))
+        return F.aggregate(limbs, start, lambda state, d: limb(state, d, by), lambda state: F.when(
+            state["carry"] > 0, F.array_append(state["limbs"], state["carry"])).otherwise(state["limbs"]))
+    pieces = F.regexp_extract_all(digits, F.lit("[0-9a-fA-F]{1,7}"), F.lit(0))
+    limbs = F.aggregate(pieces, F.array(F.lit(0).cast("bigint")), times)
+    return F.array_join(F.transform(F.reverse(limbs), lambda d, i: F.when(i == 0, d.cast("string")).otherwise(F.lpad(d.cast("string"), 9, "0"))), "")
+
+
 def hex_to_decimal(c: Column) -> Column:
+    """Decimal text of 0x ids of any length; other values trimmed, otherwise unchanged."""
     s = trim_all(c)
-    ok = s.rlike("^0[xX][0-9a-fA-F]{1,16}$")
-    return F.when(ok, F.conv(F.substring(s, 3, 16), 16, 10)).otherwise(s)
+    return (F.when(s.rlike("^0[xX][0-9a-fA-F]{1,16}$"), F.conv(F.substring(s, 3, 16), 16, 10))
+            .when(s.rlike("^0[xX][0-9a-fA-F]+$"), _decimal_text(F.substring(s, 3, 1 << 30))).otherwise(s))
 
 
 def property_hash(c: Column) -> Column:

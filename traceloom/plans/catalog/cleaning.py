@@ -390,11 +390,13 @@ def _(t):
 
 
 @query("hex_to_decimal", """
-SELECT event_id AS id, h AS raw, CASE WHEN starts_with(h, '0x') AND h <> '0xZZ' THEN CAST(user_id * 1000 + k AS VARCHAR) ELSE h END AS value
-FROM (SELECT *, CASE WHEN k % 10 = 0 THEN '0xZZ' WHEN k % 7 = 0 THEN 'plain' ELSE '0x' || lower(to_hex(user_id * 1000 + k)) END AS h FROM ev)""", "ev")
+SELECT event_id AS id, h AS raw, CASE WHEN starts_with(h, '0x') AND h <> '0xZZ' AND k % 3 = 0 THEN CAST(CAST(user_id * 1000 + k AS HUGEINT) * 18446744073709551616 + 255 AS VARCHAR)
+ WHEN starts_with(h, '0x') AND h <> '0xZZ' THEN CAST(user_id * 1000 + k AS VARCHAR) ELSE h END AS value
+FROM (SELECT *, CASE WHEN k % 10 = 0 THEN '0xZZ' WHEN k % 7 = 0 THEN 'plain' ELSE '0x' || lower(to_hex(user_id * 1000 + k)) || CASE WHEN k % 3 = 0 THEN '00000000000000ff' ELSE '' END END AS h FROM ev)""", "ev")
 def _(t):
     h = (F.when(F.col("k") % 10 == 0, "0xZZ").when(F.col("k") % 7 == 0, "plain")
-         .otherwise(F.concat(F.lit("0x"), F.lower(F.hex(F.col("user_id") * 1000 + F.col("k"))))))
+         .otherwise(F.concat(F.lit("0x"), F.lower(F.hex(F.col("user_id") * 1000 + F.col("k"))),
+                             F.when(F.col("k") % 3 == 0, "00000000000000ff").otherwise(""))))
     return t.ev.select(F.col("event_id").alias("id"), h.alias("raw")).withColumn("value", N.hex_to_decimal(F.col("raw")))
 
 
