@@ -276,22 +276,18 @@ def score(docs: DataFrame, model: np.ndarray, scorer: Scorer, threshold: float =
     Null and empty texts get the score of a text without words. The model's tables have a fixed size. Rows are independent.
     """
     kept = docs.columns
+    own: list[Restorer] = []  # one for each task, made where it runs
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        key = id(scorer)
-        if key not in _RESTORERS:
-            _RESTORERS.clear()
-            _RESTORERS[key] = Restorer(model)
+        if not own:
+            own.append(Restorer(model))
         texts = b.column(b.num_columns - 1).to_pylist()
-        s = scorer.score([_RESTORERS[key].restore(t or "") for t in texts])
+        s = scorer.score([own[0].restore(t or "") for t in texts])
         return pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(s), pa.array((s >= threshold).astype(np.int32))], [*kept, "score", "predicted"])
     types = ", ".join([f"`{c}` {t}" for c, t in docs.dtypes] + ["score double, predicted int"])
     return by_text(docs.select(*kept, F.col(text_col).alias("_text")), run, types)
 
 
-_RESTORERS: dict[int, Restorer] = {}
-
-
 def toxicity(docs: DataFrame, labels: DataFrame, keep: list[str], threshold: float = 0.3, modulus: int = 4, held: int = 2,
              id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """Score every document, having learnt from labels whose crc32(id) mod ``modulus`` is not ``held``.
