@@ -57,13 +57,14 @@ def one_hop_profiles(e: DataFrame, types: DataFrame, untyped: DataFrame | None)
     return out.union(inc).distinct().join(owners.distinct(), "node", "left_semi")
 
 
-def causal_profiles(e: DataFrame, types: DataFrame, seq: str, max_depth: int | None = None, max_nodes: int = 1000) -> DataFrame:
+def causal_profiles(e: DataFrame, types: DataFrame, seq: str, max_depth: int | None = None,
+                    max_nodes: int | None = None) -> DataFrame:
     """Distinct (node, pattern) of causal paths, breadth first from every typed node.
 
     From a start node only typed neighbours along out-edges are followed, each is
     entered once (by the earliest parent, then edge), and every edge looked at adds
-    its whole path as a pattern. The search of a node ends after ``max_nodes``
-    expansions. All start nodes advance together, one level per round, and each
+    its whole path as a pattern. The search of a node ends when nothing new is
+    reached, or after ``max_nodes`` expansions when that is given. All start nodes advance together, one level per round, and each
     round is written out so the lineage stays short.
     """
     t = types.select(F.col("node").alias("dst"), F.col("vtype").alias("_t"))
@@ -75,7 +76,9 @@ def causal_profiles(e: DataFrame, types: DataFrame, seq: str, max_depth: int | N
     found, depth = None, 0
     count = starts.select(F.col("node").alias("start"), F.lit(1).cast("long").alias("_queued"))
     while True:
-        reach = front.filter(F.col("pos") < max_nodes).join(adj.withColumnRenamed("src", "node"), "node")
+        if max_nodes is not None:
+            front = front.filter(F.col("pos") < max_nodes)
+        reach = front.join(adj.withColumnRenamed("src", "node"), "node")
         reach = cut(reach.select("start", F.col("dst").alias("node"), F.when(F.col("path") == "", F.col("step")).otherwise(
             F.concat_ws("|", "path", "step")).alias("path"), "pos", "_s"))
         new = reach.select(F.col("start").alias("node"), F.col("path").alias("pattern")).distinct()
@@ -86,11 +89,11 @@ def causal_profiles(e: DataFrame, types: DataFrame, seq: str, max_depth: int | N
         enter = reach.join(seen, ["start", "node"], "left_anti").groupBy("start", "node").agg(
             F.min_by(F.struct("path", "pos", "_s"), F.struct("pos", "_s", "path")).alias("b")).select("start", "node", "b.*")
         enter = enter.join(count, "start")
-        # positions continue the start node's queue; only the first max_nodes can be expanded
+        # positions continue the start node's queue
         from pyspark.sql import Window
         w = Window.partitionBy("start").orderBy("pos", "_s", "path", "node")
         ranked = enter.withColumn("_r", F.row_number().over(w))
-        nxt = cut(ranked.filter(F.col("_r") <= max_nodes).select(
+        nxt = cut((ranked if max_nodes is None else ranked.filter(F.col("_r") <= max_nodes)).select(
             "start", "node", "path", (F.col("_queued") + F.col("_r") - 1).alias("pos")))
         if nxt.isEmpty():
             break

@@ -164,10 +164,21 @@ def hour_calendar(windows: DataFrame, first_day: str, last_day: str) -> DataFram
 
 
 def graph_windows(e: DataFrame, *by: str) -> DataFrame:
-    """Per window: distinct nodes, distinct pairs, edges and action kinds."""
-    ends = e.select(*by, "action", F.struct("src", "dst").alias("_p"), F.explode(F.array("src", "dst")).alias("node"))
-    return ends.groupBy(*by).agg(F.count_distinct("node").alias("nodes"), F.count_distinct("_p").alias("pairs"),
-                                 (F.count(F.lit(1)) / 2).cast("long").alias("edges"), F.count_distinct("action").alias("actions"))
+    """Per window: distinct nodes, distinct pairs, edges and action kinds.
+
+    Every edge gives four tagged values (two nodes, a pair, an action) that one aggregate makes distinct, combined on the
+    map side; counting them is a second, small one.
+    """
+    def value(kind: str, a: str, b: Column) -> Column:
+        return F.struct(F.lit(kind).alias("_k"), F.col(a).cast("string").alias("_a"), b.cast("string").alias("_b"))
+    none = F.lit(None)
+    values = e.select(*by, F.inline(F.array(value("node", "src", none), value("node", "dst", none), value("pair", "src", F.col("dst")),
+                                            value("action", "action", none))))
+    once = values.groupBy(*by, "_k", "_a", "_b").agg(F.count(F.lit(1)).alias("_n"))
+    pair = F.col("_k") == "pair"
+    return once.groupBy(*by).agg(F.count_if((F.col("_k") == "node") & F.col("_a").isNotNull()).alias("nodes"), F.count_if(pair).alias("pairs"),
+                                 F.sum(F.when(pair, F.col("_n"))).alias("edges"),
+                                 F.count_if((F.col("_k") == "action") & F.col("_a").isNotNull()).alias("actions"))
 
 
 # --- limits and samples --------------------------------------------------------------------

@@ -166,16 +166,17 @@ def nearest(queries: DataFrame, train: DataFrame, k: int, ident: str = "id", blo
     return top_rows(_search(pairs, k, qkind, kind), ["qid"], [F.col("distance"), F.col("tid")], k)
 
 
-def knn_scores(train: DataFrame, test: DataFrame, k: int = 10, ident: str = "id", max_train_sample: int = 50_000) -> DataFrame:
+def knn_scores(train: DataFrame, test: DataFrame, k: int = 10, ident: str = "id",
+               max_train_sample: int | None = None) -> DataFrame:
     """Mean distance to the k nearest train rows over the mean train distance.
 
     Vectors are z-scored with the train statistics. A train row is its own
-    nearest neighbour at distance 0. The train mean comes from at most
-    ``max_train_sample`` rows in a repeatable random order.
+    nearest neighbour at distance 0. The train mean comes from all train rows, or,
+    when ``max_train_sample`` is given, from that many in a repeatable random order.
     """
     stats = dimension_stats(train)
     tr, te = z_scores(train.select(ident, "v"), stats), z_scores(test.select(ident, "v"), stats)
-    sample = tr.orderBy(hash_order("knn", ident), ident).limit(max_train_sample)
+    sample = tr if max_train_sample is None else tr.orderBy(hash_order("knn", ident), ident).limit(max_train_sample)
     base = nearest(sample, tr, k, ident).agg(F.avg("distance").alias("_base"), F.lit(0).alias("_all"))
     per = nearest(te, tr, k, ident).groupBy(F.col("qid").alias(ident)).agg(F.avg("distance").alias("_d"))
     # exactly one row
