@@ -289,6 +289,17 @@ def test_packing_is_gapless_and_tight(spark, docs, texts, empty):
     assert packing.pack_documents(empty, VOCABULARY).count() == 0
 
 
+def test_packing_ends_where_no_bin_can_be_filled(spark, monkeypatch):
+    """Pieces of which no two fit into a sequence, in far more than one group."""
+    levels, level = [], packing.pack_groups
+    monkeypatch.setattr(packing, "pack_groups", lambda *a: levels.append(a[1]) or (level(*a) if len(levels) < 12 else pytest.fail(f"groups {levels}")))
+    rows = [(i, RND.randint(1100, 1900)) for i in range(5000)]
+    got = packing.pack(spark.createDataFrame(rows, "doc_id bigint, length bigint"), group_items=500).collect()
+    assert sorted((r.doc_id, r.length) for r in got) == rows
+    assert len({r.sequence_id for r in got}) == 5000 and all(r.offset == 0 for r in got)
+    assert levels[-1] == 1
+
+
 def test_crossover_keeps_every_item():
     lengths = [RND.randint(1, 99) for _ in range(80)]
     first, second = (packing.evolve(lengths, 100, [], s, 3, 0) for s in (1, 2))

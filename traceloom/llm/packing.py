@@ -2,7 +2,8 @@
 
 Documents are dealt by hash into groups of a bounded size. Each group is solved by several islands,
 one task row each; between rounds every island sends its best packing to the next one. Bins that stay
-short of full are dissolved, and their documents are packed again in fewer groups, down to one.
+short of full are dissolved, and their documents are packed again in fewer groups, down to one. The fuller half of a
+level stays whatever its fill is, so that every level has at most half the documents of the one before.
 """
 
 from __future__ import annotations
@@ -199,8 +200,8 @@ def pack(pieces: DataFrame, capacity: int = 2048, group_items: int = 2000, islan
     """Give every row (length, ...) a ``sequence_id`` and an ``offset``; other columns are kept, but ``item``.
 
     0 < length <= capacity must hold. Pieces as long as a sequence stand alone. Groups hold about
-    ``group_items`` documents whatever the input, so a task's memory is bounded; bins filled below ``full`` are packed
-    again in the next level, until one group is left. An empty table gives an empty table. Rows are numbered as they are written once.
+    ``group_items`` documents whatever the input, so a task's memory is bounded; bins filled below ``full``, or below the median
+    fill of the level's pieces where that is less, are packed again in the next level, until one group is left. An empty table gives an empty table. Rows are numbered as they are written once.
     """
     pieces = cut(pieces.withColumn("item", F.monotonically_increasing_id()))
     alone = pieces.filter(F.col("length") >= capacity).select("item", F.col("item").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
@@ -209,7 +210,8 @@ def pack(pieces: DataFrame, capacity: int = 2048, group_items: int = 2000, islan
         groups = -(-n // group_items)
         got = pack_groups(todo, groups, capacity, islands, rounds, size, children, level)
         name = F.lit(level + 1).cast("long") * (1 << 58) + F.col("group") * (1 << 26) + F.col("bin")
-        keep = F.col("fill") >= int(full * capacity) if groups > 1 else F.lit(True)
+        bound = min(int(full * capacity), got.agg(F.percentile_approx("fill", 0.5)).first()[0])
+        keep = F.col("fill") >= bound if groups > 1 else F.lit(True)
         placed = placed.union(got.filter(keep).select("item", name.alias("sequence_id"), "offset"))
         if groups == 1:
             break
