@@ -227,6 +227,23 @@ def test_repeated_passages(spark, docs, texts, empty):
     assert chaining.repeats(empty).count() == 0
 
 
+def test_repeats_whose_parts_stand_in_earlier_documents(spark):
+    """No first document of a seed holds the repeat, or it stands twice: all its words lie in passages."""
+    one, two, twice = prose(30), prose(30), prose(60)
+    texts = [f"{prose(20)} {one} {prose(20)}", f"{prose(20)} {two} {prose(20)}", f"{prose(40)} {one} {two} {prose(40)}", f"{prose(25)} {one} {two} {prose(25)}",
+             f"{twice} {prose(80)}", f"{prose(10)} {twice} {prose(30)} {twice} {prose(10)}", "same " * 3000, "other " + "same " * 2000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = chaining.repeats(docs).collect()
+    cuts = collections.defaultdict(set)
+    for r in got:
+        assert r.source < r.doc_id and r.end - r.start >= 50 and r.alike >= 0.8
+        cuts[r.doc_id].update(range(r.start, r.end))
+    assert dict(cuts) == {3: set(range(25, 85)), 5: {*range(10, 70), *range(100, 160)}, 7: set(range(1, 2001))}
+    assert {r.source for r in got if r.doc_id == 3} == {2}
+    left = {r.doc_id: len(r.text.split()) for r in chaining.without_repeats(docs).collect()}
+    assert (left[3], left[5], left[7]) == (50, 50, 1)
+
+
 def test_chains_against_all_predecessors():
     for _ in range(30):
         m = RND.randint(1, 12)

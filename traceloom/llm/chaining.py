@@ -4,6 +4,9 @@ Each document is sampled into seeds (the least of the hashes of five words in ev
 several documents points to its first document, so a passage in thousands of documents gives as many matches and no
 pairs among them. Matches of a document with a source are chained in order with gap costs, the best predecessor coming
 from a Fenwick tree of prefix maxima; chains are aligned word by word, and those long and alike enough are passages.
+
+The first documents of a passage's seeds need not hold the passage. So, where all seeds are shared and no passage was
+found, every run of ``least`` words points to the first document of that very run: no verbatim repeat is lost.
 """
 
 from __future__ import annotations
@@ -13,7 +16,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from traceloom.llm.common import by_text, chunks, cut, encoded, grams, words
@@ -31,8 +34,19 @@ def minimizers(g: np.ndarray, window: int) -> np.ndarray:
     return np.unique(last + np.arange(len(view)))
 
 
+def spaced(seed: np.ndarray, pos: np.ndarray, apart: int) -> tuple[np.ndarray, np.ndarray]:
+    """Each seed where it stands first, and again wherever ``apart`` words or more lie behind its last place that counts."""
+    order = np.lexsort((pos, seed))
+    s, p = seed[order], pos[order]
+    keep = np.ones(len(s), bool)
+    for i in np.flatnonzero(s[1:] == s[:-1]) + 1:
+        last = p[i - 1] if keep[i - 1] else last
+        keep[i] = p[i] - last >= apart
+    return s[keep], p[keep]
+
+
 def seeds(docs: DataFrame, k: int = K, window: int = WINDOW) -> DataFrame:
-    """(id, seed, pos): seeds of every whole text; pos counts words. A seed twice in a text counts where it stands first."""
+    """(id, seed, pos): seeds of every whole text, at all their places; pos counts words."""
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         texts, row, seed, pos = encoded(b.column(1)), [], [], []
         for lo, hi in chunks(texts):
@@ -42,10 +56,9 @@ def seeds(docs: DataFrame, k: int = K, window: int = WINDOW) -> DataFrame:
                     continue
                 g = grams(h[i:j], k)
                 p = minimizers(g, window)
-                s, first = np.unique(g[p], return_index=True)
-                row.append(np.full(len(s), lo + n))
-                seed.append(s.view(np.int64))
-                pos.append(p[first])
+                row.append(np.full(len(p), lo + n))
+                seed.append(g[p].view(np.int64))
+                pos.append(p)
         if not row:
             row, seed, pos = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         take = pa.array(np.concatenate(row))
@@ -181,9 +194,128 @@ def align(h: np.ndarray, g: np.ndarray, spans: list[tuple[int, int, int]]) -> tu
     return lo, i, other_lo, j, same / max(i - lo, j - other_lo, 1)
 
 
+def open_runs(pos: np.ndarray, shared: np.ndarray, least: int, spans: list[tuple[int, int]]) -> np.ndarray:
+    """First words of the runs of ``least`` words that may stand in another text: not wholly inside the union of ``spans``.
+
+    ``pos`` are the places of all seeds of a text, ``shared`` tells which the other text has. The windows inside a run have the
+    same seeds in both texts, so a seed that is not shared can only lie near its ends.
+    """
+    pos, order = np.sort(pos), np.argsort(pos)
+    shared = shared[order]
+    own = pos[shared]
+    if not len(own):
+        return own
+    t = np.unique((own[:, None] - np.arange(max(least - K + 1, 1))[None]).ravel())
+    t = t[t >= 0]
+    other = pos[~shared]
+    lo, hi = t + WINDOW - 1, t + least - K - WINDOW + 1
+    t = t[(np.searchsorted(other, hi, side="right") <= np.searchsorted(other, lo)) | (hi < lo)]
+    joined: list[list[int]] = []
+    for a, b in sorted(spans):
+        if joined and a <= joined[-1][1]:
+            joined[-1][1] = max(joined[-1][1], b)
+        else:
+            joined.append([a, b])
+    if joined:
+        a, b = np.array(joined).T
+        k = np.searchsorted(a, t, side="right") - 1
+        t = t[(k < 0) | (b[np.maximum(k, 0)] < t + least)]
+    return t
+
+
+def covering(pos: np.ndarray, source: np.ndarray, other: np.ndarray, least: int) -> list[tuple[int, int, int, int]]:
+    """Few of the matched runs that cover all words of them all: (source number, start, start in the source, words)."""
+    order = np.lexsort((pos, pos - other, source))
+    p, s, o = pos[order], source[order], other[order]
+    first = np.flatnonzero(np.append(True, (np.diff(s) != 0) | (np.diff(p - o) != 0) | (np.diff(p) > 1)))
+    last = np.append(first[1:], len(p)) - 1
+    lo, hi = p[first], p[last] + least
+    order = np.argsort(lo, kind="stable").tolist()
+    out, end, at = [], -1, 0
+    while at < len(order):
+        reach, best = max(end, lo[order[at]]), -1
+        while at < len(order) and lo[order[at]] <= reach:
+            if hi[order[at]] > (hi[best] if best >= 0 else end):
+                best = order[at]
+            at += 1
+        if best >= 0:
+            out.append((int(s[first[best]]), int(lo[best]), int(o[first[best]]), int(hi[best] - lo[best])))
+            end = hi[best]
+    return out
+
+
+def exact_runs(own: DataFrame, marked: DataFrame, found: DataFrame, least: int) -> DataFrame | None:
+    """Runs of ``least`` words outside the passages ``found`` (id, start, end) that an earlier document has: (id, source, spans).
+
+    Each run points to the first document that has all of it, from the seeds ``marked`` (id, seed, pos, source: an earlier document
+    with the seed, or null). Only texts that have seeds of open runs are read. None if there is nothing to look for.
+    """
+    kind = own.schema["id"].dataType.simpleString()
+
+    def ranges(flag: Column, seeds: DataFrame, spans: DataFrame | None) -> DataFrame:
+        by_id = seeds.groupBy("id").agg(F.collect_list(F.struct("pos", "seed", flag.alias("f"))).alias("m"), F.sum(flag.cast("int")).alias("n"))
+        by_id = by_id.filter("n > 0").select("id", "m.pos", "m.seed", "m.f")
+        by_id = by_id.join(spans, "id", "left") if spans is not None else by_id.withColumn("a", F.lit(None).cast("array<bigint>")).withColumn("b", F.col("a"))
+
+        def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for f in frames:
+                out = []
+                for r in f.itertuples(index=False):
+                    pos, seed, flags = np.asarray(r.pos, np.int64), np.asarray(r.seed, np.int64), np.asarray(r.f, bool)
+                    t = open_runs(pos, flags, least, [] if r.a is None else list(zip(r.a.tolist(), r.b.tolist(), strict=True)))
+                    if len(t):
+                        # the first run that begins behind pos - (least - K) begins at pos or before: the seed lies inside it
+                        k = np.minimum(np.searchsorted(t, pos - (least - K)), len(t) - 1)
+                        inside = flags & (t[k] <= pos) & (t[k] >= pos - (least - K))
+                        out.append((r.id, t, np.unique(seed[inside])))
+                yield pd.DataFrame(out, columns=["id", "starts", "seeds"])
+        return cut(by_id.mapInPandas(run, f"id {kind}, starts array<bigint>, seeds array<bigint>"))
+
+    spans = found.groupBy("id").agg(F.collect_list(F.struct("start", "end")).alias("s")).select("id", F.col("s.start").alias("a"), F.col("s.end").alias("b"))
+    searched = ranges(F.col("source").isNotNull(), marked.select("id", "seed", "pos", "source"), spans)
+    if searched.isEmpty():
+        return None
+    wanted = cut(searched.select(F.explode("seeds").alias("seed")).distinct().withColumn("w", F.lit(True)))
+    flagged = marked.select("id", "seed", "pos").join(wanted, "seed", "left").withColumn("w", F.coalesce("w", F.lit(False)))
+    every = ranges(F.col("w"), flagged, None)
+    both = every.select("id", "starts").join(searched.select("id", F.col("starts").alias("open")), "id", "left")
+
+    def hashed(b: pa.RecordBatch) -> pa.RecordBatch:
+        row, gram, pos, opened = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, bool)]
+        for i, text in enumerate(encoded(b.column(3))):
+            h = words([text])[0]
+            if len(h) < least:
+                continue
+            t, o = (np.array(b.column(c)[i].as_py() or [], np.int64) for c in (1, 2))
+            t = t[t <= len(h) - least]
+            row.append(np.full(len(t), i))
+            gram.append(grams(h, least)[t].view(np.int64))
+            pos.append(t)
+            opened.append(np.isin(t, o))
+        row, gram, pos, opened = (np.concatenate(x) for x in (row, gram, pos, opened))
+        return pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row)), pa.array(gram), pa.array(pos.astype(np.int32)), pa.array(opened)],
+                                          ["id", "gram", "pos", "open"])
+    run = cut(by_text(both.join(own, "id").select("id", "starts", "open", "text"), hashed, f"id {kind}, gram bigint, pos int, open boolean"))
+    first = run.groupBy("gram").agg(F.min(F.struct("id", "pos")).alias("s"), F.max("id").alias("last")).filter("s.id <> last").select(
+        "gram", F.col("s.id").alias("source"), F.col("s.pos").alias("other"))
+    matches = run.filter("open").join(first, "gram").filter("source < id").groupBy("id").agg(
+        F.collect_list(F.struct("pos", "source", "other")).alias("m")).select("id", "m.pos", "m.source", "m.other")
+
+    def covered(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            out = []
+            for r in f.itertuples(index=False):
+                codes, sources = pd.factorize(np.asarray(r.source))
+                for s, x, y, n in covering(np.asarray(r.pos, np.int64), codes, np.asarray(r.other, np.int64), least):
+                    out.append((r.id, sources[s], [[x, y, n]]))
+            yield pd.DataFrame(out, columns=["id", "source", "spans"])
+    return cut(matches.mapInPandas(covered, f"id {kind}, source {kind}, spans array<array<bigint>>"))
+
+
 def repeats(docs: DataFrame, least: int = 50, alike: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Passages of at least ``least`` words that an earlier document (smaller id) has too, with small differences.
 
+    Of every verbatim repeat all words lie in passages; a repeat with differences is looked for in the first documents of its seeds.
     Rows (id, start, end, source, source_start, source_end, alike); positions count words, ends excluded; ``alike`` is the
     share of matched words. A document whose whole text an earlier one has is one passage. Texts that are null or
     too short, and rows without an id, have no passage. Of repeated ids one row, that of the smallest text, counts.
@@ -197,14 +329,16 @@ def repeats(docs: DataFrame, least: int = 50, alike: float = 0.8, id_col: str =
     # first document of each seed that stands in two or more
     shared = cut(hits.groupBy("seed").agg(F.min(F.struct("id", "pos")).alias("s"), F.max("id").alias("last")).filter("s.id <> last").select(
         "seed", F.col("s.id").alias("source"), F.col("s.pos").alias("other")))
-    matches = hits.join(shared, "seed").filter("id <> source").groupBy("id", "source").agg(
-        F.sort_array(F.collect_list(F.struct("pos", "other"))).alias("m"))
+    earlier = F.col("source") < F.col("id")
+    marked = cut(hits.join(shared, "seed", "left").select("id", "seed", "pos", F.when(earlier, F.col("source")).alias("source"), "other"))
+    matches = marked.filter("source is not null").groupBy("id", "source").agg(F.sort_array(F.collect_list(F.struct("pos", "other"))).alias("m"))
 
     def chained(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             out = []
             for r in f.itertuples(index=False):
                 x, y = (np.array([int(p[c]) for p in r.m], np.int64) for c in ("pos", "other"))
+                y, x = spaced(y, x, least)  # a seed has one place in the source
                 a, b, n = runs(x, y, K)
                 for c in [part for c in chains(a, b, n) for part in split(c, a, b, n)]:
                     span = max(a[c[-1]] + n[c[-1]] - a[c[0]], b[c[-1]] + n[c[-1]] - b[c[0]])
@@ -214,8 +348,6 @@ def repeats(docs: DataFrame, least: int = 50, alike: float = 0.8, id_col: str =
             yield pd.DataFrame(out, columns=["id", "source", "spans"])
     kind = base.schema["id"].dataType.simpleString()
     likely = cut(matches.mapInPandas(chained, f"id {kind}, source {kind}, spans array<array<bigint>>"))
-    needed = cut(likely.select("id").union(likely.select("source")).distinct())
-    texts = cut(own.join(needed, "id"))
 
     def aligned(b: pa.RecordBatch) -> pa.RecordBatch:
         rows, one, two = [], encoded(b.column(3)), encoded(b.column(4))
@@ -229,9 +361,17 @@ def repeats(docs: DataFrame, least: int = 50, alike: float = 0.8, id_col: str =
         return pa.RecordBatch.from_arrays([b.column(0).take(take), *[pa.array(cols[i], pa.int64()) for i in (1, 2)], b.column(1).take(take),
                                            *[pa.array(cols[i], pa.int64()) for i in (3, 4)], pa.array(cols[5], pa.float64())], names)
     names = [id_col, "start", "end", "source", "source_start", "source_end", "alike"]
-    both = likely.join(texts.select(F.col("id").alias("source"), F.col("text").alias("other")), "source").join(texts, "id")
-    found = by_text(both.select("id", "source", "spans", "text", "other"), aligned,
-                    f"`{id_col}` {kind}, start bigint, `end` bigint, source {kind}, source_start bigint, source_end bigint, alike double")
+
+    def verified(likely: DataFrame) -> DataFrame:
+        needed = cut(likely.select("id").union(likely.select("source")).distinct())
+        texts = cut(own.join(needed, "id"))
+        both = likely.join(texts.select(F.col("id").alias("source"), F.col("text").alias("other")), "source").join(texts, "id")
+        return cut(by_text(both.select("id", "source", "spans", "text", "other"), aligned,
+                           f"`{id_col}` {kind}, start bigint, `end` bigint, source {kind}, source_start bigint, source_end bigint, alike double"))
+    found = verified(likely)
+    rest = exact_runs(own, marked, found.select(F.col(id_col).alias("id"), "start", "end"), least)
+    if rest is not None:
+        found = found.union(verified(rest))
 
     def counted(b: pa.RecordBatch) -> pa.RecordBatch:
         n = [len(t.split()) for t in encoded(b.column(2))]
