@@ -244,6 +244,26 @@ def test_repeats_whose_parts_stand_in_earlier_documents(spark):
     assert (left[3], left[5], left[7]) == (50, 50, 1)
 
 
+def test_parts_of_a_chain_that_is_not_alike_enough():
+    """Long equal pieces between insertions, and a run whose ends hardly agree: every equal piece lies in a passage."""
+    number = iter(range(10 ** 6))
+
+    def new(n):
+        return [next(number) for _ in range(n)]
+    for sizes, gaps in (((50, 50, 50), (20, 20)), ((55, 55), (28,)), ((50, 3, 50), (30, 30))):
+        h, g, spans = new(9), new(5), []
+        for n, gap in zip(sizes, (*gaps, 9), strict=True):
+            spans.append((len(h), len(g), n))
+            piece = new(n)
+            h, g = h + piece + new(gap), g + piece
+        got = chaining.passages(*(np.array(x, np.uint64) for x in (h, g)), spans, 50, 0.8)
+        assert all(r[1] - r[0] >= 50 and r[4] >= 0.8 for r in got)
+        assert all(any(r[0] <= x and x + n <= r[1] for r in got) for x, _, n in spans if n >= 50)
+    piece, tail = new(60), [new(5) + [None] * 12 for _ in range(9)]
+    h, g = (np.array(new(9) + piece + [w if w is not None else next(number) for t in tail for w in t], np.uint64) for _ in "ab")
+    assert chaining.passages(h, g, [(9, 9, 60 + 8 * 17 + 5)], 50, 0.8) == [(9, 74, 9, 74, 1.0)]
+
+
 def test_chains_against_all_predecessors():
     for _ in range(30):
         m = RND.randint(1, 12)

@@ -194,6 +194,33 @@ def align(h: np.ndarray, g: np.ndarray, spans: list[tuple[int, int, int]]) -> tu
     return lo, i, other_lo, j, same / max(i - lo, j - other_lo, 1)
 
 
+def passages(h: np.ndarray, g: np.ndarray, spans: list[tuple[int, int, int]], least: int, alike: float) -> list[tuple[int, int, int, int, float]]:
+    """Aligned passages of a chain: the whole if it is long and alike enough, or else those of its parts on both sides of its widest gap.
+
+    Of a single run that is not alike enough, the longest equal stretches remain, so none of ``least`` words is lost.
+    """
+    out, todo = [], [spans]
+    while todo:
+        part = todo.pop()
+        whole = align(h, g, part)
+        if whole[1] - whole[0] >= least and whole[4] >= alike:
+            out.append(whole)
+        elif len(part) > 1:
+            gaps = [max(b[0] - a[0] - a[2], b[1] - a[1] - a[2]) for a, b in zip(part[:-1], part[1:], strict=True)]
+            k = gaps.index(max(gaps)) + 1
+            todo += [part[k:], part[:k]]
+        elif whole[1] - whole[0] >= least:
+            x, y, n = part[0]
+            back = min(x, y, x - whole[0])
+            m = min(n + max(whole[1] - x - n, 0), len(h) - x, len(g) - y)
+            same = np.concatenate(([False], h[x - back:x + m] == g[y - back:y + m], [False]))
+            edge = np.diff(same.astype(np.int8))
+            for i, j in zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist(), strict=True):
+                if j - i >= least:
+                    out.append((x - back + i, x - back + j, y - back + i, y - back + j, 1.0))
+    return out
+
+
 def open_runs(pos: np.ndarray, shared: np.ndarray, least: int, spans: list[tuple[int, int]]) -> np.ndarray:
     """First words of the runs of ``least`` words that may stand in another text: not wholly inside the union of ``spans``.
 
@@ -353,9 +380,7 @@ def repeats(docs: DataFrame, least: int = 50, alike: float = 0.8, id_col: str =
         rows, one, two = [], encoded(b.column(3)), encoded(b.column(4))
         for i, spans in enumerate(b.column(2).to_pylist()):
             h, g = words([one[i]])[0], words([two[i]])[0]
-            lo, hi, at, to, share = align(h, g, [tuple(s) for s in spans])
-            if hi - lo >= least and share >= alike:
-                rows.append((i, lo, hi, at, to, share))
+            rows += [(i, *p) for p in passages(h, g, [tuple(s) for s in spans], least, alike)]
         cols = list(zip(*rows, strict=True)) or [[]] * 6
         take = pa.array(cols[0], pa.int64())
         return pa.RecordBatch.from_arrays([b.column(0).take(take), *[pa.array(cols[i], pa.int64()) for i in (1, 2)], b.column(1).take(take),
