@@ -146,6 +146,12 @@ def test_language_model_is_kneser_ney(spark, docs, texts, least, empty):
     assert kneser_ney.score(docs, kneser_ney.train(empty), ["doc_id"]).filter("score is null or score > 0").count() == 0
 
 
+def test_language_model_stores_pairs_counted_once(spark):
+    model = kneser_ney.train(spark.createDataFrame([("a b",), ("a b",), ("a c",)], "text string"))
+    token, before, _ = kneser_ney.token_pairs([b"a c"])
+    assert model.least == 1 and model.store.find("pair", kneser_ney.pair_keys(token, before), (np.uint32,))[0].tolist() == [3, 1, 1]
+
+
 def test_restoring_disguised_words(spark):
     plain = spark.createDataFrame([(i, " ".join(RND.choice(["idiot", "the", "house", "clown", "good", "reads", "a", "scum"]) for _ in range(50)))
                                    for i in range(40)], "doc_id bigint, text string")

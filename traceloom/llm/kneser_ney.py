@@ -179,11 +179,11 @@ class Model:
         return np.where(total > 0, (less(a, d) + left * p) / np.maximum(total, 1), p), own
 
 
-def train(docs: DataFrame, least: int = 2, text_col: str = "text") -> Model:
+def train(docs: DataFrame, least: int = 1, text_col: str = "text") -> Model:
     """Count, discount and store the model of the texts. Null texts are empty: one end. Without rows: the uniform model.
 
-    Counts and discounts come from all pairs. The file of pairs keeps those counted ``least`` (1, 2 or 3) times or more; the weight
-    of the others goes to the lower level, so probabilities still add up to one.
+    Counts and discounts come from all pairs. The file of pairs keeps those counted ``least`` (1, 2 or 3) times or more, all by
+    default; the weight of others goes to the lower level, so probabilities still add up to one.
     """
     spark = docs.sparkSession
     size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
