@@ -205,6 +205,18 @@ def test_fingerprints_estimate_generalised_jaccard(spark, docs, texts, empty):
     assert weighted_sampling.fingerprints(empty).count() == 0
 
 
+def test_samples_of_very_long_texts(spark):
+    """50,000 terms a text, frequent ones shared, rare ones not: the collision rate stays the generalised Jaccard similarity."""
+    n, common = 50_000, 2_000
+    w = [50_000 // (i + 1) + 1 for i in range(n)]
+    true = sum(w[:common]) / (sum(w[:common]) + 2 * sum(w[common:]))
+    i = F.col("i")
+    rows = spark.range(2).withColumnRenamed("id", "doc").crossJoin(spark.range(n).withColumnRenamed("id", "i")).select(
+        "doc", F.when(i < common, i).otherwise(i * 2 + F.col("doc") + n).alias("term"), (F.floor(F.lit(50_000) / (i + 1)) + 1).alias("weight"))
+    a, b = (r.samples for r in weighted_sampling.samples(rows, ["doc"], 512).collect())
+    assert len(a) == len(b) == 512 and abs(np.mean(np.array(a) == np.array(b)) - true) < 0.08
+
+
 def test_shards_are_even_and_groups_stay(spark, docs, texts, empty):
     many = docs.unionByName(docs.withColumn("doc_id", F.col("doc_id") + 1000)).union(
         spark.createDataFrame([(None, "no id", None, None, None, None)] * 2, SCHEMA))

@@ -7,8 +7,6 @@ similarity (sum of smaller over sum of larger weights).
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,19 +17,14 @@ BLOCK = 8  # samples that one row of the aggregation carries
 _MASK = (1 << 28) - 1
 
 
-LEVELS = 1024
+def _uniform(bits: Column) -> Column:
+    """A number between 0 and 1, both excluded, from the lower 32 bits."""
+    return (bits.bitwiseAND((1 << 32) - 1).cast("double") + 0.5) / float(1 << 32)
 
 
-def _gamma() -> tuple[Column, Column]:
-    """Values of a Gamma(2, 1) variable and their logarithms at LEVELS even quantiles, as constants of the plan."""
-    values = []
-    for i in range(LEVELS):
-        q, low, high = (i + 0.5) / LEVELS, 0.0, 60.0
-        for _ in range(60):  # the distribution function is 1 - (1 + x) exp(-x)
-            x = (low + high) / 2
-            low, high = (x, high) if 1 - (1 + x) * math.exp(-x) < q else (low, x)
-        values.append(low)
-    return F.array(*map(F.lit, values)), F.array(*[F.lit(math.log(v)) for v in values])
+def _gamma(h: Column) -> Column:
+    """A Gamma(2, 1) variable from the two halves of a hash: the sum of two exponential ones."""
+    return -F.log(_uniform(h) * _uniform(F.shiftrightunsigned(h, 32)))
 
 
 def samples(terms: DataFrame, keys: list[str], count: int = 64, term: str = "term", weight: str = "weight") -> DataFrame:
@@ -39,12 +32,11 @@ def samples(terms: DataFrame, keys: list[str], count: int = 64, term: str = "ter
     rows = terms.select(*keys, F.col(term).alias("_t"), F.log(F.col(weight).cast("double")).alias("_w"),
                         F.explode(F.sequence(F.lit(0), F.lit(count // BLOCK - 1))).alias("_b"))
     rows = rows.withColumn("_t", F.xxhash64("_t", "_b"))
-    mins, (gamma, log_gamma) = [], _gamma()
+    mins = []
     for k in range(BLOCK):
-        h = F.xxhash64("_t", F.lit(k))
-        r = F.get(gamma, h.bitwiseAND(LEVELS - 1).cast("int"))
-        c = F.get(log_gamma, F.shiftrightunsigned(h, 10).bitwiseAND(LEVELS - 1).cast("int"))
-        beta = F.shiftrightunsigned(h, 20).bitwiseAND(65535).cast("double") / 65536
+        # own hashes for the two gamma variables, and for the offset and the name
+        r, c, h = (F.xxhash64("_t", F.lit(3 * k + i)) for i in range(3))
+        r, c, beta = _gamma(r), F.log(_gamma(c)), _uniform(h)
         t = F.floor(F.col("_w") / r + beta)
         low = c - r * (t - beta) - r
         sign = (F.shiftrightunsigned(h, 36) + t * 7919).bitwiseAND(_MASK)
