@@ -163,6 +163,19 @@ def test_restoring_disguised_words(spark):
     assert own.restore("you c l o w n good") == b"you clown good"
 
 
+def test_restoring_long_and_mixed_disguises(spark):
+    """Spaced sentences of any length, and spacing together with signs or accented letters."""
+    plain = spark.createDataFrame([(i, " ".join(RND.choice(["idiot", "the", "house", "clown", "good", "reads", "größe", "scum"]) for _ in range(50)))
+                                   for i in range(40)], "doc_id bigint, text string")
+    own = toxicity.Restorer(toxicity.character_model(plain))
+    for odd, want in (("1 d 1 0 t", "idiot"), ("i d 1 o t", "idiot"), ("g r ö ß e", "größe"), ("$ c u m", "scum")):
+        assert own.restore(f"the house {odd} reads good").decode() == f"the house {want} reads good"
+    line = ["idiot", "the", "clown", "house", "scum", "good"] * 40
+    got = own.restore("reads " + " ".join("".join(line)) + " reads").decode()
+    assert got.replace(" ", "") == "reads" + "".join(line) + "reads" and got.count(" ") < len("".join(line)) / 3
+    assert own.restore("see 1 2 3 4 0 1 there") == b"see 1 2 3 4 0 1 there"
+
+
 def test_toxicity_scores_held_out(spark, empty):
     bad = ["zorg", "blaff", "krunt"]
     rows, labels = [], []

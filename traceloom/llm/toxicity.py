@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from os.path import commonprefix
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +29,7 @@ LETTERS = "abcdefghijklmnopqrstuvwxyz" + ACCENTED
 SIZE = 64  # classes: 0 for any other character, letters from 1
 COST = {"sign": 1.0, "kept": 4.0, "dropped": 1.0, "repeat": 0.7, "space": 1.5}  # in nats, against leaving a character as it is
 PREFIXES = (4, 5, 6)  # bytes
+WINDOW = 64  # characters between two settlings of a path; stretches up to it are remembered
 CODE = {c: i + 1 for i, c in enumerate(LETTERS)}
 _CLASS = np.zeros(0x250, np.int64)
 for _c, _i in CODE.items():
@@ -67,8 +69,12 @@ def character_model(docs: DataFrame, text_col: str = "text") -> np.ndarray:
 
 
 def decode(observed: str, model: np.ndarray) -> str:
-    """The likeliest intended text of an odd stretch: Viterbi over its lattice, states are the last two letters."""
+    """The likeliest intended text of an odd stretch: Viterbi over its lattice, states are the last two letters.
+
+    What all paths have in common is settled as it goes, so paths stay short whatever the stretch's length is.
+    """
     states: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+    settled: list[str] = []
     for i, c in enumerate(observed + " "):
         last = i == len(observed)
         inside = 0 < i < len(observed) - 1
@@ -95,13 +101,18 @@ def decode(observed: str, model: np.ndarray) -> str:
                 if key not in after or value < after[key]:
                     after[key] = value
         states = after
-    return min(states.values())[1]
+        if i % WINDOW == WINDOW - 1:
+            same = commonprefix([text for _, text in states.values()])
+            settled.append(same)
+            states = {key: (cost, text[len(same):]) for key, (cost, text) in states.items()}
+    return "".join([*settled, min(states.values())[1]])
 
 
 def odd_words(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """First and last word numbers of the stretches that may be disguised (``data``: lower-case bytes).
 
-    A sign next to a letter, a separator between letters, a letter three times, or three or more single letters.
+    A sign next to a letter, a separator between letters, a letter three times, or three or more single characters
+    that are letters (accented ones too) or signs, one letter at least.
     """
     letter, sign = _IS_LETTER[data], _IS_SIGN[data]
     flag = np.zeros(len(data), bool)
@@ -114,10 +125,13 @@ def odd_words(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.
     if len(start) and len(at):
         w = np.searchsorted(start, at, side="right") - 1
         odd[w[w >= 0]] = True
-    single = (end - start == 1) & letter[start] if len(start) else np.zeros(0, bool)
+    # two bytes from 0xC3 are U+00C0 to U+00FF
+    alone = (end - start == 1) & letter[start] | (end - start == 2) & (data[start] == 0xC3) if len(start) else np.zeros(0, bool)
+    single = alone | (end - start == 1) & sign[start] if len(start) else alone
     edge = np.diff(np.concatenate(([False], single, [False])).astype(np.int8))
     a, b = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1) - 1
-    long = b - a >= 2
+    letters = np.concatenate(([0], np.cumsum(alone)))
+    long = (b - a >= 2) & (letters[b + 1] > letters[a])
     a, b = a[long], b[long]
     odd[np.repeat(a, b - a + 1) + np.arange(int((b - a + 1).sum())) - np.repeat(np.cumsum(b - a + 1) - (b - a + 1), b - a + 1)] = False
     lone = np.flatnonzero(odd)
@@ -126,10 +140,11 @@ def odd_words(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.
 
 
 class Restorer:
-    """Restores whole texts; decoded stretches are remembered, up to a bound."""
+    """Restores whole texts; decoded stretches are remembered, up to a bound, but for long ones."""
 
     def __init__(self, model: np.ndarray, held: int = 100_000):
-        self.read = lru_cache(held)(lambda s: decode(s, model))
+        kept = lru_cache(held)(lambda s: decode(s, model))
+        self.read = lambda s: kept(s) if len(s) <= WINDOW else decode(s, model)
 
     def restore(self, text: str) -> bytes:
         raw = text.lower().encode("utf-8", "surrogatepass")
@@ -142,7 +157,7 @@ class Restorer:
         for f, l in zip(start[first].tolist(), end[last].tolist(), strict=True):
             s = " ".join(raw[f:l].decode("utf-8", "surrogatepass").split())
             core = s.strip(".,;:?\"'()[]{}<>#%&*=~-_")
-            out += [raw[at:f], self.read(core).encode("utf-8", "surrogatepass") if 2 < len(core) <= 64 else raw[f:l]]
+            out += [raw[at:f], self.read(core).encode("utf-8", "surrogatepass") if len(core) > 2 else raw[f:l]]
             at = l
         return b"".join([*out, raw[at:]])
 
