@@ -411,6 +411,15 @@ def test_pipeline_runs_its_stages(spark):
     assert public_tokenizers.path("word_bpe_49k.json") == VOCABULARY
 
 
+def test_near_copies_stage_with_null_and_repeated_ids(spark):
+    import corpus_pipeline
+    one, two, three = prose(80), prose(80), prose(80)
+    rows = [(None, one), (5, two), (5, two), (9, three), (None, three), (7, three), (3, None), (None, None)]
+    got = corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(rows, "doc_id bigint, text string"), "").collect()
+    key = lambda r: (r[0] is None, r[0] or 0, r[1] or "")
+    assert sorted(map(tuple, got), key=key) == sorted([(None, one), (5, two), (7, three), (3, None), (None, None)], key=key)
+
+
 @pytest.mark.parametrize(("block_rows", "block_shingles"), [(1024, 1 << 18), (4, 1 << 18), (1024, 300)])
 def test_blocks_join_what_brute_force_joins(spark, block_rows, block_shingles):
     """Members of crowded bands, blocks large and small: the groups are those of all pairs, empty members give nothing."""
