@@ -233,7 +233,8 @@ class Index:
         size = probes.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / 256).cast("int").alias("parts"))
         packed = probes.join(size, "leaf").withColumn("part", F.pmod(F.xxhash64("row"), F.col("parts")).cast("int")).groupBy("leaf", "part").agg(
             F.collect_list(F.struct("row", "label", "v", "low", "high")).alias("probes"))
-        pairs = packed.select("leaf", "probes").join(self.blocks.select("leaf", "rows"), "leaf").select("probes", "rows")
+        # both sides grow with the data, and Spark's estimate does not see that probes are repeated for every leaf: no broadcast
+        pairs = packed.select("leaf", "probes").join(self.blocks.select("leaf", "rows").hint("merge"), "leaf").select("probes", "rows")
 
         def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
