@@ -165,9 +165,22 @@ def colon_parts(c: Column) -> Column:
 
 
 def comma_parts(c: Column) -> Column:
-    """Split at commas outside one level of parentheses (array)."""
-    marked = F.regexp_replace(c, r",(?![^()]*\))", "\u0001")
-    return F.filter(F.transform(F.split(marked, "\u0001"), trim_all), lambda x: x != "")
+    """Split at commas outside parentheses, whatever their depth (array of non-empty parts).
+
+    A fold over brackets, commas and the text between them; its state is the depth, the piece so far and the pieces before. A
+    closing bracket without an opening one leaves the depth below zero, where nothing is split.
+    """
+    start = F.struct(F.lit(0).alias("depth"), F.lit("").alias("piece"), F.array().cast("array<string>").alias("parts"))
+
+    def step(s: Column, t: Column) -> Column:
+        ends = (t == ",") & (s["depth"] == 0)
+        return F.struct((s["depth"] + F.when(t == "(", 1).when(t == ")", -1).otherwise(0)).alias("depth"),
+                        F.when(ends, "").otherwise(F.concat(s["piece"], t)).alias("piece"),
+                        F.when(ends, F.concat(s["parts"], F.array(s["piece"]))).otherwise(s["parts"]).alias("parts"))
+
+    tokens = F.regexp_extract_all(c, F.lit(r"[^(),]+|[(),]"), F.lit(0))
+    parts = F.aggregate(tokens, start, step, lambda s: F.concat(s["parts"], F.array(s["piece"])))
+    return F.filter(F.transform(parts, trim_all), lambda x: x != "")
 
 
 def action_before_equals(c: Column) -> Column:

@@ -10,7 +10,6 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,9 +17,9 @@ from traceloom.functions import cdm
 from traceloom.functions import edge_text as T
 from traceloom.operators.common import first_rows, parsed_rows
 from traceloom.operators.filters import REVERSE_TYPES
+from traceloom.operators.pattern_index import FIELDS, LITERALS, _parts, required_literal, with_edges
 
-FIELDS = ("source", "dest", "action", "timestamp")
-LITERALS = (T.NO_LABEL, T.NO_TIMESTAMP, "No Regex")
+INDEXED = 16  # from so many rules on a plan with one expression tree for each would outgrow what Spark compiles
 EDGE = "array<struct<src:string,dst:string,action:string,ts:string>>"
 
 
@@ -41,6 +40,12 @@ def _single(line: Column, pattern: str) -> tuple[Column, Column]:
     return line.rlike(pattern), F.concat_ws(":", *[F.regexp_extract(line, pattern, i + 1) for i in range(groups)])
 
 
+def _literals(p: dict) -> list[str]:
+    """Texts that a line must hold to match a rule, one of each expression at most."""
+    found = {required_literal(x) for f in FIELDS for x in _parts(p.get(f))}
+    return sorted(found - {""}, key=len, reverse=True)
+
+
 def _field(line: Column, pattern) -> tuple[Column, Column]:
     """(matches, value) of a field given as one pattern, a tuple of parts, or nothing."""
     if pattern is None:
@@ -85,7 +90,11 @@ def match_patterns(line: Column, patterns: Sequence[dict]) -> Column:
             return F.flatten(F.transform(srcs, lambda s: F.transform(dsts, lambda d: F.struct(
                 unquote(s).alias("src"), unquote(d).alias("dst"), unquote(act).alias("action"), ts.alias("ts")))))
 
-        found.append(F.when(s_ok & d_ok & a_ok & t_ok, cross(srcs, dsts, act, ts)).otherwise(F.array().cast(EDGE)))
+        # plain substring tests first: they spare the expressions on lines of other rules
+        ok = s_ok & d_ok & a_ok & t_ok
+        for text in _literals(p):
+            ok = F.contains(line, F.lit(text)) & ok
+        found.append(F.when(ok, cross(srcs, dsts, act, ts)).otherwise(F.array().cast(EDGE)))
     return F.array_distinct(F.flatten(F.array(*found)))
 
 
@@ -185,15 +194,20 @@ def name_pairs(line: Column, patterns: Sequence[dict]) -> Column:
 
 
 def extract_edges(logs: DataFrame, patterns: Sequence[dict], name_patterns: Sequence[dict] = (),
-                  merge: str | None = None, builtin_ids: bool = True) -> DataFrame:
+                  merge: str | None = None, builtin_ids: bool = True, indexed: bool | None = None) -> DataFrame:
     """Log lines to clean edges: ``log_idx, source_id, source_name, dest_id, dest_name, action, timestamp``.
 
     Log types without ids of their own (``builtin_ids=False``) carry the names in
     the name columns and leave the id columns null. ``merge`` is None, 'plain' or
-    'smart'. One narrow stage throughout.
+    'smart'. One narrow stage throughout. ``indexed`` finds matches through the literal index (the default from
+    ``INDEXED`` patterns on); both ways give the same edges where Java and Python read the expressions alike.
     """
     carry = [c for c in logs.columns if c != "line"]
-    raw = logs.select("*", tidy_edges(match_patterns(F.col("line"), patterns), builtin_ids).alias("_e"))
+    if indexed or indexed is None and len(patterns) >= INDEXED:
+        found = with_edges(logs, order_patterns(patterns), "_m")
+        raw = found.select(*logs.columns, tidy_edges(F.col("_m"), builtin_ids).alias("_e"))
+    else:
+        raw = logs.select("*", tidy_edges(match_patterns(F.col("line"), patterns), builtin_ids).alias("_e"))
     if merge:
         raw = raw.withColumn("_e", merge_repeats(F.col("_e"), merge == "smart"))
     if builtin_ids and name_patterns:
@@ -219,39 +233,13 @@ def extract_edges(logs: DataFrame, patterns: Sequence[dict], name_patterns: Sequ
 
 
 def match_with_python(logs: DataFrame, patterns: Sequence[dict]) -> DataFrame:
-    """The matching step for patterns that need Python's ``re`` (one edge row per match).
+    """The matching step through the literal index and Python's ``re``: one row per edge (log_idx, src, dst, action, ts).
 
-    Rows stay in their input split; only plain pattern text travels to the tasks.
+    Made for many patterns, and for expressions that Java cannot compile; tuples and several groups count as in
+    ``match_patterns``. Rows stay in their input split.
     """
-    plain = [{f: p.get(f) for f in FIELDS} for p in order_patterns(patterns)]
-
-    def one(regex, text):
-        if regex is None or isinstance(regex, str):
-            return regex
-        m = regex.search(text)
-        if m is None:
-            return None
-        g = m.groups()
-        return ":".join(x or "" for x in g) if len(g) > 1 else (g[0] if g else m.group(0))
-
-    def run(batches):
-        compiled = [{f: v if v is None or v in LITERALS else re.compile(v) for f, v in p.items()} for p in plain]
-        for pdf in batches:
-            out = []
-            for idx, line in zip(pdf["log_idx"], pdf["line"]):
-                seen = set()
-                for p in compiled:
-                    vals = [one(p[f], line) for f in FIELDS]
-                    if any(v is None and p[f] is not None for f, v in zip(FIELDS, vals)):
-                        continue
-                    row = (vals[0] or "", vals[1] or "", vals[2] or T.NO_LABEL,
-                           T.UNKNOWN_TS if vals[3] in (None, T.NO_TIMESTAMP) else vals[3])
-                    if row not in seen:
-                        seen.add(row)
-                        out.append((idx, *row))
-            yield pd.DataFrame(out, columns=["log_idx", "src", "dst", "action", "ts"])
-
-    return logs.select("log_idx", "line").mapInPandas(run, "log_idx bigint, src string, dst string, action string, ts string")
+    found = with_edges(logs.select("log_idx", "line"), order_patterns(patterns))
+    return found.select("log_idx", F.inline("_e"))
 
 
 # --- CDM records ---------------------------------------------------------------------------

@@ -286,6 +286,17 @@ def _(t):
     return C.split_comma_actions(t.named.select(F.col("event_id").alias("id"), a.alias("action")))
 
 
+@query("split_nested_actions", """
+SELECT id, unnest(parts) AS action, (generate_subscripts(parts, 1) - 1)::BIGINT AS part_no FROM
+ (SELECT event_id AS id, CASE WHEN k % 2 = 0 THEN [kind || ' (a, (b, (c, ' || k || ')), d)', event_type, '(k, (x)) y'] ELSE ['f(' || k || ') g', kind || '), z'] END
+  AS parts FROM named)""", "named")
+def _(t):
+    k = F.col("k").cast("string")
+    a = F.when(F.col("k") % 2 == 0, F.concat(F.col("kind"), F.lit(" (a, (b, (c, "), k, F.lit(")), d), "), F.col("event_type"), F.lit(" , (k, (x)) y,"))).otherwise(
+        F.concat(F.lit("f("), k, F.lit(") g,"), F.col("kind"), F.lit("), z")))
+    return C.split_comma_actions(t.named.select(F.col("event_id").alias("id"), a.alias("action")))
+
+
 ACTION_TEXT = """(SELECT event_id AS id, CASE k % 14 WHEN 0 THEN 'A handle to an object was requested.' WHEN 1 THEN 'The handle to an object was Closed'
  WHEN 2 THEN 'An attempt was made to access an object' WHEN 3 THEN 'Accesses  ReadData (or ListDirectory)' WHEN 4 THEN 'HTTP' WHEN 5 THEN 'Main Thread'
  WHEN 6 THEN 'the handle to an object was duplicated' WHEN 7 THEN 'Accesses WRITE_DAC x' || k WHEN 8 THEN 'the Access  Mask is ' || k

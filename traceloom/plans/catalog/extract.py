@@ -84,6 +84,42 @@ def _(t):
     return X.match_with_python(text_logs(t, "dns"), DNS_PATTERNS)
 
 
+def many_rules(n: int = 1000) -> list[dict]:
+    """Rules of single tools, hosts and pages: about ``n``, of which a line meets a few."""
+    rules: list[dict] = []
+    for i in range(n // 4):
+        rules += [
+            {"source": r"Subject ID: (\w+)", "dest": rf"Object Name: (tool{i}\.exe)", "action": r"(?s)Accesses: (.*?) Time:", "timestamp": r"Time: (\S+)$"},
+            {"source": r"(U\d+) A+:", "dest": rf"A+: (host{i}\.net) resolve", "action": r"(resolve)", "timestamp": r"^(\S+ \S+)"},
+            {"source": r"from (\S+)", "dest": rf"uri=(http://h{i}/) alt=(\S+)", "action": rf"https (GET) \w+"},
+            {"source": (r"Subject ID: (\w+)", rf"Object ID: (H{i}) "), "dest": ("NOT APPLICABLE", r"Object Name: (\S+)"), "action": "NO LABEL"}]
+    return rules
+
+
+@query("match_patterns_many", """
+SELECT e.event_id AS log_idx, u.src, u.dst, u.action, u.ts FROM ev e, LATERAL (
+ SELECT 'U' || user_id AS src, 'tool' || k || '.exe' AS dst,
+  CASE k % 5 WHEN 0 THEN 'ReadData:WriteData 4416' WHEN 1 THEN 'DELETE' WHEN 2 THEN '12' WHEN 3 THEN 'Open' || chr(9) || 'Close:' ELSE 'tool' || k || '.exe' END AS action,
+  CASE WHEN k % 9 = 0 THEN 'PM' ELSE """ + CLOCK + """ || ':PM' END AS ts WHERE k < 250 AND log_type = 'audit'
+ UNION ALL SELECT 'U' || user_id || ':H' || k, 'tool' || k || '.exe', 'NO LABEL', '...' WHERE k < 250 AND log_type = 'audit'
+ UNION ALL SELECT 'U' || user_id, 'host' || k || '.net', 'resolve', """ + DAY + """ || ' ' || """ + CLOCK + """ WHERE k < 250 AND log_type = 'dns'
+ UNION ALL SELECT 'page' || user_id || '.html', unnest(['http://h' || k || '/', 'http://h' || k]), 'GET', '...' WHERE k < 250 AND log_type = 'firefox') u""", "ev")
+def _(t):
+    lines = text_logs(t, "audit").withColumn("log_type", F.lit("audit")).union(text_logs(t, "dns").withColumn("log_type", F.lit("dns"))).union(
+        text_logs(t, "firefox").withColumn("log_type", F.lit("firefox")))
+    kept = t.ev.select(F.col("event_id").alias("log_idx"), "log_type")
+    return X.match_with_python(lines.join(kept, ["log_idx", "log_type"]), many_rules())
+
+
+@query("extract_many_patterns", f"""
+SELECT event_id AS log_idx, 'U' || user_id AS source_id, '' AS source_name, 'H' || k AS dest_id, 'tool' || k || '.exe' AS dest_name, action, {CLOCK} AS timestamp FROM (
+ SELECT *, unnest(CASE k % 5 WHEN 0 THEN ['ReadData', 'WriteData'] WHEN 1 THEN ['DELETE'] WHEN 3 THEN ['Open', 'Close'] ELSE [] END) AS action
+ FROM ev WHERE k % 9 <> 0 AND k < 500) WHERE levenshtein('U' || user_id, 'H' || k) <> 1""", "ev")
+def _(t):
+    rules = [{**AUDIT_PATTERNS[0], "dest": rf"Object ID: (H{i}) "} for i in range(500)]
+    return X.extract_edges(text_logs(t, "audit"), rules, AUDIT_NAMES)
+
+
 @query("match_tuple_patterns", """
 SELECT event_id AS log_idx, 'U' || user_id || ':H' || k AS src, 'tool' || k || '.exe' AS dst, 'NO LABEL' AS action, '...' AS ts FROM ev""", "ev")
 def _(t):
