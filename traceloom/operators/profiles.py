@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from traceloom.operators.common import top_rows, with_group_stats
+from traceloom.operators.ordered import row_index
 from traceloom.session import cut
 
 
@@ -57,52 +58,80 @@ def one_hop_profiles(e: DataFrame, types: DataFrame, untyped: DataFrame | None)
     return out.union(inc).distinct().join(owners.distinct(), "node", "left_semi")
 
 
+def causal_tree(e: DataFrame, types: DataFrame, seq: str, max_depth: int | None = None, max_nodes: int | None = None) -> DataFrame:
+    """Breadth-first trees from every typed node: (start, node, parent, step, pos), the start itself with a null parent.
+
+    From a start node only typed neighbours along out-edges are followed; each is entered once, by the earliest parent, then edge.
+    ``pos`` is the place in the start's queue. All start nodes advance together, one level per round, with or without a bound of
+    depth; a row holds its parent and one step, so its size does not grow with the depth. Positions come from a range-partitioned
+    scan, so a start that reaches most of the graph is spread over tasks.
+    """
+    t = types.select(F.col("node").alias("dst"), F.col("vtype").alias("_t"))
+    typed = e.select("src", "dst", F.lower("action").alias("act"), F.col(seq).alias("_s")).join(t, "dst")
+    # of several edges between two nodes the earliest is the one that enters
+    entry = F.min_by(F.concat_ws("_", "act", "_t"), F.struct("_s", F.concat_ws("_", "act", "_t")))
+    adj = cut(typed.groupBy(F.col("src").alias("node"), F.col("dst").alias("next")).agg(entry.alias("step"), F.min("_s").alias("_s")))
+    starts = adj.select("node").distinct().join(types.select("node"), "node", "left_semi")
+    none = F.lit(None).cast("string")
+    front = cut(starts.select(F.col("node").alias("start"), "node", none.alias("parent"), none.alias("step"), F.lit(0).cast("long").alias("pos")))
+    levels, seen = [front], [front]
+    while max_depth is None or len(levels) < max_depth:
+        open_ = front if max_nodes is None else front.filter(F.col("pos") < max_nodes)
+        reach = open_.select("start", "node", "pos").join(adj, "node").select(
+            "start", F.col("next").alias("node"), F.col("node").alias("parent"), "step", "pos", "_s")
+        known = seen[0].select("start", "node")
+        for more in seen[1:]:
+            known = known.union(more.select("start", "node"))
+        enter = reach.join(known, ["start", "node"], "left_anti").groupBy("start", "node").agg(
+            F.min_by(F.struct("parent", "step", "pos", "_s"), F.struct("pos", "_s", "step", "parent")).alias("b")).select("start", "node", "b.*")
+        last = front.groupBy("start").agg((F.max("pos") + 1).alias("_queued"))
+        ranked = row_index(enter, ["start"], ["pos", "_s", "step", "node"], "_r")
+        front = cut(ranked.join(last, "start").select("start", "node", "parent", "step", (F.col("_queued") + F.col("_r")).alias("pos")))
+        if front.isEmpty():
+            break
+        levels.append(front)
+        seen.append(front)
+        if len(seen) > 8:  # a deep search keeps its plan short
+            whole = seen[0].select("start", "node")
+            for more in seen[1:]:
+                whole = whole.union(more.select("start", "node"))
+            seen = [cut(whole)]
+    tree = levels[0]
+    for more in levels[1:]:
+        tree = tree.union(more)
+    return tree
+
+
+def path_texts(tree: DataFrame) -> DataFrame:
+    """Paths of a ``causal_tree``: (start, node, path), the steps joined by '|', empty for the start.
+
+    Pointer doubling: a row knows the steps back to an ancestor, and every round joins it with that ancestor's row, so a path
+    of d steps is whole after log2(d) rounds.
+    """
+    rows = cut(tree.select("start", "node", F.col("parent").alias("anc"), "step"))
+    while not (open_ := rows.filter("anc IS NOT NULL")).isEmpty():
+        # where the ancestor is the start, its row has no steps and the path is whole
+        up = rows.select("start", F.col("node").alias("anc"), F.col("anc").alias("_a"), F.col("step").alias("_s"))
+        joined = open_.join(up, ["start", "anc"]).select("start", "node", F.col("_a").alias("anc"), F.concat_ws("|", "_s", "step").alias("step"))
+        rows = cut(rows.filter("anc IS NULL").union(joined))
+    return rows.select("start", "node", F.coalesce("step", F.lit("")).alias("path"))
+
+
 def causal_profiles(e: DataFrame, types: DataFrame, seq: str, max_depth: int | None = None,
                     max_nodes: int | None = None) -> DataFrame:
     """Distinct (node, pattern) of causal paths, breadth first from every typed node.
 
-    From a start node only typed neighbours along out-edges are followed, each is
-    entered once (by the earliest parent, then edge), and every edge looked at adds
-    its whole path as a pattern. The search of a node ends when nothing new is
-    reached, or after ``max_nodes`` expansions when that is given. All start nodes advance together, one level per round, and each
-    round is written out so the lineage stays short.
+    Every typed out-edge of every node of a start's ``causal_tree`` adds the path to it and its own step as a pattern. The search
+    of a node ends when nothing new is reached; ``max_depth`` bounds the steps of a pattern, ``max_nodes`` the expansions.
     """
+    tree = causal_tree(e, types, seq, max_depth, max_nodes)
+    paths = path_texts(tree)
+    if max_nodes is not None:
+        paths = paths.join(tree.filter(F.col("pos") < max_nodes).select("start", "node"), ["start", "node"])
     t = types.select(F.col("node").alias("dst"), F.col("vtype").alias("_t"))
-    adj = e.select("src", "dst", F.lower("action").alias("act"), F.col(seq).alias("_s")).join(t, "dst")
-    adj = cut(adj.groupBy("src", "dst", F.concat_ws("_", "act", "_t").alias("step")).agg(F.min("_s").alias("_s")))
-    starts = adj.select(F.col("src").alias("node")).distinct().join(types.select("node"), "node", "left_semi")
-    front = starts.select(F.col("node").alias("start"), "node", F.lit("").alias("path"), F.lit(0).cast("long").alias("pos"))
-    seen = front.select("start", "node")
-    found, depth = None, 0
-    count = starts.select(F.col("node").alias("start"), F.lit(1).cast("long").alias("_queued"))
-    while True:
-        if max_nodes is not None:
-            front = front.filter(F.col("pos") < max_nodes)
-        reach = front.join(adj.withColumnRenamed("src", "node"), "node")
-        reach = cut(reach.select("start", F.col("dst").alias("node"), F.when(F.col("path") == "", F.col("step")).otherwise(
-            F.concat_ws("|", "path", "step")).alias("path"), "pos", "_s"))
-        new = reach.select(F.col("start").alias("node"), F.col("path").alias("pattern")).distinct()
-        found = new if found is None else found.union(new)
-        depth += 1
-        if max_depth is not None and depth >= max_depth:
-            break
-        enter = reach.join(seen, ["start", "node"], "left_anti").groupBy("start", "node").agg(
-            F.min_by(F.struct("path", "pos", "_s"), F.struct("pos", "_s", "path")).alias("b")).select("start", "node", "b.*")
-        enter = enter.join(count, "start")
-        # positions continue the start node's queue
-        from pyspark.sql import Window
-        w = Window.partitionBy("start").orderBy("pos", "_s", "path", "node")
-        ranked = enter.withColumn("_r", F.row_number().over(w))
-        nxt = cut((ranked if max_nodes is None else ranked.filter(F.col("_r") <= max_nodes)).select(
-            "start", "node", "path", (F.col("_queued") + F.col("_r") - 1).alias("pos")))
-        if nxt.isEmpty():
-            break
-        entered = cut(enter.select("start", "node"))
-        count = cut(count.join(entered.groupBy("start").agg(F.count(F.lit(1)).alias("_add")), "start", "left").select(
-            "start", (F.col("_queued") + F.coalesce("_add", F.lit(0))).alias("_queued")))
-        seen = cut(seen.union(entered))
-        front = nxt
-    return found.distinct()
+    steps = e.join(t, "dst").select(F.col("src").alias("node"), F.concat_ws("_", F.lower("action"), "_t").alias("step")).distinct()
+    pattern = F.when(F.col("path") == "", F.col("step")).otherwise(F.concat_ws("|", "path", "step"))
+    return paths.join(steps, "node").select(F.col("start").alias("node"), pattern.alias("pattern")).distinct()
 
 
 def profile_matrix(profiles: DataFrame, max_patterns: int = 5000) -> DataFrame:

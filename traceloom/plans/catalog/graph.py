@@ -160,7 +160,7 @@ def _(t):
     return P.profile_matrix(P.one_hop_profiles(t.edges, t.types, None))
 
 
-@query("causal_paths", """
+@query("causal_paths_short", """
 WITH adj AS (SELECT e.src, e.dst, lower(e.action) || '_' || d.vtype AS step, min(e.log_idx) AS s FROM edges e JOIN types d ON d.node = e.dst GROUP BY ALL),
 st AS (SELECT DISTINCT src AS start FROM adj WHERE src IN (SELECT node FROM types)),
 l1 AS (SELECT start, dst AS node, step AS path, s FROM st JOIN adj ON adj.src = st.start),
@@ -170,6 +170,27 @@ def _(t):
     return P.causal_profiles(t.edges, t.types, "log_idx", max_depth=2)
 
 
+def _levels(n: int) -> str:
+    """A breadth-first search of up to ``n`` levels; it ends by itself where a level finds nothing new."""
+    sql = """
+WITH adj AS MATERIALIZED (SELECT e.src, e.dst, lower(e.action) || '_' || d.vtype AS step, min(e.log_idx) AS s FROM edges e JOIN types d ON d.node = e.dst GROUP BY ALL),
+f0 AS MATERIALIZED (SELECT DISTINCT src AS start, src AS node, '' AS path, 0::BIGINT AS pos FROM adj WHERE src IN (SELECT node FROM types)),
+v0 AS MATERIALIZED (SELECT start, node FROM f0)"""
+    for i in range(1, n + 1):
+        sql += f""",
+r{i} AS MATERIALIZED (SELECT f.start, a.dst AS node, f.node AS parent, f.pos, a.s, a.step, CASE WHEN path = '' THEN step ELSE path || '|' || step END AS path
+ FROM f{i - 1} f JOIN adj a ON a.src = f.node),
+f{i} AS MATERIALIZED (SELECT start, node, b.path AS path, (SELECT max(pos) FROM f{i - 1}) + row_number() OVER (PARTITION BY start ORDER BY b.pos, b.s, b.step, node) AS pos FROM
+ (SELECT start, node, arg_min({{'path': path, 'pos': pos, 's': s, 'step': step}}, (pos, s, step, parent)) AS b FROM r{i} r ANTI JOIN v{i - 1} v USING (start, node) GROUP BY 1, 2)),
+v{i} AS MATERIALIZED (SELECT * FROM v{i - 1} UNION ALL SELECT start, node FROM f{i})"""
+    return sql + "\n" + " UNION ".join(f"SELECT start AS node, path AS pattern FROM r{i}" for i in range(1, n + 1))
+
+
+@query("causal_paths", _levels(12), "edges types")
+def _(t):
+    return P.causal_profiles(t.edges, t.types, "log_idx")
+
+
 # --- attack graphs ---------------------------------------------------------------------------
 
 @query("expand_seeds", """
