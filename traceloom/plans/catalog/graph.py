@@ -238,18 +238,35 @@ def _day_graphs(t):
     return t.edges.select(F.substring("window_key", 1, 10).alias("graph"), "log_idx", "src", "dst", "action")
 
 
-@query("split_parts")
+def _parts_sql(rounds: int = 12) -> str:
+    sql = """
+WITH de AS MATERIALIZED (SELECT substr(window_key, 1, 10) AS graph, log_idx, src, dst, action FROM edges),
+nb AS MATERIALIZED (SELECT graph, src AS node, dst AS nb FROM de UNION SELECT graph, dst, src FROM de),
+s0 AS MATERIALIZED (SELECT DISTINCT graph, node, node AS root, 0::BIGINT AS dist FROM nb)"""
+    for i in range(1, rounds + 1):
+        sql += f""",
+s{i} AS MATERIALIZED (SELECT graph, node, arg_min(root, (root, dist)) AS root, arg_min(dist, (root, dist)) AS dist FROM (SELECT * FROM s{i - 1} UNION ALL
+ SELECT n.graph, n.node, s.root, s.dist + 1 FROM nb n JOIN s{i - 1} s ON s.graph = n.graph AND s.node = n.nb) GROUP BY 1, 2)"""
+    return sql + f""",
+pt AS MATERIALIZED (SELECT graph, node, (row_number() OVER (PARTITION BY graph ORDER BY root, dist, node) - 1) // 40 AS part FROM s{rounds})
+"""
+
+
+@query("split_parts", _parts_sql() + """SELECT n.graph, n.node, a.part, bool_or(b.part < a.part) AS incoming, bool_or(b.part > a.part) AS outgoing
+FROM nb n JOIN pt a ON a.graph = n.graph AND a.node = n.node JOIN pt b ON b.graph = n.graph AND b.node = n.nb GROUP BY ALL""", "edges")
 def _(t):
     return G.split_parts(_day_graphs(t), "graph", 40)
 
 
-@query("part_edges")
+@query("part_edges", _parts_sql() + """SELECT e.graph, e.log_idx, e.src, e.dst, e.action, greatest(a.part, b.part) AS part
+FROM de e JOIN pt a ON a.graph = e.graph AND a.node = e.src JOIN pt b ON b.graph = e.graph AND b.node = e.dst""", "edges")
 def _(t):
     e = _day_graphs(t)
     return G.part_edges(e, G.split_parts(e, "graph", 40), "graph")
 
 
-@query("part_order")
+# links lead from earlier to later parts, so the smallest part left is always free
+@query("part_order", _parts_sql() + "SELECT graph, part, row_number() OVER (PARTITION BY graph ORDER BY part) - 1 AS position FROM (SELECT DISTINCT graph, part FROM pt)", "edges")
 def _(t):
     e = _day_graphs(t)
     parts = G.split_parts(e, "graph", 40)
