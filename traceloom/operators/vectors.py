@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -73,9 +74,12 @@ def _matrix(col) -> np.ndarray:
     return np.stack([np.asarray(x, dtype=np.float64) for x in col]) if len(col) else np.zeros((0, 0))
 
 
+def _squares(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2.0 * (a @ b.T)
+
+
 def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    sq = (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2.0 * (a @ b.T)
-    return np.sqrt(np.maximum(sq, 0.0))
+    return np.sqrt(np.maximum(_squares(a, b), 0.0))
 
 
 def _blocks(df: DataFrame, keys: list[str], ident: str, rows: int, out: str) -> DataFrame:
@@ -91,18 +95,26 @@ def _search(pairs: DataFrame, k: int, qkind: str, tkind: str) -> DataFrame:
         for pdf in batches:
             for qs, ts in zip(pdf["qs"], pdf["ts"]):
                 qm, tm = _matrix([x["v"] for x in qs]), _matrix([x["v"] for x in ts])
-                tids = np.array([x["id"] for x in ts])
-                d = _distances(qm, tm)
+                qids, tids = np.array([x["id"] for x in qs]), np.array([x["id"] for x in ts])
+                place = np.unique(tids, return_inverse=True)[1]  # ties stand by id
                 m = min(k, len(ts))
                 # a few spare rows, as the product form is less exact than the final distance
                 spare = min(m + 8, len(ts))
-                near = np.argpartition(d, spare - 1, axis=1)[:, :spare]
-                rows = []
-                for i, cand in enumerate(near):
-                    exact = np.sqrt(((tm[cand] - qm[i]) ** 2).sum(1))
-                    for j in np.lexsort((tids[cand], exact))[:m]:
-                        rows.append((qs[i]["id"], tids[cand[j]], float(exact[j])))
-                yield pd.DataFrame(rows, columns=["qid", "tid", "distance"])
+                for at in range(0, len(qm), 128):
+                    q = qm[at:at + 128]
+                    sq = _squares(q, tm)
+                    near = np.argpartition(sq, spare - 1, axis=1)[:, :spare]
+                    exact = np.sqrt(((tm[near] - q[:, None, :]) ** 2).sum(2))
+                    order = np.lexsort((place[near], exact), axis=1)[:, :m]
+                    found, exact = np.take_along_axis(near, order, 1), np.take_along_axis(exact, order, 1)
+                    # more rows as near as the last one than are spared (copies): all of them are compared
+                    last = np.partition(sq, m - 1, axis=1)[:, m - 1] + 1e-11 * ((q * q).sum(1) + (tm * tm).sum(1).max())
+                    for i in np.flatnonzero((sq <= last[:, None]).sum(1) > spare):
+                        some = np.flatnonzero(sq[i] <= last[i])
+                        d = np.sqrt(((tm[some] - q[i]) ** 2).sum(1))
+                        pick = np.lexsort((place[some], d))[:m]
+                        found[i], exact[i] = some[pick], d[pick]
+                    yield pd.DataFrame({"qid": np.repeat(qids[at:at + 128], m), "tid": tids[found.ravel()], "distance": exact.ravel()})
 
     return pairs.select("qs", "ts").mapInPandas(run, f"qid {qkind}, tid {tkind}, distance double")
 
@@ -166,6 +178,100 @@ def nearest(queries: DataFrame, train: DataFrame, k: int, ident: str = "id", blo
     return top_rows(_search(pairs, k, qkind, kind), ["qid"], [F.col("distance"), F.col("tid")], k)
 
 
+# --- hashed nearest neighbours -----------------------------------------------------------------
+
+@dataclass
+class HashPlan:
+    """Random hyperplanes of several hash tables, and how many buckets of each a query looks into."""
+    mean: np.ndarray
+    planes: np.ndarray  # tables x bits x dimensions
+    probes: int
+    recall: float  # of the pairs that the plan was fitted on
+
+    def sides(self, m: np.ndarray) -> np.ndarray:
+        """Signed distances of vectors to the planes: rows x tables x bits."""
+        return np.einsum("nd,tbd->ntb", m - self.mean, self.planes)
+
+    def codes(self, m: np.ndarray) -> np.ndarray:
+        return ((self.sides(m) > 0) << np.arange(self.planes.shape[1])).sum(2)
+
+    def probed(self, m: np.ndarray, probes: int) -> np.ndarray:
+        """The ``probes`` bucket codes nearest to a vector in each table, its own first: rows x tables x probes.
+
+        A bucket is as far as the squared distances to the planes that part it from the vector add up to. Flips are tried among
+        the twelve nearest planes.
+        """
+        side = self.sides(m)
+        bits = side.shape[2]
+        near = np.argsort(np.abs(side), axis=2)[:, :, :min(bits, 12)]
+        cost = np.take_along_axis(side ** 2, near, 2)
+        flips = (np.arange(1 << near.shape[2])[:, None] >> np.arange(near.shape[2])) & 1
+        own, out = ((side > 0) << np.arange(bits)).sum(2), np.empty((*side.shape[:2], min(probes, len(flips))), np.int64)
+        for t in range(side.shape[1]):
+            total = cost[:, t] @ flips.T
+            best = np.argsort(total, axis=1, kind="stable")[:, :out.shape[2]]
+            change = np.einsum("npb,nb->np", flips[best], 1 << near[:, t])
+            out[:, t] = own[:, t][:, None] ^ change
+        return out
+
+
+def fit_hashes(queries: DataFrame, train: DataFrame, k: int, recall: float = 0.95, ident: str = "id", tables: int = 4, bucket_rows: int = 1024,
+               checked: int = 128, seed: int = 7) -> HashPlan:
+    """A plan whose number of probes finds the ``recall`` wanted, with a margin, on ``checked`` queries drawn by hash.
+
+    Their exact neighbours come from ``nearest``; at most ``checked * (k + 1)`` vectors reach the driver. The number of bits
+    follows the number of train rows, so that a bucket holds about ``bucket_rows``.
+    """
+    n = train.count()
+    mean = np.array(dimension_stats(train).select("mean").first()[0], np.float64)
+    bits = min(24, max(1, math.ceil(math.log2(max(n / bucket_rows, 1)))))
+    plan = HashPlan(mean, np.random.default_rng(seed).normal(size=(tables, bits, len(mean))), 1, 0.0)
+    drawn = cut(queries.orderBy(hash_order("hashes", ident), ident).limit(checked).select(ident, "v"))
+    true = nearest(drawn, train, k, ident).join(drawn.select(F.col(ident).alias("qid"), F.col("v").alias("q")), "qid")
+    pairs = true.join(train.select(F.col(ident).alias("tid"), F.col("v").alias("t")), "tid").select("q", "t").collect()
+    if not pairs:
+        return plan
+    order = plan.probed(_matrix([r["q"] for r in pairs]), 1 << min(bits, 12))
+    hit = order == plan.codes(_matrix([r["t"] for r in pairs]))[:, :, None]
+    needed = np.where(hit.any(2), hit.argmax(2), order.shape[2]).min(1)  # first probe that meets the neighbour, in the best table
+    share = np.cumsum(np.bincount(needed, minlength=order.shape[2] + 1)[:order.shape[2]]) / len(pairs)
+    enough = np.flatnonzero(share >= recall + (1 - recall) / 2)
+    plan.probes = int(enough[0]) + 1 if len(enough) else order.shape[2]
+    plan.recall = float(share[plan.probes - 1])
+    return plan
+
+
+def nearest_hashed(queries: DataFrame, train: DataFrame, k: int, plan: HashPlan, ident: str = "id", block_rows: int = 4096,
+                   query_rows: int = 1024) -> DataFrame:
+    """About the k nearest rows of ``train`` for each query, from the buckets of a ``HashPlan``: (qid, tid, distance).
+
+    Every distance is exact; what may lack are neighbours in buckets that were not looked into (``plan.recall``). Where none may
+    lack, use ``nearest``. Vectors and queries meet in blocks by bucket; a hot bucket is as many blocks as it needs.
+    """
+    def key(probes: int | None):
+        def run(batches):
+            for pdf in batches:
+                m = _matrix(pdf["v"])
+                codes = plan.codes(m)[:, :, None] if probes is None else plan.probed(m, probes)
+                at = np.broadcast_to(np.arange(codes.shape[1])[None, :, None], codes.shape).reshape(len(m), -1)
+                pdf["keys"] = [[{"tab": int(t), "code": int(c)} for t, c in zip(ts, cs)] for ts, cs in zip(at, codes.reshape(len(m), -1))]
+                yield pdf
+        return run
+
+    def keyed(df: DataFrame, probes: int | None) -> DataFrame:
+        kind = df.schema[ident].dataType.simpleString()
+        got = df.select(ident, "v").mapInPandas(key(probes), f"{ident} {kind}, v array<double>, keys array<struct<tab:int,code:bigint>>")
+        return cut(got.select(ident, "v", F.inline("keys")))
+
+    keys, kinds = ["tab", "code"], [df.schema[ident].dataType.simpleString() for df in (queries, train)]
+    blocks = _blocks(keyed(train, None), keys, ident, block_rows, "ts")
+    pairs = _blocks(keyed(queries, plan.probes), keys, ident, query_rows, "qs").join(blocks.hint("merge"), keys)
+    order = [F.col("distance"), F.col("tid")]
+    # a neighbour may come from every table
+    most = top_rows(_search(pairs, k, *kinds), ["qid"], order, k * plan.planes.shape[0])
+    return top_rows(most.dropDuplicates(["qid", "tid"]), ["qid"], order, k)
+
+
 def knn_scores(train: DataFrame, test: DataFrame, k: int = 10, ident: str = "id",
                max_train_sample: int | None = None) -> DataFrame:
     """Mean distance to the k nearest train rows over the mean train distance.

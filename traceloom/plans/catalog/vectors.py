@@ -63,6 +63,18 @@ def _(t):
     return d.withColumn("distance", F.round("distance", 6))
 
 
+@query("nearest_hashed_recall", """
+SELECT count(*) AS n_queries, 3 * count(*) AS n_pairs, true AS complete, true AS recall_reached FROM vecs""", "vecs")
+def _(t):
+    q, tr = (x.select("id", F.col("v").cast("array<double>").alias("v")) for x in (t.vecs, _train(t)))
+    plan = V.fit_hashes(q, tr, 3, recall=0.95, bucket_rows=32)
+    found, true = V.nearest_hashed(q, tr, 3, plan), V.nearest(q, tr, 3)
+    hits = found.join(true.select("qid", "tid", F.lit(1).alias("hit")), ["qid", "tid"], "left")
+    per = hits.groupBy("qid").agg(F.count(F.lit(1)).alias("n"), F.count("hit").alias("hits"))
+    return per.agg(F.count(F.lit(1)).alias("n_queries"), F.sum("n").alias("n_pairs"), (F.min("n") == 3).alias("complete"),
+                   (F.sum("hits") / F.sum("n") >= 0.95).alias("recall_reached"))
+
+
 @query("nearest_type_transfer", """
 WITH m AS (SELECT a.id AS qid, arg_max(b.id, round(list_cosine_similarity(a.v::DOUBLE[], b.v::DOUBLE[]), 9)) AS tid, max(list_cosine_similarity(a.v::DOUBLE[], b.v::DOUBLE[])) AS s
  FROM vecs a, vecs b WHERE a.label >= 5 AND b.label < 5 GROUP BY a.id)
