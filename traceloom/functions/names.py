@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -213,8 +216,14 @@ def seed_id(scenario: Column, log_type: Column, window: Column, idx: Column) ->
     return F.concat_ws("_", scenario, log_type, window, idx.cast("string"))
 
 
-def parse_seed_id(c: Column) -> dict[str, Column]:
-    form = r"^(.*)_(audit|dns|firefox)_(.*)_(\d+)$"
+def parse_seed_id(c: Column, log_types: Sequence[str] | None = ("audit", "dns", "firefox")) -> dict[str, Column]:
+    """Scenario, log type, window name and log position of a seed id; empty (the position null) where it has another form.
+
+    The log type is the first part that is in ``log_types``. None stands for any log type: then it is the part before the first
+    one that begins with a date.
+    """
+    kind = r"([^_]+)_(\d{4}-\d{2}-\d{2}.*)" if log_types is None else "(" + "|".join(map(re.escape, log_types)) + ")_(.*)"
+    form = rf"^(.*?)_{kind}_(\d+)$"
     return {
         "scenario": F.regexp_extract(c, form, 1),
         "log_type": F.regexp_extract(c, form, 2),

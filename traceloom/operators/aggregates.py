@@ -203,6 +203,16 @@ def node_days(e: DataFrame) -> DataFrame:
                                     F.min("day").alias("first_day"), F.max("day").alias("last_day"))
 
 
+def node_sightings(e: DataFrame) -> DataFrame:
+    """The exact sets of days and windows in which each node is seen, as sorted arrays: (node, days, windows).
+
+    The sets are combined on the map side, so a hub travels once for each task and window; an array is as long as the time axis has
+    windows, whatever the number of edges.
+    """
+    seen = e.select(F.explode(F.array("src", "dst")).alias("node"), "day", "window_key").filter("node IS NOT NULL")
+    return seen.groupBy("node").agg(F.array_sort(F.collect_set("day")).alias("days"), F.array_sort(F.collect_set("window_key")).alias("windows"))
+
+
 def name_clusters(mapped: DataFrame) -> DataFrame:
     """Processed name → the distinct original names that differ from it, one per row.
 

@@ -90,6 +90,18 @@ def cluster_table(members: DataFrame) -> DataFrame:
                                                       F.max("window_key").alias("last_window"))
 
 
+def cluster_members(members: DataFrame) -> DataFrame:
+    """Every member row with the facts of its clustering run: (…, total_points, num_clusters, cluster_points).
+
+    A run is a log type and window; ``members`` keeps its own columns. Facts are aggregates joined back, so a large run stays
+    spread and a cluster's members stay rows.
+    """
+    run = ["log_type", "window_key"]
+    size = members.groupBy(*run, "cluster").agg(F.count(F.lit(1)).alias("cluster_points"))
+    total = size.groupBy(*run).agg(F.sum("cluster_points").alias("total_points"), F.count(F.lit(1)).alias("num_clusters"))
+    return members.join(size, [*run, "cluster"]).join(total, run)
+
+
 def candidate_logs(members: DataFrame, logs: DataFrame, n: int, seed: str, keys: Sequence[str] = ("log_type", "window_key", "id")) -> DataFrame:
     """Log text of up to ``n`` members of each cluster in the window where it is new."""
     picked = sample_per_group(new_clusters(members, ["log_type"]), ["log_type", "cluster"], n, seed, "id")

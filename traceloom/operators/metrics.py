@@ -17,6 +17,7 @@ from traceloom.operators.common import with_group_stats
 from traceloom.operators.lookup import nodes_on_date
 from traceloom.operators.ordered import SLICE, lagged, running_sum, slice_by
 from traceloom.operators.time_windows import percentile_threshold
+from traceloom.session import cut
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -83,6 +84,19 @@ def pooled_confusion(df: DataFrame, by: str, contamination: float = 0.01) -> Dat
     return confusion_metrics(per.agg(*[F.sum(c).cast("long").alias(c) for c in ("tp", "fp", "tn", "fn")]))
 
 
+def confusion_by_type(df: DataFrame, by: str, attack: str = "attack", contamination: float = 0.01) -> DataFrame:
+    """``percentile_confusion`` of each type with the attacks that its malicious rows belong to and those seen above the threshold.
+
+    Attack names are sorted arrays; a type has as many as there are attacks.
+    """
+    per = percentile_confusion(df, [by], contamination)
+    bad = df.filter(F.col("y") == 1).join(per.select(by, "threshold"), by)
+    names = bad.groupBy(by).agg(F.array_sort(F.collect_set(attack)).alias("attacks"),
+                                F.array_sort(F.collect_set(F.when(F.col("score") > F.col("threshold"), F.col(attack)))).alias("attacks_seen"))
+    none = F.array().cast("array<string>")
+    return per.join(names, by, "left").withColumns({c: F.coalesce(c, none) for c in ("attacks", "attacks_seen")})
+
+
 def _attack_curve(df: DataFrame, attacks: DataFrame, ident: str, score: str) -> DataFrame:
     """Rank rows by (score desc, id asc) with precision and the share of attacks seen so far.
 
@@ -188,6 +202,37 @@ def evaluate_logs(scores: DataFrame, truth: DataFrame, miss_penalty: float = 0.0
     return m.withColumn("missed", F.col("logs") - F.col("extracted")).withColumn("extraction_rate", ratio(F.col("extracted"), F.col("logs")))
 
 
+def overall_metrics(df: DataFrame, hits: DataFrame, ident: str = "id", score: str = "score") -> DataFrame:
+    """One row for a whole evaluation: positives, negatives, auc_roc, auc_pr and adp.
+
+    ``df(ident, score)`` is one ranking (one row per ident), ``hits(ident, attack)`` names the attacks of its positives; a row is
+    positive when any attack holds it. ADP runs over the attacks, so a row of two attacks counts for both.
+    """
+    own = hits.select(ident).distinct().withColumn("y", F.lit(1))
+    marked = df.select(ident, F.col(score).alias("score")).join(own, ident, "left").withColumn("y", F.coalesce("y", F.lit(0)))
+    # both sides have exactly one row
+    adp = attack_detection_precision(marked, hits, ident)
+    return ranking_metrics(marked).withColumn("_all", F.lit(0)).join(F.broadcast(adp.withColumn("_all", F.lit(0))), "_all").drop("_all")
+
+
+def evaluate_logs_overall(scores: DataFrame, truth: DataFrame, miss_penalty: float = 0.0) -> DataFrame:
+    """AUC, average precision and ADP over all labelled logs; a log without a score takes ``miss_penalty``.
+
+    Tables as in ``evaluate_logs``; ties stand by log type, then log number.
+    """
+    ids = ["log_type", "log_idx"]
+    t = truth.join(scores.select(*ids, "score"), ids, "left").select(
+        F.struct(*ids).alias("id"), F.coalesce("score", F.lit(miss_penalty)).alias("score"), "attacks")
+    t = cut(t)
+    return overall_metrics(t.select("id", "score"), t.select("id", F.explode("attacks").alias("attack")))
+
+
+def evaluate_nodes_overall(scores: DataFrame, sightings: DataFrame, gt: DataFrame) -> DataFrame:
+    """AUC, average precision and ADP over all nodes; positives as in ``evaluate_nodes``."""
+    best = cut(scores.groupBy("node").agg(F.max("score").alias("score")))
+    return overall_metrics(best, nodes_on_date(sightings, gt).select("node", "attack"), "node")
+
+
 def evaluate_nodes(scores: DataFrame, sightings: DataFrame, gt: DataFrame) -> DataFrame:
     """Node-level evaluation per attack: a node is positive when it is listed and seen on the attack day."""
     best = scores.groupBy("node").agg(F.max("score").alias("score"))

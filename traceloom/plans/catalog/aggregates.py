@@ -228,6 +228,14 @@ def _(t):
     return A.node_days(t.edges.withColumn("day", F.substring("window_key", 1, 10)))
 
 
+@query("node_sightings", """
+SELECT node, string_agg(DISTINCT substr(window_key, 1, 10), ',' ORDER BY substr(window_key, 1, 10)) AS days, string_agg(DISTINCT window_key, ',' ORDER BY window_key) AS windows FROM
+ (SELECT src AS node, window_key FROM edges UNION ALL SELECT dst, window_key FROM edges) GROUP BY node""", "edges")
+def _(t):
+    s = A.node_sightings(t.edges.withColumn("day", F.substring("window_key", 1, 10)))
+    return s.select("node", F.array_join("days", ",").alias("days"), F.array_join("windows", ",").alias("windows"))
+
+
 @query("name_clusters", "WITH " + PATH_SQL.format(src="name") + """
 SELECT DISTINCT processed, name AS member FROM out WHERE name <> processed
 UNION ALL SELECT DISTINCT processed, NULL FROM out WHERE processed NOT IN (SELECT processed FROM out WHERE name <> processed)""", "names")

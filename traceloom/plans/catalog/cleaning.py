@@ -427,6 +427,16 @@ def _(t):
     return e.select("*", *[c.alias(n) for n, c in N.parse_seed_id(F.col("seed")).items()])
 
 
+@query("seed_ids_any", """
+SELECT log_idx, 'M1_h' || log_idx % 3 || '_' || kind || '_' || window_key || '_' || log_idx AS seed, 'M1_h' || log_idx % 3 AS scenario, kind AS log_type,
+ window_key AS window_name, log_idx AS log_pos FROM (SELECT *, lower(replace(action, '_', '-')) || log_idx % 7 AS kind FROM edges)""", "edges")
+def _(t):
+    kind = F.concat(F.lower(F.replace("action", F.lit("_"), F.lit("-"))), (F.col("log_idx") % 7).cast("string"))
+    host = F.concat(F.lit("M1_h"), (F.col("log_idx") % 3).cast("string"))
+    e = t.edges.select("log_idx", N.seed_id(host, kind, F.col("window_key"), F.col("log_idx")).alias("seed"))
+    return e.select("*", *[c.alias(n) for n, c in N.parse_seed_id(F.col("seed"), None).items()])
+
+
 @query("entity_class", """
 SELECT name, CASE WHEN regexp_matches(s, '[a-zA-Z]') THEN 'website_filename' WHEN regexp_matches(s, '[0-9]') AND contains(s, '.') AND contains(s, ':') THEN 'ip_with_port'
  WHEN regexp_matches(s, '[0-9]') AND contains(s, '.') THEN 'ip_no_port' WHEN regexp_matches(s, '[0-9]') THEN 'integer_only' ELSE 'unknown' END AS class

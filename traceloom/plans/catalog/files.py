@@ -33,6 +33,38 @@ def _(t):
     return R.read_logs(t.spark, root)
 
 
+RUNS = "(SELECT DISTINCT log_type, window_key, CASE WHEN log_idx % 2 = 0 THEN 'S1' ELSE 'M1_h1' END AS scenario, CASE WHEN log_idx % 3 = 0 THEN '_dbstream' ELSE '' END AS method FROM edges)"
+
+
+def _runs(t):
+    e = F.col("log_idx")
+    return t.edges.select("log_type", "window_key", F.when(e % 2 == 0, "S1").otherwise("M1_h1").alias("scenario"),
+                          F.when(e % 3 == 0, "_dbstream").otherwise("").alias("method")).distinct()
+
+
+@query("seed_file_names", f"""
+SELECT DISTINCT scenario, log_type, window_key AS timestamp, '/x/emb/' || log_type || '/seeds_' || scenario || '_' || window_key || '_k1000.pkl' AS path FROM {RUNS}""", "edges")
+def _(t):
+    path = F.concat(F.lit("/x/emb/"), "log_type", F.lit("/seeds_"), "scenario", F.lit("_"), "window_key", F.lit("_k1000.pkl"))
+    paths = _runs(t).select(path.alias("path")).distinct()
+    return R.seed_files(paths.union(paths.select(F.concat("path", F.lit(".bak")))).union(paths.select(F.replace("path", F.lit("_2"), F.lit("_n")))))
+
+
+@query("cluster_file_names", f"""
+SELECT scenario, log_type, window_key AS timestamp, '/x/emb/' || log_type || '/continual_clusters_' || scenario || '_' || window_key || method || '.json' AS path FROM {RUNS}""", "edges")
+def _(t):
+    path = F.concat(F.lit("/x/emb/"), "log_type", F.lit("/continual_clusters_"), "scenario", F.lit("_"), "window_key", "method", F.lit(".json"))
+    return R.cluster_files(_runs(t).select(path.alias("path")))
+
+
+@query("attack_graph_file_names", """
+SELECT DISTINCT action AS attack, log_idx % 90 AS number, '/g/' || log_type || '/' || action || '/subgraph_' || log_idx % 90 || '.json' AS path FROM edges""", "edges")
+def _(t):
+    n = (F.col("log_idx") % 90).cast("string")
+    paths = t.edges.select(F.concat(F.lit("/g/"), "log_type", F.lit("/"), "action", F.lit("/subgraph_"), n, F.lit(".json")).alias("path")).distinct()
+    return R.attack_graph_files(paths.union(paths.select(F.replace("path", F.lit("subgraph_"), F.lit("graph_")))))
+
+
 @query("log_windows", "SELECT DISTINCT log_type AS scenario, window_key || ':00:00' AS \"window\", window_key FROM edges", "edges")
 def _(t):
     return R.windows_of(t.edges.select(F.col("log_type").alias("scenario"), F.concat("window_key", F.lit(":00:00")).alias("window"), "window_key"))

@@ -327,6 +327,16 @@ def _(t):
     return K.candidate_logs(members, s.select("log_type", "window_key", "id", F.concat(F.lit("log "), "id").alias("line")), 3, "k")
 
 
+@query("cluster_members", """
+WITH m AS (SELECT log_type, window_key, log_idx AS id, log_idx * 7 % 211 AS cluster, src || ' ' || dst AS line FROM edges),
+t AS (SELECT log_type, window_key, count(*) AS total_points, count(DISTINCT cluster) AS num_clusters FROM m GROUP BY 1, 2)
+SELECT m.*, count(*) OVER (PARTITION BY m.log_type, m.window_key, cluster) AS cluster_points, total_points, num_clusters
+FROM m JOIN t ON t.log_type = m.log_type AND t.window_key = m.window_key""", "edges")
+def _(t):
+    return K.cluster_members(t.edges.select("log_type", "window_key", F.col("log_idx").alias("id"), (F.col("log_idx") * 7 % 211).alias("cluster"),
+                                            F.concat_ws(" ", "src", "dst").alias("line")))
+
+
 @query("cluster_table", """
 SELECT log_type, cluster, count(*) AS n, min(window_key) AS first_window, max(window_key) AS last_window FROM (SELECT log_type, log_idx * 7 % 211 AS cluster, window_key FROM edges) GROUP BY 1, 2""", "edges")
 def _(t):

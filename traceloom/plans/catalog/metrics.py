@@ -136,6 +136,46 @@ def _(t):
         "precision", "recall", "fpr", "tpr")
 
 
+ADP = """
+o AS (SELECT id, y, row_number() OVER (ORDER BY score DESC, id) AS rnk, sum(y) OVER (ORDER BY score DESC, id) AS tp FROM l),
+f AS (SELECT attack, min(rnk) AS rnk FROM o JOIN h ON h.id = o.id GROUP BY attack),
+c AS (SELECT round((tp / o.rnk)::DOUBLE, 6) AS p, (sum(coalesce(n, 0)) OVER (ORDER BY o.rnk))::DOUBLE / (SELECT count(*) FROM f) AS d
+ FROM o LEFT JOIN (SELECT rnk, count(*) AS n FROM f GROUP BY rnk) q ON q.rnk = o.rnk),
+u AS (SELECT p, max(d) AS d FROM (SELECT p, d FROM c UNION ALL SELECT 0.0, 0.0) GROUP BY p),
+e AS (SELECT p, max(d) AS d FROM (SELECT * FROM u UNION ALL SELECT 1.0, max_by(d, p) FROM u) GROUP BY p),
+a AS (""" + AREA.format(u="e") + "),"
+
+
+@query("evaluate_logs_overall", """
+WITH h AS (SELECT DISTINCT (log_type, log_idx) AS id, attack FROM log_scores WHERE y = 1),
+l AS (SELECT (log_type, log_idx) AS id, CASE WHEN scored THEN score ELSE 0.0 END AS score, (y = 1)::BIGINT AS y FROM log_scores),
+""" + ADP + RANK.format(k="", p="", src="l") + " SELECT m.*, a.adp FROM (SELECT " + AUC.format(k="") + ") m, a", "log_scores")
+def _(t):
+    ls = t.log_scores
+    truth = ls.select("log_idx", "log_type", F.when(F.col("y") == 1, F.array("attack")).otherwise(F.array().cast("array<string>")).alias("attacks"))
+    return _rounded(M.evaluate_logs_overall(ls.filter("scored").select("log_idx", "log_type", "score"), truth), "auc_roc", "auc_pr", "adp")
+
+
+@query("evaluate_nodes_overall", """
+WITH h AS (SELECT DISTINCT node AS id, attack FROM scores WHERE y = 1 AND day = '2024-01-1' || (substr(attack, 2))),
+l AS (SELECT node AS id, max(score) AS score, (node IN (SELECT id FROM h))::BIGINT AS y FROM scores GROUP BY node),
+""" + ADP + RANK.format(k="", p="", src="l") + " SELECT m.*, a.adp FROM (SELECT " + AUC.format(k="") + ") m, a", "scores")
+def _(t):
+    gt = t.scores.filter("y = 1").select("node", "attack", F.concat(F.lit("2024-01-1"), F.substring("attack", 2, 1)).alias("day")).distinct()
+    return _rounded(M.evaluate_nodes_overall(t.scores.select("node", "score"), t.scores.filter("y = 1").select("node", "day"), gt), "auc_roc", "auc_pr", "adp")
+
+
+@query("confusion_by_type", """
+SELECT log_type, round(max(th), 6) AS threshold, count(*) FILTER (score > th AND y = 1) AS tp, count(*) FILTER (score > th AND y = 0) AS fp,
+ count(*) FILTER (score <= th AND y = 0) AS tn, count(*) FILTER (score <= th AND y = 1) AS fn,
+ coalesce(string_agg(DISTINCT attack, ',' ORDER BY attack) FILTER (y = 1), '') AS attacks,
+ coalesce(string_agg(DISTINCT attack, ',' ORDER BY attack) FILTER (y = 1 AND score > th), '') AS attacks_seen
+FROM (SELECT *, quantile_cont(score, 0.99) OVER (PARTITION BY log_type) AS th FROM scores) GROUP BY log_type""", "scores")
+def _(t):
+    m = _rounded(M.confusion_by_type(t.scores, "log_type"), "threshold")
+    return m.select("log_type", "threshold", "tp", "fp", "tn", "fn", *[F.array_join(c, ",").alias(c) for c in ("attacks", "attacks_seen")])
+
+
 @query("ground_truth_summary", """
 SELECT attack, window_key, log_type, count(*) FILTER (y = 1) AS malicious, count(*) FILTER (y <> 1) AS benign, count(*) AS total FROM scores GROUP BY ROLLUP (attack, window_key, log_type)""", "scores")
 def _(t):

@@ -55,6 +55,38 @@ def read_logs(spark: SparkSession, root: str) -> DataFrame:
     return log_folders(numbered_lines(spark, root, "log_idx", start=1)).drop("file")
 
 
+def list_files(spark: SparkSession, root: str, pattern: str) -> DataFrame:
+    """Paths of the files below ``root`` whose name fits the glob ``pattern``: (path). Spark lists the folders; no content is read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(root)
+    return files.select(F.url_decode(F.replace("path", F.lit("+"), F.lit("%2B"))).alias("path"))
+
+
+def _run_files(paths: DataFrame, core: str) -> DataFrame:
+    """Scenario, log type and timestamp of run files: the folder is the log type, the name holds scenario and a dated timestamp."""
+    name = F.regexp_extract("path", core, 2)
+    dated = r"^(?:(.*?)_)?(\d{4}-\d{2}-\d{2}.*)$"
+    out = paths.select(F.regexp_extract(name, dated, 1).alias("scenario"), F.regexp_extract("path", core, 1).alias("log_type"),
+                       F.regexp_extract(name, dated, 2).alias("timestamp"), "path")
+    return out.filter("timestamp <> ''")
+
+
+def seed_files(paths: DataFrame) -> DataFrame:
+    """``…/{log type}/seeds_{scenario}_{timestamp}_k{n}.pkl`` as (scenario, log_type, timestamp, path); other paths are left out."""
+    return _run_files(paths, r"([^/]+)/seeds_(.+?)_k\d+\.pkl$")
+
+
+def cluster_files(paths: DataFrame) -> DataFrame:
+    """``…/{log type}/continual_clusters_{scenario}_{timestamp}[_method].json`` likewise; a known method is no part of the timestamp."""
+    return _run_files(paths, r"([^/]+)/continual_clusters_(.+?)(?:_dbstream|_denstream)?\.json$")
+
+
+def attack_graph_files(paths: DataFrame) -> DataFrame:
+    """``…/{attack}/subgraph_{number}.json`` as (attack, number, path)."""
+    form = r"([^/]+)/subgraph_(\d+)\.json$"
+    out = paths.select(F.regexp_extract("path", form, 1).alias("attack"), F.regexp_extract("path", form, 2).try_cast("bigint").alias("number"), "path")
+    return out.filter("number IS NOT NULL")
+
+
 def windows_of(logs: DataFrame) -> DataFrame:
     """Union of the windows of all log types per scenario."""
     return logs.select("scenario", "window", "window_key").distinct()
