@@ -155,14 +155,17 @@ def near_duplicates(vectors: DataFrame, least: float = 0.93, cell_rows: int = 20
 
     All links are found: a vector skips a cell only where the bound proves that no link can be. Equal vectors of a label are one vertex
     with a weight. Rows with a null label or id, and vectors that are null, empty, zero, or hold null or non-finite components link with
-    nothing and are their own component; a null id is not kept. Vectors of different length are never compared. Repeated ids are
-    rows of their own in the counts and one vertex in the components. Other columns are not read.
+    nothing and are their own component; a vector without an id counts as a link of others, takes the smallest id of its component
+    (null if there is none) and is not kept. Vectors of different length are never compared. Repeated ids and rows are rows of their
+    own: one row in, one row out. Other columns are not read.
     """
-    unit = cut(unit_vectors(vectors, id_col, vector_col, label_col))
-    # equal vectors: the smallest id stands for all
+    base = cut(vectors.select(F.col(id_col).alias("own"), F.col(label_col).alias("label"), F.col(vector_col).alias("x")).withColumn(
+        "row", F.monotonically_increasing_id()))
+    unit = cut(unit_vectors(base, "row", "x", "label"))
+    # equal vectors: the row of the smallest number stands for all
     copies = cut(unit.groupBy("label", "dim", "v").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("weight")))
     found = centres(copies.select("id", "label", "dim", "v"), cell_rows, most_cells, rounds)
-    placed = cut(visits(copies.select("id", "label", "dim", "v"), found, least).join(copies.select("id", "label", "dim", "weight").distinct(), ["id", "label", "dim"]))
+    placed = cut(visits(copies.select("id", "label", "dim", "v"), found, least).join(copies.select("id", "weight"), "id"))
     cell = ["label", "dim", "cell"]
     size = cut(placed.groupBy(*cell, "home").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("parts")))
     packed = cut(placed.join(size, [*cell, "home"]).groupBy(*cell, "home", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part")).agg(
@@ -197,8 +200,9 @@ def near_duplicates(vectors: DataFrame, least: float = 0.93, cell_rows: int = 20
     links = linked.groupBy("id").agg(F.sum("n").alias("n"))
     vertex = cut(copies.join(links, "id", "left").join(group, "id", "left").select(
         "label", "dim", "v", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n"), F.coalesce("component", "id").alias("component")))
-    known = cut(unit.join(vertex, ["label", "dim", "v"]).select("id", F.col("label").alias("label"), "n", "component").distinct())
-    base = vectors.select(F.col(id_col).alias("id"), F.col(label_col).alias("label"))
-    out = base.join(known, ["id", "label"], "left").select(
-        F.col("id").alias(id_col), F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "id").alias("component_id"))
+    known = cut(unit.join(vertex, ["label", "dim", "v"]).select(F.col("id").alias("row"), "n", "component"))
+    names = known.join(base.select("row", "own"), "row").groupBy("component").agg(F.min("own").alias("smallest"))
+    known = known.join(names, "component").select("row", "n", "smallest")
+    out = base.select("row", "own").join(known, "row", "left").select(
+        F.col("own").alias(id_col), F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), F.coalesce("smallest", "own").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(False)))

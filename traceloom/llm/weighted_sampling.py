@@ -27,24 +27,38 @@ def _gamma(h: Column) -> Column:
     return -F.log(_uniform(h) * _uniform(F.shiftrightunsigned(h, 32)))
 
 
-def samples(terms: DataFrame, keys: list[str], count: int = 64, term: str = "term", weight: str = "weight") -> DataFrame:
-    """Per key group the array ``samples`` of ``count`` 28-bit values, from rows (keys, term bigint, weight > 0), unique by keys and term."""
-    rows = terms.select(*keys, F.col(term).alias("_t"), F.log(F.col(weight).cast("double")).alias("_w"),
+def samples(terms: DataFrame, keys: list[str], count: int = 64, term: str = "term", **weights: str) -> DataFrame:
+    """Per key group an array of ``count`` 28-bit values for every ``array=weight column`` (by default samples=weight).
+
+    Rows are (keys, term bigint, weights), unique by keys and term; a term whose weight is null is not in that set. The variables
+    of a term are drawn once for all its weights. The array of a set without terms holds nulls.
+    """
+    weights = weights or {"samples": "weight"}
+    rows = terms.select(*keys, F.col(term).alias("_t"), *[F.log(F.col(w).cast("double")).alias(f"_w_{o}") for o, w in weights.items()],
                         F.explode(F.sequence(F.lit(0), F.lit(count // BLOCK - 1))).alias("_b"))
     rows = rows.withColumn("_t", F.xxhash64("_t", "_b"))
-    mins = []
+    mins, drawn = [], []
     for k in range(BLOCK):
         # own hashes for the two gamma variables, and for the offset and the name
         r, c, h = (F.xxhash64("_t", F.lit(3 * k + i)) for i in range(3))
         r, c, beta = _gamma(r), F.log(_gamma(c)), _uniform(h)
-        t = F.floor(F.col("_w") / r + beta)
-        low = c - r * (t - beta) - r
-        sign = (F.shiftrightunsigned(h, 36) + t * 7919).bitwiseAND(_MASK)
-        # the order of the values in the upper 35 bits, the sample's name below
-        mins.append(F.min(F.shiftleft(((low + 64) * (1 << 28)).cast("bigint"), 28).bitwiseOR(sign)).alias(f"_m{k}"))
-    blocks = rows.groupBy(*keys, "_b").agg(*mins)
-    named = F.array(*[F.col(f"_m{k}").bitwiseAND(_MASK).cast("int") for k in range(BLOCK)])
-    return blocks.groupBy(*keys).agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("_b", named.alias("s")))), lambda x: x["s"])).alias("samples"))
+        drawn += [r.alias(f"_r{k}"), c.alias(f"_c{k}"), beta.alias(f"_u{k}"), F.shiftrightunsigned(h, 36).alias(f"_h{k}")]
+        for o in weights:
+            r, c, beta = (F.col(f"_{n}{k}") for n in "rcu")
+            t = F.floor(F.col(f"_w_{o}") / r + beta)
+            low = c - r * (t - beta) - r
+            sign = (F.col(f"_h{k}") + t * 7919).bitwiseAND(_MASK)
+            # the order of the values in the upper 35 bits, the sample's name below
+            mins.append(F.min(F.shiftleft(((low + 64) * (1 << 28)).cast("bigint"), 28).bitwiseOR(sign)).alias(f"_m{k}_{o}"))
+    # the draws are columns of their own, so that both minima share them
+    blocks = rows.select(*keys, "_b", *[f"_w_{o}" for o in weights], *drawn).groupBy(*keys, "_b").agg(*mins)
+
+    def named(o: str) -> Column:
+        return F.array(*[F.col(f"_m{k}_{o}").bitwiseAND(_MASK).cast("int") for k in range(BLOCK)]).alias(o)
+
+    whole = F.array_sort(F.collect_list(F.struct("_b", *[named(o) for o in weights])))
+    out = blocks.groupBy(*keys).agg(whole.alias("_all"))
+    return out.select(*keys, *[F.flatten(F.col("_all")[o]).alias(o) for o in weights])
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -98,8 +112,9 @@ def fingerprints(docs: DataFrame, count: int = 64, id_col: str = "doc_id", text_
     both = with_edits(base, line)
     sides = both.select("id", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("text").alias("t")),
                                                 F.struct(F.lit(1).alias("side"), F.col("edited").alias("t")))).alias("x")).select("id", "x.side", "x.t")
-    drawn = samples(terms(sides, ["id", "side"], "t"), ["id", "side"], count)
-    drawn = drawn.groupBy("id").agg(*[F.max(F.when(F.col("side") == i, F.col("samples"))).alias(f"s{i}") for i in (0, 1)])
+    words = terms(sides, ["id", "side"], "t").groupBy("id", "term").agg(*[F.max(F.when(F.col("side") == i, F.col("weight"))).alias(f"w{i}") for i in (0, 1)])
+    drawn = samples(words, ["id"], count, s0="w0", s1="w1")
+    drawn = drawn.select("id", *[F.when(F.get(s, F.lit(0)).isNotNull(), F.col(s)).alias(s) for s in ("s0", "s1")])
     meta = both.select("id", "n", F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"))
     own = cut(meta.join(drawn, "id", "left"))  # one query: its branches share the shuffles of the texts
     none = F.array().cast("array<int>")
