@@ -155,13 +155,12 @@ def near_duplicates(vectors: DataFrame, least: float = 0.93, cell_rows: int = 20
 
     All links are found: a vector skips a cell only where the bound proves that no link can be. Equal vectors of a label are one vertex
     with a weight. Rows with a null label or id, and vectors that are null, empty, zero, or hold null or non-finite components link with
-    nothing and are their own component; a vector without an id counts as a link of others, takes the smallest id of its component
-    (null if there is none) and is not kept. Vectors of different length are never compared. Repeated ids and rows are rows of their
-    own: one row in, one row out. Other columns are not read.
+    nothing and are their own component; a null id is not kept. Vectors of different length are never compared. Repeated ids and rows
+    are rows of their own: one row in, one row out. Other columns are not read.
     """
     base = cut(vectors.select(F.col(id_col).alias("own"), F.col(label_col).alias("label"), F.col(vector_col).alias("x")).withColumn(
         "row", F.monotonically_increasing_id()))
-    unit = cut(unit_vectors(base, "row", "x", "label"))
+    unit = cut(unit_vectors(base.filter("own is not null"), "row", "x", "label"))
     # equal vectors: the row of the smallest number stands for all
     copies = cut(unit.groupBy("label", "dim", "v").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("weight")))
     found = centres(copies.select("id", "label", "dim", "v"), cell_rows, most_cells, rounds)
