@@ -133,12 +133,13 @@ def _(t):
 
 
 def _subgraphs(t):
-    return t.edges.filter("value > 200").select(
-        F.col("log_type").alias("subgraph"), "src", "dst", "action", "ts_ns", F.col("log_idx").alias("edge_key"), F.lit(0.5).alias("anomaly_score"),
+    # a graph of each log type and day, so that a file stays as small as a day
+    return t.edges.select(
+        F.concat("log_type", F.lit("-"), F.substring("window_key", 1, 10)).alias("subgraph"), "src", "dst", "action", "ts_ns", F.col("log_idx").alias("edge_key"), F.lit(0.5).alias("anomaly_score"),
         (F.col("log_idx") % 2 == 0).alias("enriched"))
 
 
-@query("node_link_files", "SELECT log_type AS subgraph, src, dst, action, ts_ns::VARCHAR AS timestamp, log_idx AS key FROM edges WHERE value > 200", "edges")
+@query("node_link_files", "SELECT log_type || '-' || substr(window_key, 1, 10) AS subgraph, src, dst, action, ts_ns::VARCHAR AS timestamp, log_idx AS key FROM edges", "edges")
 def _(t):
     p = _place(t, "nodelink")
     Wr.write_subgraphs(_subgraphs(t), p)
@@ -146,7 +147,7 @@ def _(t):
     return R.graph_links(g.select(F.regexp_extract("_metadata.file_path", "subgraph=([^/]+)", 1).alias("graph_id"), "links")).withColumnRenamed("graph_id", "subgraph")
 
 
-@query("node_link_nodes", "SELECT subgraph, node FROM (SELECT log_type AS subgraph, src AS node FROM edges WHERE value > 200 UNION SELECT log_type, dst FROM edges WHERE value > 200)", "edges")
+@query("node_link_nodes", "SELECT subgraph, node FROM (SELECT log_type || '-' || substr(window_key, 1, 10) AS subgraph, src AS node FROM edges UNION SELECT log_type || '-' || substr(window_key, 1, 10), dst FROM edges)", "edges")
 def _(t):
     p = _place(t, "nodelink")
     Wr.write_subgraphs(_subgraphs(t), p)
@@ -156,7 +157,7 @@ def _(t):
 
 @query("subgraph_summary", """
 SELECT subgraph, 0.5::DOUBLE AS anomaly_score, count(DISTINCT node) AS num_nodes, (count(*) // 2)::BIGINT AS num_edges, (count(*) FILTER (log_idx % 2 = 0) // 2)::BIGINT AS enriched_edges
-FROM (SELECT log_type AS subgraph, src AS node, log_idx FROM edges WHERE value > 200 UNION ALL SELECT log_type, dst, log_idx FROM edges WHERE value > 200) GROUP BY subgraph""", "edges")
+FROM (SELECT log_type || '-' || substr(window_key, 1, 10) AS subgraph, src AS node, log_idx FROM edges UNION ALL SELECT log_type || '-' || substr(window_key, 1, 10), dst, log_idx FROM edges) GROUP BY subgraph""", "edges")
 def _(t):
     return Wr.subgraph_summary(_subgraphs(t))
 

@@ -216,11 +216,11 @@ def _(t):
 
 
 @query("distinct_subgraphs", """
-WITH g AS (SELECT log_type || (log_idx % 30) AS subgraph, string_agg(src || dst || action, ',' ORDER BY src, dst, action) AS sig FROM (SELECT log_type, log_idx % 60 AS log_idx, src, dst, action FROM edges WHERE log_idx % 60 < 30
- UNION ALL SELECT 'copy', log_idx % 60, src, dst, action FROM edges WHERE log_idx % 60 < 30 AND log_type = 'dns') GROUP BY 1)
+WITH g AS (SELECT log_type || (log_idx % 30) AS subgraph, string_agg(src || dst || action, ',' ORDER BY src, dst, action) AS sig FROM (SELECT log_type, log_idx, src, dst, action FROM edges
+ UNION ALL SELECT 'copy', log_idx, src, dst, action FROM edges WHERE log_type = 'dns') GROUP BY 1)
 SELECT min(subgraph) AS subgraph FROM g GROUP BY sig""", "edges")
 def _(t):
-    e = t.edges.withColumn("m", F.col("log_idx") % 60).filter("m < 30").select("log_type", "m", "src", "dst", "action")
+    e = t.edges.select("log_type", F.col("log_idx").alias("m"), "src", "dst", "action")
     e = e.unionByName(e.filter("log_type = 'dns'").withColumn("log_type", F.lit("copy")))
     return G.drop_duplicate_subgraphs(e.withColumn("subgraph", F.concat("log_type", F.col("m") % 30))).select("subgraph").distinct()
 
