@@ -5,10 +5,14 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_DIRS: dict[str, str] = {}
+_SCOPES: ContextVar[tuple[list[str], ...]] = ContextVar("scopes", default=())  # the folders written in each open scope of this thread
 
 
 def build_session(name: str = "traceloom", master: str | None = None, **conf: str) -> SparkSession:
@@ -55,12 +59,41 @@ def cut(df: DataFrame) -> DataFrame:
     Used where several branches must see the *same* physical rows (range slices)
     and where an iteration would otherwise grow its lineage. A written table
     survives the loss of executors and keeps column pruning for its readers.
+    Inside ``scratch`` it goes at the end of the scope, otherwise it stays.
     """
+    return _written(df, next(iter(_SCOPES.get()[-1:]), None))
+
+
+def keep(df: DataFrame) -> DataFrame:
+    """``cut`` for a result that has to outlive the innermost ``scratch``: the table belongs to the scope around it."""
+    return _written(df, next(iter(_SCOPES.get()[-2:-1]), None))
+
+
+def _written(df: DataFrame, scope: list[str] | None) -> DataFrame:
     path = os.path.join(shared_dir(df.sparkSession), "traceloom-" + uuid.uuid4().hex)
-    df.write.parquet(path)
+    if scope is not None:
+        scope.append(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Delete the tables that ``cut`` writes inside, when the scope ends.
+
+    Only tables written by ``keep``, or frames that read none of the scope's tables, may be used afterwards.
+    """
+    made: list[str] = []
+    token = _SCOPES.set((*_SCOPES.get(), made))
+    try:
+        yield
+    finally:
+        _SCOPES.reset(token)
+        for path in made:
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Give a CPU-heavy step all cores when its input has fewer splits than the cluster has.
 
