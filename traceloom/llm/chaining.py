@@ -6,7 +6,10 @@ pairs among them. Matches of a document with a source are chained in order with
 from a Fenwick tree of prefix maxima; chains are aligned word by word, and those long and alike enough are passages.
 
 The first documents of a passage's seeds need not hold the passage. So, where all seeds are shared and no passage was
-found, every run of ``least`` words points to the first document of that very run: no verbatim repeat is lost.
+found, every run of ``least`` words points to the first document of that very run: no verbatim repeat is lost. For repeats
+with differences, seeds outside all passages go on to the next document that has them, until a round finds nothing new.
+
+Rows are numbered in the order of their ids, and all work is done on these numbers: null and repeated ids are documents like others.
 """
 
 from __future__ import annotations
@@ -20,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from traceloom.llm.common import by_text, chunks, cut, encoded, grams, words
+from traceloom.session import keep, scratch
 
 K, WINDOW = 5, 12  # words in a seed, seeds in a window: 16 equal words share a seed
 GAP = 0.25  # cost of a word that a chain skips on either side
@@ -323,8 +327,9 @@ def exact_runs(own: DataFrame, marked: DataFrame, found: DataFrame, least: int)
         return pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row)), pa.array(gram), pa.array(pos.astype(np.int32)), pa.array(opened)],
                                           ["id", "gram", "pos", "open"])
     run = cut(by_text(both.join(own, "id").select("id", "starts", "open", "text"), hashed, f"id {kind}, gram bigint, pos int, open boolean"))
-    first = run.groupBy("gram").agg(F.min(F.struct("id", "pos")).alias("s"), F.max("id").alias("last")).filter("s.id <> last").select(
-        "gram", F.col("s.id").alias("source"), F.col("s.pos").alias("other"))
+    # written, so that the join with a frequent run's one row can be split
+    first = cut(run.groupBy("gram").agg(F.min(F.struct("id", "pos")).alias("s"), F.max("id").alias("last")).filter("s.id <> last").select(
+        "gram", F.col("s.id").alias("source"), F.col("s.pos").alias("other")))
     matches = run.filter("open").join(first, "gram").filter("source < id").groupBy("id").agg(
         F.collect_list(F.struct("pos", "source", "other")).alias("m")).select("id", "m.pos", "m.source", "m.other")
 
@@ -339,27 +344,17 @@ def exact_runs(own: DataFrame, marked: DataFrame, found: DataFrame, least: int)
     return cut(matches.mapInPandas(covered, f"id {kind}, source {kind}, spans array<array<bigint>>"))
 
 
-def repeats(docs: DataFrame, least: int = 50, alike: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Passages of at least ``least`` words that an earlier document (smaller id) has too, with small differences.
+def numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """All rows in the order of (id, nulls last, text): columns c0, c1 ... of ``docs``, the text's md5, and ``row``, a
+    number that ascends in that order. Equal rows get numbers of their own. To be written once."""
+    flat = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    own, text = (f"c{docs.columns.index(c)}" for c in (id_col, text_col))
+    flat = flat.withColumn("m", F.md5(text)).withColumn("tie", F.monotonically_increasing_id())
+    return flat.orderBy(F.col(own).asc_nulls_last(), "m", "tie").drop("tie").withColumn("row", F.monotonically_increasing_id())
 
-    Of every verbatim repeat all words lie in passages; a repeat with differences is looked for in the first documents of its seeds.
-    Rows (id, start, end, source, source_start, source_end, alike); positions count words, ends excluded; ``alike`` is the
-    share of matched words. A document whose whole text an earlier one has is one passage. Texts that are null or
-    too short, and rows without an id, have no passage. Of repeated ids one row, that of the smallest text, counts.
-    """
-    base = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter("id is not null and text is not null")
-    known = cut(base.select("id", F.md5("text").alias("m")).groupBy("id").agg(F.min("m").alias("m")))
-    first = cut(known.groupBy("m").agg(F.min("id").alias("source"), F.count(F.lit(1)).alias("n")))
-    copies = cut(known.join(first.filter("n > 1"), "m").filter("id <> source").select("id", "source"))
-    own = base.join(copies.select("id"), "id", "left_anti")
-    hits = cut(seeds(own))
-    # first document of each seed that stands in two or more
-    shared = cut(hits.groupBy("seed").agg(F.min(F.struct("id", "pos")).alias("s"), F.max("id").alias("last")).filter("s.id <> last").select(
-        "seed", F.col("s.id").alias("source"), F.col("s.pos").alias("other")))
-    earlier = F.col("source") < F.col("id")
-    marked = cut(hits.join(shared, "seed", "left").select("id", "seed", "pos", F.when(earlier, F.col("source")).alias("source"), "other"))
-    matches = marked.filter("source is not null").groupBy("id", "source").agg(F.sort_array(F.collect_list(F.struct("pos", "other"))).alias("m"))
 
+def likely_passages(matches: DataFrame, least: int) -> DataFrame:
+    """Chains (id, source, spans) that may be passages, of the matches (id, pos, source, other, fresh); pairs without a fresh match have none."""
     def chained(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             out = []
@@ -373,9 +368,19 @@ def repeats(docs: DataFrame, least: int = 50, alike: float = 0.8, id_col: str =
                     if span + 2 * (WINDOW + K) >= least:
                         out.append((r.id, r.source, [[int(a[i]), int(b[i]), int(n[i])] for i in c]))
             yield pd.DataFrame(out, columns=["id", "source", "spans"])
-    kind = base.schema["id"].dataType.simpleString()
-    likely = cut(matches.mapInPandas(chained, f"id {kind}, source {kind}, spans array<array<bigint>>"))
+    both = matches.groupBy("id", "source").agg(F.sort_array(F.collect_list(F.struct("pos", "other"))).alias("m"),
+                                                   F.max("fresh").alias("fresh")).filter("fresh")
+    # a chain of one seed is too short: a pair with one match, or with all in a few words, has none
+    both = both.filter(F.greatest(F.array_max("m.pos") - F.array_min("m.pos"), F.array_max("m.other") - F.array_min("m.other")) + K
+                       + 2 * (WINDOW + K) >= least)
+    return cut(both.mapInPandas(chained, "id bigint, source bigint, spans array<array<bigint>>"))
+
 
+NAMES = ["id", "start", "end", "source", "source_start", "source_end", "alike"]
+
+
+def verified(likely: DataFrame, own: DataFrame, least: int, alike: float) -> DataFrame:
+    """Passages of the chains ``likely``, aligned in the whole texts ``own`` (id, text): columns NAMES."""
     def aligned(b: pa.RecordBatch) -> pa.RecordBatch:
         rows, one, two = [], encoded(b.column(3)), encoded(b.column(4))
         for i, spans in enumerate(b.column(2).to_pylist()):
@@ -384,35 +389,104 @@ def repeats(docs: DataFrame, least: int = 50, alike: float = 0.8, id_col: str =
         cols = list(zip(*rows, strict=True)) or [[]] * 6
         take = pa.array(cols[0], pa.int64())
         return pa.RecordBatch.from_arrays([b.column(0).take(take), *[pa.array(cols[i], pa.int64()) for i in (1, 2)], b.column(1).take(take),
-                                           *[pa.array(cols[i], pa.int64()) for i in (3, 4)], pa.array(cols[5], pa.float64())], names)
-    names = [id_col, "start", "end", "source", "source_start", "source_end", "alike"]
-
-    def verified(likely: DataFrame) -> DataFrame:
-        needed = cut(likely.select("id").union(likely.select("source")).distinct())
-        texts = cut(own.join(needed, "id"))
-        both = likely.join(texts.select(F.col("id").alias("source"), F.col("text").alias("other")), "source").join(texts, "id")
-        return cut(by_text(both.select("id", "source", "spans", "text", "other"), aligned,
-                           f"`{id_col}` {kind}, start bigint, `end` bigint, source {kind}, source_start bigint, source_end bigint, alike double"))
-    found = verified(likely)
-    rest = exact_runs(own, marked, found.select(F.col(id_col).alias("id"), "start", "end"), least)
-    if rest is not None:
-        found = found.union(verified(rest))
-
-    def counted(b: pa.RecordBatch) -> pa.RecordBatch:
-        n = [len(t.split()) for t in encoded(b.column(2))]
-        return pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64())], ["id", "source", "n"])
-    whole = by_text(base.join(copies, "id").select("id", "source", "text"), counted, f"id {kind}, source {kind}, n bigint").distinct()
-    zero = F.lit(0).cast("long")
-    return found.union(whole.filter(F.col("n") >= least).select("id", zero, "n", "source", zero, "n", F.lit(1.0)))
+                                           *[pa.array(cols[i], pa.int64()) for i in (3, 4)], pa.array(cols[5], pa.float64())], NAMES)
+    needed = cut(likely.select("id").union(likely.select("source")).distinct())
+    texts = cut(own.join(needed, "id"))
+    both = likely.join(texts.select(F.col("id").alias("source"), F.col("text").alias("other")), "source").join(texts, "id")
+    return keep(by_text(both.select("id", "source", "spans", "text", "other"), aligned,
+                        "id bigint, start bigint, `end` bigint, source bigint, source_start bigint, source_end bigint, alike double"))
+
+
+def further_sources(own: DataFrame, hits: DataFrame, found: DataFrame, least: int, alike: float) -> list[DataFrame]:
+    """Passages with later documents of seeds ``hits`` (id, seed, pos, source, other) that ``found`` leaves uncovered, as tables of NAMES.
+
+    ``hits`` are all places of seeds that an earlier document has, with that document and the place in it. In round n a seed points to the (n+1)th document that has it; seeds
+    inside passages, and those with no later document left to search, drop out. What a pair has matched in earlier rounds counts with its
+    new matches. The rounds end when one finds nothing.
+    """
+    rows, past = hits.select("id", "seed", "pos", F.lit(True).alias("open")), hits.select("id", "pos", "source", "other", F.lit(False).alias("fresh"))
+    new, out = found, []
+    inside = F.coalesce(F.exists("s", lambda s: (s["start"] <= F.col("pos")) & (F.col("pos") + K <= s["end"])), F.lit(False))
+    while True:
+        spans = cut(new.groupBy("id").agg(F.collect_list(F.struct("start", "end")).alias("s")))
+        rows = cut(rows.join(spans, "id", "left").select("id", "seed", "pos", (F.col("open") & ~inside).alias("open")))
+        past = cut(past.join(spans, "id", "left").filter(~inside).drop("s"))
+        # the minimum is combined on the map side, and the join with its written rows can be split
+        after = cut(rows.groupBy("seed").agg(F.min(F.struct("id", "pos")).alias("s"), F.max(F.when(F.col("open"), F.col("id"))).alias("last"))
+                    .filter("last > s.id").select("seed", F.col("s.id").alias("source"), F.col("s.pos").alias("other")))
+        rows = cut(rows.join(after, "seed").filter("id > source"))
+        fresh = rows.filter("open").select("id", "pos", "source", "other", F.lit(True).alias("fresh"))
+        with scratch(own.sparkSession):
+            new = verified(likely_passages(past.union(fresh), least), own, least, alike)
+        if new.isEmpty():
+            return out
+        out.append(new)
+        past = past.union(fresh.withColumn("fresh", F.lit(False)))
+
+
+def passages_of(rows: DataFrame, least: int, alike: float) -> DataFrame:
+    """Columns NAMES for rows (id, text, m) of numbered documents; ids and sources are their numbers. Written by ``keep``."""
+    with scratch(rows.sparkSession):
+        base = rows.filter("text is not null")
+        first = cut(base.groupBy("m").agg(F.min("id").alias("source"), F.count(F.lit(1)).alias("n")).filter("n > 1"))
+        copies = cut(base.select("id", "m").join(first, "m").filter("id <> source").select("id", "source"))
+        own = base.select("id", "text").join(copies.select("id"), "id", "left_anti")
+        with scratch(rows.sparkSession):
+            hits = cut(seeds(own))
+            # first document of each seed that stands in two or more
+            shared = cut(hits.groupBy("seed").agg(F.min(F.struct("id", "pos")).alias("s"), F.max("id").alias("last")).filter("s.id <> last").select(
+                "seed", F.col("s.id").alias("source"), F.col("s.pos").alias("other")))
+            earlier = F.col("source") < F.col("id")
+            marked = keep(hits.join(shared, "seed", "left").select("id", "seed", "pos", F.when(earlier, F.col("source")).alias("source"), "other"))
+        later = marked.filter("source is not null")
+        with scratch(rows.sparkSession):
+            found = verified(likely_passages(later.select("id", "pos", "source", "other", F.lit(True).alias("fresh")), least), own, least, alike)
+        with scratch(rows.sparkSession):
+            rest = exact_runs(own, marked, found.select("id", "start", "end"), least)
+            if rest is not None:
+                rest = verified(rest, own, least, alike)
+        if rest is not None:
+            found = found.union(rest)
+        for more in further_sources(own, later, found, least, alike):
+            found = found.union(more)
+
+        def counted(b: pa.RecordBatch) -> pa.RecordBatch:
+            n = [len(t.split()) for t in encoded(b.column(2))]
+            return pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64())], ["id", "source", "n"])
+        whole = by_text(base.join(copies, "id").select("id", "source", "text"), counted, "id bigint, source bigint, n bigint")
+        zero = F.lit(0).cast("long")
+        return keep(found.union(whole.filter(F.col("n") >= least).select("id", zero, "n", "source", zero, "n", F.lit(1.0))))
+
+
+def repeats(docs: DataFrame, least: int = 50, alike: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Passages of at least ``least`` words that an earlier document (smaller id, null last, then smaller md5 of the text) has too, with small differences.
+
+    Of every verbatim repeat all words lie in passages; a repeat with differences is looked for in the first documents of its seeds, then in
+    the next ones until a round finds nothing new.
+    Rows (id, start, end, source, source_start, source_end, alike); positions count words, ends excluded; ``alike`` is the
+    share of matched words; ``source`` is that document's id. A document whose whole text an earlier one has is one passage. Texts that are
+    null or too short have none. Every row is a document of its own, also one whose id is null or repeated. An empty table
+    gives an empty table. Other columns are not read.
+    """
+    with scratch(docs.sparkSession):
+        rows = cut(numbered(docs.select(id_col, text_col), id_col, text_col))
+        found = passages_of(rows.select(F.col("row").alias("id"), F.col("c1").alias("text"), "m"), least, alike)
+        own, other = (rows.select(F.col("row").alias(k), F.col("c0").alias("_" + k)) for k in ("id", "source"))
+        return keep(found.join(own, "id").join(other, "source").select(
+            F.col("_id").alias(id_col), "start", "end", F.col("_source").alias("source"), "source_start", "source_end", "alike"))
 
 
 def without_repeats(docs: DataFrame, least: int = 50, alike: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with every repeated passage cut out of the later documents; all rows and columns stay.
+    """``docs`` with every repeated passage cut out of the later documents; all rows and columns stay, whatever their names.
 
-    White space before a passage goes with it. Texts without such a passage are unchanged, null stays null.
+    White space before a passage goes with it. Texts without such a passage are unchanged, null stays null. Every row is a
+    document of its own, as in ``repeats``: of equal rows the first keeps its text. An empty table stays empty.
     """
-    spans = repeats(docs, least, alike, id_col, text_col).groupBy(F.col(id_col).alias("_id")).agg(
-        F.sort_array(F.collect_list(F.struct("start", "end"))).alias("_spans"))
+    with scratch(docs.sparkSession):
+        rows = keep(numbered(docs, id_col, text_col))
+        at = docs.columns.index(text_col)
+        spans = keep(passages_of(rows.select(F.col("row").alias("id"), F.col(f"c{at}").alias("text"), "m"), least, alike)
+                     .groupBy(F.col("id").alias("row")).agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans")))
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         out = []
@@ -420,18 +494,16 @@ def without_repeats(docs: DataFrame, least: int = 50, alike: float = 0.8, id_col
             if t is not None and spans:
                 raw = t.encode("utf-8", "surrogatepass")
                 _, _, start, end = words([raw])
-                keep, place = [], 0
+                kept, place = [], 0
                 for s in spans:
                     lo, hi = s["start"], min(s["end"], len(start))
                     if hi > lo and end[hi - 1] > place:
                         cut_at = end[lo - 1] if lo else 0
-                        keep.append(raw[place:max(cut_at, place)])
+                        kept.append(raw[place:max(cut_at, place)])
                         place = end[hi - 1]
-                t = b"".join([*keep, raw[place:]]).decode("utf-8", "surrogatepass")
+                t = b"".join([*kept, raw[place:]]).decode("utf-8", "surrogatepass")
             out.append(t)
-        cols = [pa.array(out, pa.string()) if i == at else c for i, c in enumerate(b.columns[:-1])]
-        return pa.RecordBatch.from_arrays(cols, names)
-    names = docs.columns
-    at = names.index(text_col)
-    types = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes)
-    return by_text(docs.join(cut(spans), F.col(id_col) == F.col("_id"), "left").drop("_id"), run, types)
+        return pa.RecordBatch.from_arrays([pa.array(out, pa.string()) if i == at else c for i, c in enumerate(b.columns[:-1])], flat)
+    flat = [f"c{i}" for i in range(len(docs.columns))]
+    types = ", ".join(f"{c} {t}" for c, (_, t) in zip(flat, docs.dtypes, strict=True))
+    return by_text(rows.join(spans, "row", "left").select(*flat, "spans"), run, types).toDF(*docs.columns)

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from traceloom.llm.common import by_text, chunks, components, cut, encoded, grams, mix, words
+from traceloom.session import keep, scratch
 
 _TABLES: dict[tuple[int, int, int], tuple[np.ndarray, np.ndarray]] = {}
 _BLOCK = 8192  # shingles of one document that are looked up at once
@@ -145,20 +146,14 @@ def crossed(members: DataFrame, texts: DataFrame, sizes: DataFrame, n: int, perc
     return rows.groupBy("block1", "block2").applyInArrow(compare, f"a {kind}, b {kind}")
 
 
-def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 75, bands: int = 64, rows: int = 6, hub_rounds: int = 2,
-                    id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per document: id, n_shingles, component_id (smallest id reachable over links), kept.
+def linked(base: DataFrame, n: int = 5, percent: int = 75, bands: int = 64, rows: int = 6, hub_rounds: int = 2) -> DataFrame:
+    """(id, n_shingles, component) of rows (id, text) whose ids are unique numbers: the smallest id reachable over links.
 
-    With 64 bands of 6 a link of similarity 0.75 is missed once in 280,000 times. Equal sets are one vertex from the start,
-    known by two 64-bit sums and their size, so copies cost nothing further. Documents without words (null or empty text) link
-    with nothing and are their own component. A row whose id is null takes the smallest id of its component, null if
-    there is none, and is not kept; repeated ids and rows belong to one component when their texts link. Other columns are not read.
+    Equal sets are one vertex from the start, known by two 64-bit sums and their size, so copies cost nothing further.
     """
-    base = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     sig = cut(signatures(base, n, bands, rows, "id", "text"))
     same = ["n_shingles", "s1", "s2"]
-    classes = cut(sig.filter("n_shingles > 0").groupBy(*same).agg(F.min("id").alias("rep"), F.min_by("bands", "id").alias("bands"))
-                  .filter("rep is not null"))
+    classes = cut(sig.filter("n_shingles > 0").groupBy(*same).agg(F.min("id").alias("rep"), F.min_by("bands", "id").alias("bands")))
     band = classes.select("rep", F.explode("bands").alias("band"))
     shared = cut(band.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("band"))
     # members of buckets of two or more, with the hub they were linked to (at first themselves)
@@ -197,6 +192,22 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 75, bands: int =
     group = components(links).select(F.col("id").alias("rep"), F.col("component").alias("c"))
     whole = classes.join(group, "rep", "left").select(*[F.col(c).alias("_" + c) for c in same], F.coalesce("c", "rep").alias("c"))
     cond = (sig.n_shingles == F.col("_n_shingles")) & (sig.s1 == F.col("_s1")) & (sig.s2 == F.col("_s2"))
-    out = sig.drop("bands").join(cut(whole), cond, "left").select(
-        F.col("id").alias(id_col), "n_shingles", F.coalesce("c", "id").alias("component_id"))
-    return out.withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(False)))
+    return sig.drop("bands").join(cut(whole), cond, "left").select("id", "n_shingles", F.coalesce("c", "id").alias("component"))
+
+
+def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 75, bands: int = 64, rows: int = 6, hub_rounds: int = 2,
+                    id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per document: id, n_shingles, component_id (smallest id reachable over links), kept.
+
+    With 64 bands of 6 a link of similarity 0.75 is missed once in 280,000 times. Documents without words (null or empty text) link
+    with nothing and are their own component. Every row is a vertex of its own, also one whose id is null or repeated. A row whose
+    id is null takes the smallest id of its component, null if there is none, and is not kept. An empty table gives an
+    empty table. Other columns are not read.
+    """
+    with scratch(docs.sparkSession):
+        base = cut(docs.select(F.col(id_col).alias("own"), F.col(text_col).alias("text")).withColumn("id", F.monotonically_increasing_id()))
+        found = cut(linked(base.select("id", "text"), n, percent, bands, rows, hub_rounds).join(base.select("id", "own"), "id"))
+        least = cut(found.groupBy("component").agg(F.min("own").alias("least"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"))
+        out = found.join(least, "component", "left").select(
+            F.col("own").alias(id_col), "n_shingles", F.coalesce("least", "own").alias("component_id"))
+        return keep(out.withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(False))))

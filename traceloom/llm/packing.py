@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from traceloom.llm.bpe import held
 from traceloom.llm.common import by_text, chunks, cut
+from traceloom.session import keep, scratch
 
 _KNOWN: dict[tuple, dict[bytes, list[tuple]]] = {}
 
@@ -206,13 +207,22 @@ def pack_groups(items: DataFrame, groups: int, capacity: int, islands: int, roun
 
 def pack(pieces: DataFrame, capacity: int = 2048, group_items: int = 2000, islands: int = 2, rounds: int = 2, size: int = 4,
          children: int = 6, full: float = 0.99) -> DataFrame:
-    """Give every row (length, ...) a ``sequence_id`` and an ``offset``; other columns are kept, but ``item``.
+    """Give every row (length, ...) a ``sequence_id`` and an ``offset``; other columns are kept, whatever their names but those two.
 
     0 < length <= capacity must hold. Pieces as long as a sequence stand alone. Groups hold about
     ``group_items`` documents whatever the input, so a task's memory is bounded; bins filled below ``full``, or below the median
     fill of the level's pieces where that is less, are packed again in the next level, until one group is left. An empty table gives an empty table. Rows are numbered as they are written once.
     """
-    pieces = cut(pieces.withColumn("item", F.monotonically_increasing_id()))
+    names = pieces.columns
+    flat = [c if c == "length" else f"c{i}" for i, c in enumerate(names)]
+    with scratch(pieces.sparkSession):
+        pieces = keep(pieces.toDF(*flat).withColumn("item", F.monotonically_increasing_id()))
+        placed = keep(_placed(pieces, capacity, group_items, islands, rounds, size, children, full))
+    return pieces.join(placed, "item").select(*flat, "sequence_id", "offset").toDF(*names, "sequence_id", "offset")
+
+
+def _placed(pieces: DataFrame, capacity: int, group_items: int, islands: int, rounds: int, size: int, children: int, full: float) -> DataFrame:
+    """(item, sequence_id, offset) of written rows (item, length)."""
     alone = pieces.filter(F.col("length") >= capacity).select("item", F.col("item").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     placed, todo, level = alone, pieces.filter(F.col("length") < capacity).select("item", "length"), 0
     while n := todo.count():
@@ -226,7 +236,7 @@ def pack(pieces: DataFrame, capacity: int = 2048, group_items: int = 2000, islan
             break
         todo = cut(got.filter(~keep).select("item").join(pieces.select("item", "length"), "item"))
         level += 1
-    return pieces.join(placed, "item").drop("item")
+    return placed
 
 
 def pack_documents(docs: DataFrame, path: str, capacity: int = 2048, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
