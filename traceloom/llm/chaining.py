@@ -146,23 +146,39 @@ def split(chain: list[int], x: np.ndarray, y: np.ndarray, n: np.ndarray, widest:
     return parts
 
 
+def alike_first(a: np.ndarray, b: np.ndarray, step: int = 32) -> int:
+    """Length of the equal beginning of two word sequences, compared in pieces that double."""
+    i, n = 0, min(len(a), len(b))
+    while i < n:
+        differ = np.flatnonzero(a[i:min(i + step, n)] != b[i:min(i + step, n)])
+        if len(differ):
+            return i + int(differ[0])
+        i, step = i + step, step * 2
+    return n
+
+
 def edit_matches(a: np.ndarray, b: np.ndarray) -> int:
     """Words in common of a cheapest alignment of two gaps (longest common subsequence)."""
-    if not len(a) or not len(b):
-        return 0
+    # equal beginnings and ends belong to some longest common subsequence
+    first = alike_first(a, b)
+    a, b = a[first:], b[first:]
+    last = alike_first(a[::-1], b[::-1])
+    a, b = sorted((a[:len(a) - last], b[:len(b) - last]), key=len)
+    if not len(a):
+        return first + last
     row = np.zeros(len(b) + 1, np.int64)
     for w in a:
         hit = np.append(0, row[:-1] + (b == w))
         row = np.maximum.accumulate(np.maximum(row, hit))
-    return int(row[-1])
+    return first + last + int(row[-1])
 
 
 def stretch(a: np.ndarray, b: np.ndarray, drop: int = 12) -> tuple[int, int]:
     """How far two word sequences go on alike from here: words and matches; it may skip single words, and ends after too many differences."""
     i = j = best_i = best_j = score = best = 0
     while i < len(a) and j < len(b) and score > best - drop:
-        if a[i] == b[j]:
-            i, j, score = i + 1, j + 1, score + 1
+        if same := alike_first(a[i:], b[j:]):
+            i, j, score = i + same, j + same, score + same
         else:
             options = [(1, 1), (1, 0), (0, 1), (2, 2), (2, 1), (1, 2)]
             for di, dj in options:
@@ -338,10 +354,12 @@ def exact_runs(own: DataFrame, marked: DataFrame, found: DataFrame, least: int)
             out = []
             for r in f.itertuples(index=False):
                 codes, sources = pd.factorize(np.asarray(r.source))
-                for s, x, y, n in covering(np.asarray(r.pos, np.int64), codes, np.asarray(r.other, np.int64), least):
-                    out.append((r.id, sources[s], [[x, y, n]]))
-            yield pd.DataFrame(out, columns=["id", "source", "spans"])
-    return cut(matches.mapInPandas(covered, f"id {kind}, source {kind}, spans array<array<bigint>>"))
+                of: dict[int, list] = {}
+                for s, *run in covering(np.asarray(r.pos, np.int64), codes, np.asarray(r.other, np.int64), least):
+                    of.setdefault(s, []).append([run])
+                out += [(r.id, sources[s], chains) for s, chains in of.items()]
+            yield pd.DataFrame(out, columns=["id", "source", "chains"])
+    return cut(matches.mapInPandas(covered, f"id {kind}, source {kind}, chains array<array<array<bigint>>>"))
 
 
 def numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -354,7 +372,7 @@ def numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def likely_passages(matches: DataFrame, least: int) -> DataFrame:
-    """Chains (id, source, spans) that may be passages, of the matches (id, pos, source, other, fresh); pairs without a fresh match have none."""
+    """Chains that may be passages, a row (id, source, chains) for each pair, of the matches (id, pos, source, other, fresh); pairs without a fresh match have none."""
     def chained(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             out = []
@@ -362,30 +380,50 @@ def likely_passages(matches: DataFrame, least: int) -> DataFrame:
                 x, y = (np.array([int(p[c]) for p in r.m], np.int64) for c in ("pos", "other"))
                 y, x = spaced(y, x, least)  # a seed has one place in the source
                 a, b, n = runs(x, y, K)
+                long = []
                 for c in [part for c in chains(a, b, n) for part in split(c, a, b, n)]:
                     span = max(a[c[-1]] + n[c[-1]] - a[c[0]], b[c[-1]] + n[c[-1]] - b[c[0]])
                     # what lies before the first and after the last seed is at most a window and a seed if it is equal
                     if span + 2 * (WINDOW + K) >= least:
-                        out.append((r.id, r.source, [[int(a[i]), int(b[i]), int(n[i])] for i in c]))
-            yield pd.DataFrame(out, columns=["id", "source", "spans"])
+                        long.append([[int(a[i]), int(b[i]), int(n[i])] for i in c])
+                if long:
+                    out.append((r.id, r.source, long))
+            yield pd.DataFrame(out, columns=["id", "source", "chains"])
     both = matches.groupBy("id", "source").agg(F.sort_array(F.collect_list(F.struct("pos", "other"))).alias("m"),
                                                    F.max("fresh").alias("fresh")).filter("fresh")
     # a chain of one seed is too short: a pair with one match, or with all in a few words, has none
     both = both.filter(F.greatest(F.array_max("m.pos") - F.array_min("m.pos"), F.array_max("m.other") - F.array_min("m.other")) + K
                        + 2 * (WINDOW + K) >= least)
-    return cut(both.mapInPandas(chained, "id bigint, source bigint, spans array<array<bigint>>"))
+    return cut(both.mapInPandas(chained, "id bigint, source bigint, chains array<array<array<bigint>>>"))
 
 
 NAMES = ["id", "start", "end", "source", "source_start", "source_end", "alike"]
 
 
 def verified(likely: DataFrame, own: DataFrame, least: int, alike: float) -> DataFrame:
-    """Passages of the chains ``likely``, aligned in the whole texts ``own`` (id, text): columns NAMES."""
+    """Passages of the chains ``likely``, aligned in the whole texts ``own`` (id, text): columns NAMES.
+
+    A pair's texts travel once for all its chains. A chain that lies, in both texts, in a passage of the pair is that passage again.
+    """
     def aligned(b: pa.RecordBatch) -> pa.RecordBatch:
-        rows, one, two = [], encoded(b.column(3)), encoded(b.column(4))
-        for i, spans in enumerate(b.column(2).to_pylist()):
-            h, g = words([one[i]])[0], words([two[i]])[0]
-            rows += [(i, *p) for p in passages(h, g, [tuple(s) for s in spans], least, alike)]
+        rows, known, room = [], {}, 1 << 22
+
+        def hashes(column: int, i: int, key: int) -> np.ndarray:
+            nonlocal room
+            if key not in known:
+                h = words(encoded(b.column(column).slice(i, 1)))[0]
+                if len(h) > room:
+                    known.clear()
+                    room = 1 << 22
+                known[key], room = h, room - len(h)
+            return known[key]
+        for i, (own, source, chains) in enumerate(zip(*[b.column(c).to_pylist() for c in (0, 1, 2)], strict=True)):
+            h, g, found = hashes(3, i, own), hashes(4, i, source), []
+            for c in chains:
+                (x, y, _), (u, v, n) = c[0], c[-1]
+                if not any(p[0] <= x and u + n <= p[1] and p[2] <= y and v + n <= p[3] for p in found):
+                    found += passages(h, g, [tuple(s) for s in c], least, alike)
+            rows += [(i, *p) for p in found]
         cols = list(zip(*rows, strict=True)) or [[]] * 6
         take = pa.array(cols[0], pa.int64())
         return pa.RecordBatch.from_arrays([b.column(0).take(take), *[pa.array(cols[i], pa.int64()) for i in (1, 2)], b.column(1).take(take),
@@ -393,7 +431,7 @@ def verified(likely: DataFrame, own: DataFrame, least: int, alike: float) -> Dat
     needed = cut(likely.select("id").union(likely.select("source")).distinct())
     texts = cut(own.join(needed, "id"))
     both = likely.join(texts.select(F.col("id").alias("source"), F.col("text").alias("other")), "source").join(texts, "id")
-    return keep(by_text(both.select("id", "source", "spans", "text", "other"), aligned,
+    return keep(by_text(both.select("id", "source", "chains", "text", "other"), aligned,
                         "id bigint, start bigint, `end` bigint, source bigint, source_start bigint, source_end bigint, alike double"))
 
 
