@@ -133,3 +133,12 @@ def test_per_attack_metrics_match_one_against_rest(spark):
 def test_one_class_only_gives_zero(spark):
     m = M.ranking_metrics(spark.createDataFrame([(1.0, 0), (2.0, 0)], "score double, y int")).first()
     assert (m.auc_roc, m.auc_pr) == (0.0, 0.0)
+
+
+def test_duplicate_subgraphs_of_many_edges(spark):
+    """Sums of the hashes of more than some thousand edges exceed a long."""
+    from pyspark.sql import functions as F
+    e = spark.range(20000).select(F.concat(F.lit("a"), "id").alias("src"), F.concat(F.lit("b"), "id").alias("dst"), F.lit("R").alias("action"))
+    other = e.withColumn("dst", F.when(F.col("src") == "a7", "c").otherwise(F.col("dst")))
+    g = e.withColumn("subgraph", F.lit("y")).union(e.withColumn("subgraph", F.lit("x"))).union(other.withColumn("subgraph", F.lit("z")))
+    assert {r.subgraph for r in G.drop_duplicate_subgraphs(g).select("subgraph").distinct().collect()} == {"x", "z"}
