@@ -19,8 +19,12 @@ class _StreamTables(Tables):
     def read(self, name: str):
         if name != "events":
             return super().read(name)
-        schema = super().read(name).schema
-        return self.spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(self.sf_dir)
+        return _files(self, name, super().read(name).schema)
+
+
+def _files(t, name: str, schema):
+    """A file stream of a table that is one file or a folder of files: a pattern matches either, a plain path only a folder."""
+    return t.spark.readStream.schema(schema).parquet(f"{t.sf_dir}/{name}.parque[t]")
 
 
 def _stream(t):
@@ -100,8 +104,7 @@ def _(t):
 @query("stream_clusters")
 def _(t):
     out, cp = _place(t)
-    schema = t.read("embeddings").schema
-    e = t.spark.readStream.schema(schema).option("pathGlobFilter", "embeddings.parquet").parquet(t.sf_dir)
+    e = _files(t, "embeddings", t.read("embeddings").schema)
     seeds = e.select(F.col("vec_id").alias("id"), F.concat(F.lit("t"), F.col("label") % 3).alias("log_type"), "embedding").withColumnRenamed("embedding", "v")
     _finish(S.cluster_stream(seeds, out, cp, threshold=1.2))
     return t.spark.read.parquet(out + "/members").select("id", "log_type", "cluster")
