@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from traceloom.operators import vectors as V
 from traceloom.operators import clusters as K
+from traceloom.session import cut
 
 
 def frame(spark, m, first=0):
@@ -89,3 +90,30 @@ def test_clusters_persist(spark):
     b = K.continual_clusters(d, chunk_rows=3).toPandas().sort_values("id")
     assert list(a.cluster) == list(b.cluster)
     assert a.groupby(a.id % 2).cluster.nunique().tolist() == [1, 1] and a.cluster.nunique() == 2
+
+
+def test_small_windows_share_a_chunk(spark, monkeypatch):
+    """Many windows take few steps, and fading counts windows, not steps; checked against the windows one by one."""
+    rows = [(i, "ab"[i % 2], f"w{i // 4:02d}", [float(np.cos(i * 0.37)), float(np.sin(i * 0.37))]) for i in range(96)]
+    d = spark.createDataFrame(rows, "id long, log_type string, window_key string, v array<double>")
+    written = []
+    monkeypatch.setattr(K, "cut", lambda df: written.append(1) or cut(df))
+    got = {r.id: r.cluster for r in K.continual_clusters(d, threshold=0.5, fading=0.2).collect()}
+    assert len(written) <= 3
+    want = {}
+    for kind in "ab":
+        vecs, weight = [], []
+        for w in range(24):
+            weight = [x * 2.0 ** -0.2 for x in weight]
+            for i, _, _, v in [r for r in rows if r[1] == kind and r[2] == f"w{w:02d}"]:
+                v = np.array(v)
+                far = [np.linalg.norm(c - v) for c in vecs]
+                k = int(np.argmin(far)) if vecs else -1
+                if vecs and far[k] <= 0.5:
+                    vecs[k], weight[k] = (vecs[k] * weight[k] + v) / (weight[k] + 1), weight[k] + 1
+                else:
+                    k = len(vecs)
+                    vecs.append(v)
+                    weight.append(1.0)
+                want[i] = k
+    assert got == want

@@ -17,28 +17,52 @@ from traceloom.session import cut
 CENTRES = "log_type string, cluster long, v array<double>, weight double, step long"
 
 
-def _absorb(seeds: pd.DataFrame, centres: pd.DataFrame, step: int, threshold: float, fading: float):
-    """Give each seed to its nearest centre within the threshold, else open a new cluster."""
-    vecs = [np.asarray(v, dtype=float) for v in centres["v"]]
-    weight = [w * 2.0 ** (-fading * (step - s)) for w, s in zip(centres["weight"], centres["step"])]
+def _absorb(seeds: pd.DataFrame, centres: pd.DataFrame, threshold: float, fading: float):
+    """Give each seed to its nearest centre within the threshold, else open a new cluster.
+
+    Seeds come in the order of their ``step``; weights fade once for every step that begins.
+    """
     ids = list(centres["cluster"])
-    nxt = max(ids, default=-1) + 1
+    n, nxt = len(ids), max(ids, default=-1) + 1
+    first = int(seeds["step"].iloc[0]) if len(seeds) else 0
+    step = int(centres["step"].max()) if n else first
+    weight = np.append(np.asarray(centres["weight"], dtype=float), np.zeros(len(seeds)))
+    vecs = np.stack([np.asarray(v, dtype=float) for v in centres["v"]]) if n else None
     labels = []
-    for v in seeds["v"]:
+    for v, at in zip(seeds["v"], seeds["step"]):
         v = np.asarray(v, dtype=float)
-        d = np.linalg.norm(np.stack(vecs) - v, axis=1) if vecs else np.array([np.inf])
+        while step < at:
+            weight[:n] *= 2.0 ** -fading
+            step += 1
+        d = np.linalg.norm(vecs[:n] - v, axis=1) if n else np.array([np.inf])
         i = int(d.argmin())
         if d[i] <= threshold:
             vecs[i] = (vecs[i] * weight[i] + v) / (weight[i] + 1.0)
             weight[i] += 1.0
         else:
-            i = len(vecs)
-            vecs.append(v)
-            weight.append(1.0)
+            if vecs is None or n == len(vecs):
+                vecs = np.concatenate([np.zeros((0, len(v))) if vecs is None else vecs, np.zeros((max(n, 16), len(v)))])
+            i, n = n, n + 1
+            vecs[i], weight[i] = v, 1.0
             ids.append(nxt)
             nxt += 1
         labels.append(ids[i])
-    return labels, ids, vecs, weight
+    return labels, ids, vecs if n else [], weight[:n], step
+
+
+def _absorbed(seeds: DataFrame, centres: DataFrame, threshold: float, fading: float) -> DataFrame:
+    """Members and updated centres of every log type; ``seeds(id, log_type, v, step)``."""
+    kind = dict(seeds.dtypes)["id"]
+
+    def run(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        left = left.sort_values(["step", "id"])
+        labels, ids, vecs, weight, step = _absorb(left, right, threshold, fading)
+        a = pd.DataFrame({"log_type": key[0], "id": left["id"].values, "cluster": labels, "step": left["step"].values})
+        b = pd.DataFrame({"log_type": [key[0]] * len(ids), "cluster": ids, "v": [list(map(float, v)) for v in vecs[:len(ids)]], "weight": weight, "step": step})
+        return pd.concat([a.assign(v=None, weight=np.nan), b.assign(id=None)])[["log_type", "id", "cluster", "v", "weight", "step"]]
+
+    return seeds.select("id", "log_type", "v", "step").groupBy("log_type").cogroup(centres.groupBy("log_type")).applyInPandas(
+        run, f"log_type string, id {kind}, cluster long, v array<double>, weight double, step long")
 
 
 def cluster_step(seeds: DataFrame, centres: DataFrame, step: int, threshold: float = 0.6, fading: float = 0.005) -> DataFrame:
@@ -47,41 +71,31 @@ def cluster_step(seeds: DataFrame, centres: DataFrame, step: int, threshold: flo
     ``seeds(id, log_type, v)``; log types run side by side. A row has ``id`` for a
     member, or ``v``/``weight`` for a centre.
     """
-    kind = dict(seeds.dtypes)["id"]
-
-    def run(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        left = left.sort_values("id")
-        labels, ids, vecs, weight = _absorb(left, right, step, threshold, fading)
-        a = pd.DataFrame({"log_type": key[0], "id": left["id"].values, "cluster": labels})
-        b = pd.DataFrame({"log_type": [key[0]] * len(ids), "cluster": ids, "v": [list(map(float, v)) for v in vecs], "weight": weight, "step": step})
-        return pd.concat([a.assign(v=None, weight=np.nan, step=step), b.assign(id=None)])[["log_type", "id", "cluster", "v", "weight", "step"]]
-
-    return seeds.select("id", "log_type", "v").groupBy("log_type").cogroup(centres.groupBy("log_type")).applyInPandas(
-        run, f"log_type string, id {kind}, cluster long, v array<double>, weight double, step long")
+    return _absorbed(seeds.withColumn("step", F.lit(step).cast("long")), centres, threshold, fading)
 
 
 def continual_clusters(seeds: DataFrame, threshold: float = 0.6, fading: float = 0.005, chunk_rows: int = 5000) -> DataFrame:
     """Cluster seeds in window order per log type, with centres carried forward: (id, log_type, window_key, cluster).
 
-    Seeds are the farthest-point seeds of a window (a thousand by default), so a
-    step is small; a larger window is worked off in chunks, which gives the same
-    result because the assignment is sequential anyway. Windows are few (hours);
-    rows never pass through the driver.
+    The assignment is sequential, so the seeds of a log type, in the order of windows and ids, are worked off in chunks of
+    ``chunk_rows``, all log types together: small windows share a chunk and a large one takes several, with the same result.
+    A task holds one chunk and the centres. The driver learns the number of chunks only.
     """
     unit = seeds.select("id", "log_type", "window_key", V.l2_normalized(F.col("v")).alias("v"))
-    unit = row_index(unit, ["log_type", "window_key"], ["id"], "_pos")
+    windows = row_index(unit.select("window_key").distinct(), [], ["window_key"], "step").withColumnRenamed("window_key", "_w")
+    unit = unit.join(windows, F.col("window_key").eqNullSafe(F.col("_w"))).drop("_w")
+    unit = row_index(unit, ["log_type"], ["step", "id"], "_pos")
     unit = cut(unit.withColumn("_chunk", F.floor(F.col("_pos") / chunk_rows)))
-    steps = unit.select("window_key", "_chunk").distinct().orderBy("window_key", "_chunk").collect()  # one row per window and chunk
+    chunks = unit.agg(F.coalesce(F.max("_chunk") + 1, F.lit(0))).first()[0]
     centres = unit.sparkSession.createDataFrame([], CENTRES)
-    out, no, last = None, -1, None
-    for r in steps:
-        no, last = (no + 1, r["window_key"]) if r["window_key"] != last else (no, last)
-        part = unit.filter((F.col("window_key") == r["window_key"]) & (F.col("_chunk") == r["_chunk"]))
-        res = cut(cluster_step(part, centres, no, threshold, fading))
-        got = res.filter("id IS NOT NULL").select("id", "log_type", F.lit(r["window_key"]).alias("window_key"), "cluster")
-        out = got if out is None else out.unionByName(got)
-        centres = res.filter("id IS NULL").drop("id")
-    return out
+    out = unit.sparkSession.createDataFrame([], f"id {dict(unit.dtypes)['id']}, log_type string, cluster long, step long")
+    for no in range(chunks):
+        res = cut(_absorbed(unit.filter(F.col("_chunk") == no), centres, threshold, fading))
+        out = out.unionByName(res.filter("v IS NULL").select("id", "log_type", "cluster", "step"))
+        centres = res.filter("v IS NOT NULL").select("log_type", "cluster", "v", "weight", "step")
+        if no % 32 == 31:  # a long run keeps its plan short
+            out = cut(out)
+    return out.join(windows, "step").select("id", "log_type", F.col("_w").alias("window_key"), "cluster")
 
 
 def cluster_table(members: DataFrame) -> DataFrame:
