@@ -142,3 +142,22 @@ def test_duplicate_subgraphs_of_many_edges(spark):
     other = e.withColumn("dst", F.when(F.col("src") == "a7", "c").otherwise(F.col("dst")))
     g = e.withColumn("subgraph", F.lit("y")).union(e.withColumn("subgraph", F.lit("x"))).union(other.withColumn("subgraph", F.lit("z")))
     assert {r.subgraph for r in G.drop_duplicate_subgraphs(g).select("subgraph").distinct().collect()} == {"x", "z"}
+
+
+def test_coloured_lines_are_not_gathered_by_graph(spark):
+    """Lines are numbered in slices, and the last line of a graph is found by its number: no join or window brings all lines of a graph together."""
+    from traceloom.plans.catalog.graph import _dot
+    from traceloom.plans.views import Tables
+    e = G.coloured_edges(_dot(Tables(spark, "/root/testdata/sf0.001")).withColumnRenamed("no", "line_no"), "graph", "line_no")
+    plan = e._jdf.queryExecution().optimizedPlan().toString()
+    assert "row_number() windowspecdefinition(log_type" not in plan
+    joins = [x for x in plan.split("\n") if "LeftAnti" in x]
+    assert joins and all("= _last" in x for x in joins)
+    assert not any("Join Inner" in x and "_g_graph" in x for x in plan.split("\n"))
+
+
+def test_coloured_edges_of_a_graph_without_name(spark):
+    lines = ["digraph {", "a", "b", '"a" [color=red label="x"]', '"b" [color=blue label="y"]', '"a" -> "b" [label=R color=blue]', "}"]
+    d = spark.createDataFrame([(g, i, x) for g in ("g", None) for i, x in enumerate(lines)], "graph string, line_no long, line string")
+    got = G.coloured_edges(d, "graph", "line_no").collect()
+    assert sorted((r.graph or "", r.no, r.src, r.dst, r.action, r.any_red) for r in got) == [("", 0, "x", "y", "R", True), ("g", 0, "x", "y", "R", True)]
