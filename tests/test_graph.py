@@ -7,6 +7,7 @@ from traceloom.operators import graph as G
 from traceloom.operators import lookup as J
 from traceloom.operators import metrics as M
 from traceloom.operators import profiles as P
+from traceloom.session import cut
 
 
 @pytest.fixture(scope="module")
@@ -161,3 +162,14 @@ def test_coloured_edges_of_a_graph_without_name(spark):
     d = spark.createDataFrame([(g, i, x) for g in ("g", None) for i, x in enumerate(lines)], "graph string, line_no long, line string")
     got = G.coloured_edges(d, "graph", "line_no").collect()
     assert sorted((r.graph or "", r.no, r.src, r.dst, r.action, r.any_red) for r in got) == [("", 0, "x", "y", "R", True), ("g", 0, "x", "y", "R", True)]
+
+
+def test_breadth_levels_of_a_path(spark, monkeypatch):
+    """Roots and hops are the names' and ints again; a round's minimum is over longs, which needs no sort."""
+    rows = [(g, f"{g}{i:02d}", f"{g}{i + 1:02d}") for g in "ab" for i in range(9)]
+    both = spark.createDataFrame([r for g, x, y in rows for r in ((g, x, y), (g, y, x))], "graph string, node string, nb string")
+    written = []
+    monkeypatch.setattr(G, "cut", lambda df: written.append(df) or cut(df))
+    got = {(r.graph, r.node): (r.root, r.dist) for r in G.breadth_levels(both, "graph").collect()}
+    assert got == {(g, f"{g}{i:02d}"): (f"{g}00", i) for g in "ab" for i in range(10)}
+    assert "SortAggregate" not in written[-1]._jdf.queryExecution().executedPlan().toString()
