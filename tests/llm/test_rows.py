@@ -3,6 +3,7 @@
 import collections
 import random
 
+import numpy as np
 import pytest
 
 from traceloom.llm import chaining, minhash
@@ -61,6 +62,44 @@ def test_passages_whose_phrases_stand_in_earlier_documents(spark, depth):
     assert sum(len(covered[d] & set(range(25, 105))) >= 70 for d in sources) >= 19
 
 
+def test_a_passage_behind_many_documents_with_its_phrases(spark):
+    """80 words, four changed at the phrases' ends, whose phrases of 20 words stand alone in five earlier documents each: no round before finds anything."""
+    texts, firsts, lasts = [], [], []
+    for _ in range(6):
+        phrases = [prose(20) for _ in range(4)]
+        texts += [f"{prose(15)} {p} {prose(15)}" for p in phrases for _ in range(5)]
+        near = " ".join(phrases).split()
+        for at in (19, 39, 59, 70):
+            near[at] = "changed%d" % RND.randrange(10 ** 9)
+        firsts.append(f"{prose(20)} {' '.join(phrases)} {prose(20)}")
+        lasts.append(f"{prose(25)} {' '.join(near)} {prose(25)}")
+    docs = spark.createDataFrame(list(enumerate(texts + firsts + lasts)), "doc_id bigint, text string")
+    got = {(r.doc_id, r.source) for r in chaining.repeats(docs).collect() if r.end - r.start >= 70}
+    assert got == {(len(texts) + 6 + i, len(texts) + i) for i in range(6)}
+
+
+def test_windows_that_cannot_reach_a_passage():
+    """``may_reach`` leaves out no pair of windows whose texts have a passage, and most of those with only a phrase."""
+    rng, passed = np.random.default_rng(5), 0
+    for case in range(400):
+        a = rng.integers(1, 1 << 62, 300).astype(np.uint64)
+        b = rng.integers(1, 1 << 62, 300).astype(np.uint64)
+        n = int(rng.integers(16, 49))
+        b[100:100 + n] = a[100:100 + n]
+        if case % 2:  # the passage goes on behind single changed, lost or added words
+            tail = a[100 + n:180].copy()
+            tail[0] = 7
+            tail[rng.integers(1, len(tail), case % 7)] = 9
+            tail = np.insert(tail, 0, 11) if case % 3 == 0 else tail[case % 3 - 1:]
+            b[100 + n:100 + n + len(tail)] = tail
+        found = bool(chaining.passages(a, b, [(100, 100, n)], 50, 0.8))
+        w = chaining.window_at(b, 100)[None]
+        hit = bool(chaining.may_reach(chaining.window_at(a, 100), n - 5, w, np.array([n - 5]), 50)[0])
+        assert hit or not found
+        passed += hit and case % 2 == 0
+    assert passed == 0
+
+
 def test_near_copies_of_rows_with_null_and_repeated_ids(spark):
     one, two, three = prose(90), prose(90), prose(90)
     near = one.replace(one.split()[40], "changed", 1)

@@ -7,7 +7,7 @@ from a Fenwick tree of prefix maxima; chains are aligned word by word, and those
 
 The first documents of a passage's seeds need not hold the passage. So, where all seeds are shared and no passage was
 found, every run of ``least`` words points to the first document of that very run: no verbatim repeat is lost. For repeats
-with differences, seeds outside all passages go on to the next document that has them, until a round finds nothing new.
+with differences, pairs of neighbouring seeds outside all passages meet all earlier documents that have them.
 
 Rows are numbered in the order of their ids, and all work is done on these numbers: null and repeated ids are documents like others.
 """
@@ -27,6 +27,8 @@ from traceloom.session import keep, scratch
 
 K, WINDOW = 5, 12  # words in a seed, seeds in a window: 16 equal words share a seed
 GAP = 0.25  # cost of a word that a chain skips on either side
+WIDEST = 32  # words between two passages of a chain
+SIDE, BLOCK = 64, 512  # words beside a pair of seeds that are compared, more than a passage's least; documents in a block
 
 
 def minimizers(g: np.ndarray, window: int) -> np.ndarray:
@@ -136,7 +138,7 @@ def chains(x: np.ndarray, y: np.ndarray, n: np.ndarray, gap: float = GAP) -> lis
     return out
 
 
-def split(chain: list[int], x: np.ndarray, y: np.ndarray, n: np.ndarray, widest: int = 32) -> list[list[int]]:
+def split(chain: list[int], x: np.ndarray, y: np.ndarray, n: np.ndarray, widest: int = WIDEST) -> list[list[int]]:
     """The chain's parts between gaps wider than ``widest`` words on either side: such a gap separates two passages."""
     parts = [[chain[0]]]
     for i, j in zip(chain[:-1], chain[1:], strict=True):
@@ -435,31 +437,164 @@ def verified(likely: DataFrame, own: DataFrame, least: int, alike: float) -> Dat
                         "id bigint, start bigint, `end` bigint, source bigint, source_start bigint, source_end bigint, alike double"))
 
 
-def further_sources(own: DataFrame, hits: DataFrame, found: DataFrame, least: int, alike: float) -> list[DataFrame]:
-    """Passages with later documents of seeds ``hits`` (id, seed, pos, source, other) that ``found`` leaves uncovered, as tables of NAMES.
+def pairs_of_seeds(pos: np.ndarray, seed: np.ndarray, flags: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Every two seeds of a text that may follow each other in a chain: key, place of the first, distance of the second, and whether both are flagged.
 
-    ``hits`` are all places of seeds that an earlier document has, with that document and the place in it. In round n a seed points to the (n+1)th document that has it; seeds
-    inside passages, and those with no later document left to search, drop out. What a pair has matched in earlier rounds counts with its
-    new matches. The rounds end when one finds nothing.
+    A key has one place: the first of those flagged, or else the first of all.
     """
-    rows, past = hits.select("id", "seed", "pos", F.lit(True).alias("open")), hits.select("id", "pos", "source", "other", F.lit(False).alias("fresh"))
-    new, out = found, []
+    order = np.argsort(pos)
+    pos, seed, flags = pos[order], seed[order].view(np.uint64), flags[order]
+    first, second = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for step in range(1, len(pos)):
+        i = np.flatnonzero(pos[step:] - pos[:-step] <= WIDEST + K)
+        if not len(i):
+            break
+        first.append(i)
+        second.append(i + step)
+    i, j = np.concatenate(first), np.concatenate(second)
+    key, both = grams(seed, 1)[i] * np.uint64(0x9E3779B97F4A7C15) + seed[j], flags[i] & flags[j]
+    order = np.lexsort((pos[j], pos[i], ~both, key))
+    order = order[np.append(True, np.diff(key[order]) != 0)[:len(order)]]
+    i, j = i[order], j[order]
+    return key[order].view(np.int64), pos[i], pos[j] - pos[i], both[order]
+
+
+def window_at(h: np.ndarray, at: int) -> np.ndarray:
+    """Words of a text beside a place, as 32-bit numbers: SIDE words backwards from it, then SIDE words from it on; 0 beyond the text."""
+    out = np.zeros(2 * SIDE, np.uint32)
+    back, ahead = h[max(at - SIDE, 0):at][::-1], h[at:at + SIDE]
+    out[:len(back)], out[SIDE:SIDE + len(ahead)] = back.astype(np.uint32) | np.uint32(1), ahead.astype(np.uint32) | np.uint32(1)
+    return out
+
+
+def may_reach(one: np.ndarray, dist: int, many: np.ndarray, dists: np.ndarray, least: int) -> np.ndarray:
+    """Which of the windows ``many`` at a pair of seeds may lie in a passage with the window ``one``.
+
+    Left out are only those where both seeds stand in one equal run of less than ``least`` words that ``stretch`` lengthens on neither
+    side: with its loss of at most 12 it goes on only to two equal words that begin within 8 words, shifted by one at most.
+    A chain with a seed outside the run has a pair of seeds that leaves the run, and that pair is not left out.
+    """
+    ends = []
+    more = np.zeros(len(many), bool)
+    rows, ahead = np.arange(len(many))[:, None], np.arange(10)[None]
+    for half in (slice(0, SIDE), slice(SIDE, 2 * SIDE)):
+        a, b = one[half], many[:, half]
+        same = (b == a) & (a != 0)
+        n = np.where(same.all(axis=1), SIDE, np.argmin(same, axis=1))
+        ends.append(n)
+        i = np.minimum(n[:, None] + ahead, SIDE - 1)
+        for shift in (-1, 0, 1):
+            hit = (a[i] == b[rows, np.clip(i + shift, 0, SIDE - 1)]) & (a[i] != 0)
+            more |= (hit[:, :-1] & hit[:, 1:]).any(axis=1)
+    long = (ends[0] + ends[1] >= least) | (np.maximum(*ends) > SIDE - 12)
+    return more | long | (dists != dist) | (ends[1] < dist + K)
+
+
+def pairs_in_blocks(rows: DataFrame, own: DataFrame, least: int) -> DataFrame:
+    """(id, source): all documents that an open row of ``rows`` (id, key, p, d, open) and an earlier row of its key may have a passage in.
+
+    The rows of a key meet in blocks of about BLOCK, each two of them in one task, so pairs become rows only after ``may_reach``.
+    """
+    size = cut(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("least"), F.max(F.when(F.col("open"), F.col("id"))).alias("last"))
+               .filter("last > least").select("key", "last", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")))
+    rows = cut(rows.join(size, "key").filter("id <= last"))
+
+    def windows(b: pa.RecordBatch) -> pa.RecordBatch:
+        take, out = [], []
+        for i, text in enumerate(encoded(b.column(6))):
+            h = words([text])[0]
+            places = b.column(2)[i].as_py()
+            take += [(i, k) for k in range(len(places))]
+            out += [window_at(h, p).tobytes() for p in places]
+        row = pa.array([i for i, _ in take], pa.int64())
+        flat = [pa.array([x for c in b.column(n).to_pylist() for x in c], t) for n, t in ((1, pa.int64()), (3, pa.int32()), (4, pa.bool_()), (5, pa.int32()))]
+        return pa.RecordBatch.from_arrays([b.column(0).take(row), *flat, pa.array(out, pa.binary())], ["id", "key", "d", "open", "blocks", "w"])
+    lists = rows.groupBy("id").agg(F.collect_list(F.struct("key", "p", "d", "open", "blocks")).alias("m")).select("id", "m.key", "m.p", "m.d", "m.open", "m.blocks")
+    seen = by_text(lists.join(own, "id").select("id", "key", "p", "d", "open", "blocks", "text"), windows,
+                   "id bigint, key bigint, d int, open boolean, blocks int, w binary")
+    seen = cut(seen.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")))
+    # a block meets every block, itself included
+    meet = seen.withColumn("x", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).groupBy(
+        "key", F.least("block", "x").alias("g"), F.greatest("block", "x").alias("other")).agg(
+        F.collect_list(F.struct("id", "d", "open", "block", "w")).alias("m")).filter(F.size("m") > 1)
+
+    def compared(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            out = [np.zeros((0, 2), np.int64)]
+            for r in f.itertuples(index=False):
+                ids, dists, block = np.asarray(r.id), np.asarray(r.d), np.asarray(r.block)
+                w = np.frombuffer(b"".join(r.w), np.uint32).reshape(-1, 2 * SIDE)
+                for i in np.flatnonzero(np.asarray(r.open, bool)):
+                    earlier = np.flatnonzero((ids < ids[i]) & ((block != block[i]) | (r.g == r.other)))
+                    if len(earlier):
+                        hit = ids[earlier[may_reach(w[i], int(dists[i]), w[earlier], dists[earlier], least)]]
+                        out.append(np.stack([np.full(len(hit), ids[i]), hit], axis=1))
+            yield pd.DataFrame(np.concatenate(out), columns=["id", "source"])
+    return meet.select("g", "other", "m.id", "m.d", "m.open", "m.block", "m.w").mapInPandas(compared, "id bigint, source bigint").distinct()
+
+
+def further_sources(own: DataFrame, hits: DataFrame, later: DataFrame, found: DataFrame, least: int, alike: float) -> list[DataFrame]:
+    """Passages with any earlier document of seeds ``later`` (id, seed, pos) that ``found`` leaves uncovered, as tables of NAMES.
+
+    ``hits`` are all places (id, seed, pos) of all seeds. A chain that may be a passage has two seeds that follow each other in both texts, so
+    only documents with such a pair of seeds outside all passages meet. First each pair of seeds points to its first document, then to the next, as
+    long as that covers a tenth of what is open; what is still open then meets all earlier documents with its pair, so none is left out.
+    """
+    kind = "id bigint, key bigint, p int, d int, open boolean"
     inside = F.coalesce(F.exists("s", lambda s: (s["start"] <= F.col("pos")) & (F.col("pos") + K <= s["end"])), F.lit(False))
-    while True:
-        spans = cut(new.groupBy("id").agg(F.collect_list(F.struct("start", "end")).alias("s")))
-        rows = cut(rows.join(spans, "id", "left").select("id", "seed", "pos", (F.col("open") & ~inside).alias("open")))
-        past = cut(past.join(spans, "id", "left").filter(~inside).drop("s"))
+
+    def spans_of(found: DataFrame) -> DataFrame:
+        return cut(found.groupBy("id").agg(F.collect_list(F.struct("start", "end")).alias("s")))
+    left = cut(later.join(spans_of(found), "id", "left").filter(~inside).select("id", "seed", "pos", F.lit(True).alias("open")))
+    wanted = cut(left.select("seed").distinct())
+    places = cut(hits.join(wanted, "seed").join(left, ["id", "seed", "pos"], "left").groupBy("id").agg(
+        F.collect_list(F.struct("pos", "seed", F.coalesce("open", F.lit(False)).alias("f"))).alias("m")).filter(F.size("m") > 1)
+        .select("id", "m.pos", "m.seed", "m.f"))
+
+    def joined(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            out = [pd.DataFrame({"id": [], "key": [], "p": [], "d": [], "open": []})]
+            for r in f.itertuples(index=False):
+                key, p, d, both = pairs_of_seeds(np.asarray(r.pos, np.int64), np.asarray(r.seed, np.int64), np.asarray(r.f, bool))
+                out.append(pd.DataFrame({"id": r.id, "key": key, "p": p, "d": d, "open": both}))
+            yield pd.concat(out[1:] or out)
+    rows = cut(places.mapInPandas(joined, kind))
+    common = cut(rows.groupBy("key").agg(F.min("id").alias("least"), F.max(F.when(F.col("open"), F.col("id"))).alias("last")).filter("last > least").select("key", "last"))
+    rows = cut(rows.join(common, "key").filter("id <= last").select("id", "key", "p", "d", "open"))
+    follow, out, before = rows, [], rows.filter("open").count()
+
+    def matches(pairs: DataFrame) -> DataFrame:
+        """Both seeds' places for (id, p, d, source, sp, sd)."""
+        ends = F.array(F.struct(F.col("p").alias("pos"), F.col("sp").alias("other")), F.struct((F.col("p") + F.col("d")).alias("pos"), (F.col("sp") + F.col("sd")).alias("other")))
+        return pairs.select("id", "source", F.inline(ends)).distinct().select("id", "pos", "source", "other", F.lit(True).alias("fresh"))
+
+    def closed(rows: DataFrame, new: DataFrame) -> DataFrame:
+        spans = spans_of(new)
+        within = F.coalesce(F.exists("s", lambda s: ((s["start"] <= F.col("p")) & (F.col("p") + K <= s["end"]))
+                                     | ((s["start"] <= F.col("p") + F.col("d")) & (F.col("p") + F.col("d") + K <= s["end"]))), F.lit(False))
+        return cut(rows.join(spans, "id", "left").select("id", "key", "p", "d", (F.col("open") & ~within).alias("open")))
+    while before:
         # the minimum is combined on the map side, and the join with its written rows can be split
-        after = cut(rows.groupBy("seed").agg(F.min(F.struct("id", "pos")).alias("s"), F.max(F.when(F.col("open"), F.col("id"))).alias("last"))
-                    .filter("last > s.id").select("seed", F.col("s.id").alias("source"), F.col("s.pos").alias("other")))
-        rows = cut(rows.join(after, "seed").filter("id > source"))
-        fresh = rows.filter("open").select("id", "pos", "source", "other", F.lit(True).alias("fresh"))
+        after = cut(follow.groupBy("key").agg(F.min(F.struct("id", "p", "d")).alias("s"), F.max(F.when(F.col("open"), F.col("id"))).alias("last"))
+                    .filter("last > s.id").select("key", F.col("s.id").alias("source"), F.col("s.p").alias("sp"), F.col("s.d").alias("sd")))
+        follow = cut(follow.join(after, "key").filter("id > source"))
         with scratch(own.sparkSession):
-            new = verified(likely_passages(past.union(fresh), least), own, least, alike)
+            new = verified(likely_passages(matches(follow.filter("open")), least), own, least, alike)
         if new.isEmpty():
-            return out
+            break
         out.append(new)
-        past = past.union(fresh.withColumn("fresh", F.lit(False)))
+        follow, rows = closed(follow.select("id", "key", "p", "d", "open"), new), closed(rows, new)
+        now = rows.filter("open").count()
+        if now > 0.9 * before:
+            break
+        before = now
+    if before:
+        with scratch(own.sparkSession):
+            pairs = cut(pairs_in_blocks(rows, own, least))
+            of = rows.select(F.col("id").alias("source"), "key", F.col("p").alias("sp"), F.col("d").alias("sd"))
+            met = pairs.join(rows.filter("open"), "id").join(of, ["source", "key"])
+            out.append(verified(likely_passages(matches(met), least), own, least, alike))
+    return out
 
 
 def passages_of(rows: DataFrame, least: int, alike: float) -> DataFrame:
@@ -485,8 +620,11 @@ def passages_of(rows: DataFrame, least: int, alike: float) -> DataFrame:
                 rest = verified(rest, own, least, alike)
         if rest is not None:
             found = found.union(rest)
-        for more in further_sources(own, later, found, least, alike):
-            found = found.union(more)
+        with scratch(rows.sparkSession):
+            all_found = found
+            for more in further_sources(own, marked.select("id", "seed", "pos"), later.select("id", "seed", "pos"), found, least, alike):
+                all_found = all_found.union(more)
+            found = keep(all_found)
 
         def counted(b: pa.RecordBatch) -> pa.RecordBatch:
             n = [len(t.split()) for t in encoded(b.column(2))]
@@ -500,7 +638,7 @@ def repeats(docs: DataFrame, least: int = 50, alike: float = 0.8, id_col: str =
     """Passages of at least ``least`` words that an earlier document (smaller id, null last, then smaller md5 of the text) has too, with small differences.
 
     Of every verbatim repeat all words lie in passages; a repeat with differences is looked for in the first documents of its seeds, then in
-    the next ones until a round finds nothing new.
+    all earlier documents that have two of its seeds near each other.
     Rows (id, start, end, source, source_start, source_end, alike); positions count words, ends excluded; ``alike`` is the
     share of matched words; ``source`` is that document's id. A document whose whole text an earlier one has is one passage. Texts that are
     null or too short have none. Every row is a document of its own, also one whose id is null or repeated. An empty table
