@@ -242,3 +242,13 @@ def test_packing_pieces_of_repeated_and_null_ids(spark):
     long = [r for r in got if r.doc_id in (1, None)]
     assert len(long) == 6 and len({r.ids_crc32 for r in long}) == 2 and sorted(r.start for r in long) == [0] * 3 + [2048] * 3
     assert [r.length for r in got if r.doc_id == 2] == [1] and sorted(r.length for r in got if r.doc_id == 3) == [1, 3]
+
+
+def test_samples_do_not_depend_on_the_block(spark, monkeypatch):
+    """The number of samples in a row of the aggregation changes no sample."""
+    df = spark.createDataFrame([(d, t, t % 7 + 1) for d in range(4) for t in range(d, 40, 3)], "doc bigint, term bigint, weight bigint")
+    got = []
+    for block in (8, 4, 2):
+        monkeypatch.setattr(weighted_sampling, "BLOCK", block)
+        got.append(sorted(map(tuple, weighted_sampling.samples(df, ["doc"], 64).collect())))
+    assert got[0] == got[1] == got[2] and all(len(s) == 64 for _, s in got[0])

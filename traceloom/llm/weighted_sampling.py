@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from traceloom.operators import ordered
 from traceloom.session import cut
 
-BLOCK = 8  # samples that one row of the aggregation carries
+BLOCK = 4  # samples that one row of the aggregation carries: 1, 2, 4 or 8, with the same samples
+_NAMED = 8  # samples that share a hash of the term
 _MASK = (1 << 28) - 1
 
 
@@ -36,11 +37,12 @@ def samples(terms: DataFrame, keys: list[str], count: int = 64, term: str = "ter
     weights = weights or {"samples": "weight"}
     rows = terms.select(*keys, F.col(term).alias("_t"), *[F.log(F.col(w).cast("double")).alias(f"_w_{o}") for o, w in weights.items()],
                         F.explode(F.sequence(F.lit(0), F.lit(count // BLOCK - 1))).alias("_b"))
-    rows = rows.withColumn("_t", F.xxhash64("_t", "_b"))
+    per = _NAMED // BLOCK
+    rows = rows.withColumn("_t", F.xxhash64("_t", F.floor(F.col("_b") / per).cast("int"))).withColumn("_o", F.col("_b") % per * (3 * BLOCK))
     mins, drawn = [], []
     for k in range(BLOCK):
         # own hashes for the two gamma variables, and for the offset and the name
-        r, c, h = (F.xxhash64("_t", F.lit(3 * k + i)) for i in range(3))
+        r, c, h = (F.xxhash64("_t", F.col("_o") + 3 * k + i) for i in range(3))
         r, c, beta = _gamma(r), F.log(_gamma(c)), _uniform(h)
         drawn += [r.alias(f"_r{k}"), c.alias(f"_c{k}"), beta.alias(f"_u{k}"), F.shiftrightunsigned(h, 36).alias(f"_h{k}")]
         for o in weights:
