@@ -44,6 +44,40 @@ def test_causal_paths(spark, small, cap):
     assert {(r.node, r.pattern) for r in got.collect()} == want
 
 
+def test_causal_levels_in_numbers(spark, head=2):
+    """A head smaller than a level gives the paths of a plain search; a tree's row is numbers, and later nodes get a place only if needed."""
+    rng = np.random.default_rng(4)
+    rows = [(i, f"n{a}", f"n{b}", f"EVENT_{'RWX'[c]}") for i, (a, b, c) in enumerate(zip(rng.integers(0, 8, 30), rng.integers(0, 8, 30), rng.integers(0, 3, 30)))]
+    rows += [(30 + i, f"n{a}", f"n{b}", "EVENT_R") for i, (a, b) in enumerate([(54, 60 + k) for k in range(6)] + [(62, 54)])]
+    types = {f"n{i}": f"t{i % 3}" for i in range(70) if i % 7}
+    e = spark.createDataFrame(rows, "log_idx long, src string, dst string, action string")
+    kinds = spark.createDataFrame(list(types.items()), "node string, vtype string")
+    got = P.causal_profiles(e, kinds, "log_idx", head=head)
+    adj, every = {}, {}
+    for _, s, d, a in rows:
+        if d in types:
+            step = f"{a.lower()}_{types[d]}"
+            adj.setdefault(s, {}).setdefault(d, step)
+            every.setdefault(s, set()).add(step)
+    want = set()
+    for start in types:
+        paths, queue = {start: ""}, [start]
+        for node in queue:
+            want |= {(start, f"{paths[node]}|{step}" if paths[node] else step) for step in every.get(node, ())}
+            for d, step in adj.get(node, {}).items():
+                if d not in paths:
+                    paths[d] = f"{paths[node]}|{step}" if paths[node] else step
+                    queue.append(d)
+    out = [(r.node, r.pattern) for r in got.collect()]
+    assert len(out) == len(set(out)) and set(out) == want
+    nodes, steps, edges, _ = P.numbered_graph(e, kinds, "log_idx")
+    levels = P.causal_levels(nodes, steps, edges, head=head)
+    next(levels)
+    front = next(levels)[0]
+    assert set(dict(front.dtypes).values()) == {"bigint"}
+    assert front.filter("pos is not null").groupBy("start").count().agg({"count": "max"}).first()[0] <= head
+
+
 def test_split_parts(spark, small):
     rows, e = small
     from pyspark.sql import functions as F

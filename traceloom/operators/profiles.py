@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from traceloom.operators.common import top_rows, with_group_stats
 from traceloom.operators.ordered import row_index
-from traceloom.session import cut
+from traceloom.session import cut, keep, scratch
 
 
 def assign_types(rows: DataFrame, validity: DataFrame, features: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -58,80 +60,136 @@ def one_hop_profiles(e: DataFrame, types: DataFrame, untyped: DataFrame | None)
     return out.union(inc).distinct().join(owners.distinct(), "node", "left_semi")
 
 
-def causal_tree(e: DataFrame, types: DataFrame, seq: str, max_depth: int | None = None, max_nodes: int | None = None) -> DataFrame:
-    """Breadth-first trees from every typed node: (start, node, parent, step, pos), the start itself with a null parent.
+SALTS = 16  # parts of a node's starts
+WAY = 31  # bits of an edge's number in a way: a place in the queue and an edge, which sort as one long
 
-    From a start node only typed neighbours along out-edges are followed; each is entered once, by the earliest parent, then edge.
-    ``pos`` is the place in the start's queue. All start nodes advance together, one level per round, with or without a bound of
-    depth; a row holds its parent and one step, so its size does not grow with the depth. Positions come from a range-partitioned
-    scan, so a start that reaches most of the graph is spread over tasks.
+
+def numbered_graph(e: DataFrame, types: DataFrame, seq: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Typed out-edges in numbers: nodes (name, id, typed), steps (step, code), edges (edge, src, dst, code), sets (node, word, mask).
+
+    An edge leads to a typed node. Of several between two nodes the earliest stays in ``edges``; their numbers ascend by source, then
+    time, step and target. ``sets`` has all distinct steps out of a node as bits, 64 codes to a word.
     """
     t = types.select(F.col("node").alias("dst"), F.col("vtype").alias("_t"))
-    typed = e.select("src", "dst", F.lower("action").alias("act"), F.col(seq).alias("_s")).join(t, "dst")
-    # of several edges between two nodes the earliest is the one that enters
-    entry = F.min_by(F.concat_ws("_", "act", "_t"), F.struct("_s", F.concat_ws("_", "act", "_t")))
-    adj = cut(typed.groupBy(F.col("src").alias("node"), F.col("dst").alias("next")).agg(entry.alias("step"), F.min("_s").alias("_s")))
-    starts = adj.select("node").distinct().join(types.select("node"), "node", "left_semi")
-    none = F.lit(None).cast("string")
-    front = cut(starts.select(F.col("node").alias("start"), "node", none.alias("parent"), none.alias("step"), F.lit(0).cast("long").alias("pos")))
-    levels, seen = [front], [front]
-    while max_depth is None or len(levels) < max_depth:
-        open_ = front if max_nodes is None else front.filter(F.col("pos") < max_nodes)
-        reach = open_.select("start", "node", "pos").join(adj, "node").select(
-            "start", F.col("next").alias("node"), F.col("node").alias("parent"), "step", "pos", "_s")
-        known = seen[0].select("start", "node")
-        for more in seen[1:]:
-            known = known.union(more.select("start", "node"))
-        enter = reach.join(known, ["start", "node"], "left_anti").groupBy("start", "node").agg(
-            F.min_by(F.struct("parent", "step", "pos", "_s"), F.struct("pos", "_s", "step", "parent")).alias("b")).select("start", "node", "b.*")
-        last = front.groupBy("start").agg((F.max("pos") + 1).alias("_queued"))
-        ranked = row_index(enter, ["start"], ["pos", "_s", "step", "node"], "_r")
-        front = cut(ranked.join(last, "start").select("start", "node", "parent", "step", (F.col("_queued") + F.col("_r")).alias("pos")))
-        if front.isEmpty():
-            break
-        levels.append(front)
-        seen.append(front)
+    typed = cut(e.filter("src IS NOT NULL").select("src", "dst", F.lower("action").alias("act"), F.col(seq).alias("_s")).join(t, "dst").select(
+        "src", "dst", F.concat_ws("_", "act", "_t").alias("step"), "_s"))
+    adj = cut(typed.groupBy("src", "dst").agg(F.min_by("step", F.struct("_s", "step")).alias("step"), F.min("_s").alias("_s")))
+    names = adj.select(F.col("src").alias("name")).union(adj.select("dst")).distinct()
+    known = types.select(F.col("node").alias("name"), F.lit(True).alias("typed")).distinct()
+    nodes = cut(row_index(names, [], ["name"], "id").join(known, "name", "left").select("name", "id", F.coalesce("typed", F.lit(False)).alias("typed")))
+    steps = cut(row_index(typed.select("step").distinct(), [], ["step"], "code"))
+    src, dst = (nodes.select(F.col("name").alias(c), F.col("id").alias("_" + c)) for c in ("src", "dst"))
+    edges = cut(row_index(adj, [], ["src", "_s", "step", "dst"], "edge").join(src, "src").join(dst, "dst").join(steps, "step").select(
+        "edge", F.col("_src").alias("src"), F.col("_dst").alias("dst"), "code"))
+    sets = cut(typed.select("src", "step").distinct().join(src, "src").join(steps, "step").groupBy(
+        F.col("_src").alias("node"), F.expr("code div 64").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(code % 64 AS INT))")).alias("mask")))
+    return nodes, steps, edges, sets
+
+
+def causal_levels(nodes: DataFrame, steps: DataFrame, edges: DataFrame, max_depth: int | None = None, max_nodes: int | None = None,
+                  head: int = 64) -> Iterator[tuple[DataFrame, DataFrame]]:
+    """Breadth-first trees from every typed node of a ``numbered_graph``, a level at a time: rows (start, node, way, pos, path), texts (path, text).
+
+    From a start node only typed neighbours along out-edges are followed; each is entered once, by the earliest parent, then edge.
+    ``pos`` ascends along the start's queue; it is the place there with ``max_nodes``. All start nodes advance together, with or without a bound of depth. A row is some numbers:
+    equal paths share one, and a text is built once for a path. The way that enters a node is the least of one long, so most
+    edges of a level end in the map-side aggregate; nodes entered before take part with a lesser one. The first ``head`` nodes of a level
+    go before its others, as they enter most of what is left, and a start that has entered all targets of edges is done. The others get
+    a ``pos`` only where their start is not done by then, from a range-partitioned scan, so such a start is spread over tasks.
+    """
+    spark, one, zero = nodes.sparkSession, F.lit(1).cast("long"), F.lit(0).cast("long")
+    targets = cut(edges.select(F.col("dst").alias("start")).distinct())
+    every = targets.count()
+    degree = cut(edges.groupBy(F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("degree")))
+    starts = edges.select(F.col("src").alias("start")).distinct().join(nodes.filter("typed").select(F.col("id").alias("start")), "start", "left_semi")
+    own = targets.withColumn("own", F.lit(True))
+    front = cut(starts.select("start", F.col("start").alias("node"), zero.alias("way"), zero.alias("pos"), zero.alias("path")))
+    # nodes in a start's queue, and how many there may be
+    queue = cut(starts.join(own, "start", "left").select("start", one.alias("n"), (every + F.when(F.col("own"), 0).otherwise(1)).alias("most")))
+    texts = spark.range(1).select(F.col("id").alias("path"), F.lit("").alias("text"))
+    seen, depth = [front.select("start", "node")], 1
+    yield front, texts
+    while max_depth is None or depth < max_depth:
+        rows, words = [], []
+        for lead in (True, False):
+            with scratch(spark):
+                open_ = front.filter(F.col("pos").isNotNull() if lead else F.col("pos").isNull())
+                if max_nodes is not None:
+                    open_ = open_.filter(F.col("pos") < max_nodes)
+                open_ = cut(open_.join(queue.filter("n < most").select("start", "n"), "start"))
+                if open_.isEmpty():
+                    continue
+                if not lead:
+                    open_ = cut(row_index(open_, ["start"], ["way"], "_r").withColumn("pos", F.col("n") + F.col("_r")))
+                # few nodes may hold most edges, so the join is dealt by node and start, to tasks of some million ways
+                many = open_.join(degree, "node").agg(F.sum("degree")).first()[0] or 0
+                tasks = max(4 * spark.sparkContext.defaultParallelism, many // 4_000_000)
+                dealt = open_.withColumn("salt", F.pmod(F.xxhash64("start"), F.lit(SALTS))).repartition(tasks, "node", "salt")
+                out = edges.select(F.col("src").alias("node"), "dst", "edge", F.explode(F.sequence(zero, F.lit(SALTS - 1).cast("long"))).alias("salt"))
+                ways = dealt.join(out.repartition(tasks, "node", "salt").hint("shuffle_hash"), ["node", "salt"]).select(
+                    "start", F.col("dst").alias("node"), (F.shiftleft("pos", WAY) + F.col("edge")).alias("way"))
+                # of the nodes entered before, only those take part that these edges lead to
+                to = cut(edges.join(open_.select(F.col("node").alias("src")).distinct(), "src", "left_semi").select(F.col("dst").alias("node")).distinct())
+                for more in seen:
+                    ways = ways.union(more.join(to, "node", "left_semi").select("start", "node", F.lit(-1).cast("long")))
+                enter = cut(ways.groupBy("start", "node").agg(F.min("way").alias("way")).filter("way >= 0"))
+                if max_nodes is not None:
+                    placed = row_index(enter, ["start"], ["way"], "_r").join(queue, "start").withColumn("pos", F.col("n") + F.col("_r"))
+                elif lead:
+                    place = F.row_number().over(Window.partitionBy("start").orderBy("way"))
+                    first = enter.select("start", "way", place.alias("_r")).filter(F.col("_r") <= head).join(queue, "start").select(
+                        "start", "way", (F.col("n") + F.col("_r") - 1).alias("pos"))
+                    placed = enter.join(first, ["start", "way"], "left")
+                else:
+                    placed = enter.withColumn("pos", F.lit(None).cast("long"))
+                by = edges.select("edge", F.col("src").alias("parent"), "code")
+                up = open_.select("start", F.col("node").alias("parent"), F.col("path").alias("up"))
+                placed = placed.withColumn("edge", F.col("way").bitwiseAND((1 << WAY) - 1))
+                new = cut(placed.join(by, "edge").join(up, ["start", "parent"]).select("start", "node", "way", "pos", "up", "code"))
+                if new.isEmpty():
+                    continue
+                paths = cut(new.select("up", "code").distinct().withColumn("path", F.monotonically_increasing_id() * 2 + int(lead)))
+                before = texts.select(F.col("path").alias("up"), F.col("text").alias("before"))
+                words.append(keep(paths.join(before, "up").join(steps, "code").select(
+                    "path", F.when(F.col("before") == "", F.col("step")).otherwise(F.concat_ws("|", "before", "step")).alias("text"))))
+                rows.append(keep(new.join(paths, ["up", "code"]).select("start", "node", "way", "pos", "path")))
+                seen.append(rows[-1].select("start", "node"))
+                more = rows[-1].groupBy("start").agg(F.count(F.lit(1)).alias("more"))
+                queue = keep(queue.join(more, "start", "left").select("start", (F.col("n") + F.coalesce("more", zero)).alias("n"), "most"))
+        if not rows:
+            return
+        front, texts = rows[0], words[0]
+        for r, w in zip(rows[1:], words[1:], strict=True):
+            front, texts = front.union(r), texts.union(w)
+        depth += 1
+        yield front, texts
         if len(seen) > 8:  # a deep search keeps its plan short
-            whole = seen[0].select("start", "node")
+            whole = seen[0]
             for more in seen[1:]:
-                whole = whole.union(more.select("start", "node"))
+                whole = whole.union(more)
             seen = [cut(whole)]
-    tree = levels[0]
-    for more in levels[1:]:
-        tree = tree.union(more)
-    return tree
-
-
-def path_texts(tree: DataFrame) -> DataFrame:
-    """Paths of a ``causal_tree``: (start, node, path), the steps joined by '|', empty for the start.
-
-    Pointer doubling: a row knows the steps back to an ancestor, and every round joins it with that ancestor's row, so a path
-    of d steps is whole after log2(d) rounds.
-    """
-    rows = cut(tree.select("start", "node", F.col("parent").alias("anc"), "step"))
-    while not (open_ := rows.filter("anc IS NOT NULL")).isEmpty():
-        # where the ancestor is the start, its row has no steps and the path is whole
-        up = rows.select("start", F.col("node").alias("anc"), F.col("anc").alias("_a"), F.col("step").alias("_s"))
-        joined = open_.join(up, ["start", "anc"]).select("start", "node", F.col("_a").alias("anc"), F.concat_ws("|", "_s", "step").alias("step"))
-        rows = cut(rows.filter("anc IS NULL").union(joined))
-    return rows.select("start", "node", F.coalesce("step", F.lit("")).alias("path"))
 
 
 def causal_profiles(e: DataFrame, types: DataFrame, seq: str, max_depth: int | None = None,
-                    max_nodes: int | None = None) -> DataFrame:
+                    max_nodes: int | None = None, head: int = 64) -> DataFrame:
     """Distinct (node, pattern) of causal paths, breadth first from every typed node.
 
-    Every typed out-edge of every node of a start's ``causal_tree`` adds the path to it and its own step as a pattern. The search
-    of a node ends when nothing new is reached; ``max_depth`` bounds the steps of a pattern, ``max_nodes`` the expansions.
+    Every typed out-edge of every node of a start's tree (``causal_levels``) adds the path to it and its own step as a pattern. The search
+    of a node ends when nothing new is reached; ``max_depth`` bounds the steps of a pattern, ``max_nodes`` the expansions. The steps
+    out of all nodes with one path are joined as bits before a pattern becomes a row.
     """
-    tree = causal_tree(e, types, seq, max_depth, max_nodes)
-    paths = path_texts(tree)
-    if max_nodes is not None:
-        paths = paths.join(tree.filter(F.col("pos") < max_nodes).select("start", "node"), ["start", "node"])
-    t = types.select(F.col("node").alias("dst"), F.col("vtype").alias("_t"))
-    steps = e.join(t, "dst").select(F.col("src").alias("node"), F.concat_ws("_", F.lower("action"), "_t").alias("step")).distinct()
-    pattern = F.when(F.col("path") == "", F.col("step")).otherwise(F.concat_ws("|", "path", "step"))
-    return paths.join(steps, "node").select(F.col("start").alias("node"), pattern.alias("pattern")).distinct()
+    nodes, steps, edges, sets = numbered_graph(e, types, seq)
+    out = None
+    for front, texts in causal_levels(nodes, steps, edges, max_depth, max_nodes, head):
+        rows = front if max_nodes is None else front.filter(F.col("pos") < max_nodes)
+        found = rows.select("start", "node", "path").join(sets, "node").groupBy("start", "path", "word").agg(F.bit_or("mask").alias("mask"))
+        found = found.join(texts, "path").select("start", "text", "word", "mask")
+        out = found if out is None else out.union(found)
+    bits = F.expr("explode(filter(sequence(0L, 63L), b -> bit_get(mask, cast(b AS INT)) = 1))").alias("b")
+    out = out.select("start", "text", "word", bits).select("start", "text", (F.col("word") * 64 + F.col("b")).alias("code"))
+    pattern = F.when(F.col("text") == "", F.col("step")).otherwise(F.concat_ws("|", "text", "step"))
+    return out.join(steps, "code").join(nodes.select("name", F.col("id").alias("start")), "start").select(
+        F.col("name").alias("node"), pattern.alias("pattern")).distinct()
 
 
 def profile_matrix(profiles: DataFrame, max_patterns: int = 5000) -> DataFrame:
