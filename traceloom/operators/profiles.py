@@ -98,6 +98,8 @@ def causal_levels(nodes: DataFrame, steps: DataFrame, edges: DataFrame, max_dept
     a ``pos`` only where their start is not done by then, from a range-partitioned scan, so such a start is spread over tasks.
     """
     spark, one, zero = nodes.sparkSession, F.lit(1).cast("long"), F.lit(0).cast("long")
+    # only typed nodes are entered, so edges out of others lead nowhere
+    edges = cut(edges.join(nodes.filter("typed").select(F.col("id").alias("src")), "src", "left_semi"))
     targets = cut(edges.select(F.col("dst").alias("start")).distinct())
     every = targets.count()
     degree = cut(edges.groupBy(F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("degree")))
