@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 
 from traceloom.llm import chaining, minhash
+from traceloom.llm.common import grams, words
 
 RND = random.Random(11)
 VOCAB = ["w%d" % i for i in range(4000)]
@@ -124,3 +125,35 @@ def test_stages_on_clashing_columns_null_ids_and_empty_tables(spark):
         assert stage(spark, none, "/root/testdata/sf0.001").collect() == [], name
     packed = corpus_pipeline.pack(spark, docs, "")
     assert packed.count() == len(texts) and corpus_pipeline.pack(spark, none, "").count() == 0
+
+
+def test_texts_are_dealt_once(spark, monkeypatch):
+    """After the first shuffle, every join that reads texts reads them from buckets; the tables go with their scope."""
+    rnd = np.random.default_rng(5)
+    said = [" ".join(f"w{x}" for x in rnd.integers(0, 10**6, 120)) for _ in range(12)]
+    docs = spark.createDataFrame([(i, t if i % 3 else said[0][:400] + " " + t) for i, t in enumerate(said * 2)], "doc_id bigint, text string")
+    plans = []
+    for module in (chaining, minhash):
+        monkeypatch.setattr(module, "by_text", lambda df, fn, kind, f=module.by_text: plans.append(df._jdf.queryExecution().toString()) or f(df, fn, kind))
+    before, old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold"), {t.name for t in spark.catalog.listTables()}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert chaining.repeats(docs).count() >= 12
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    joins = [p for p in plans if "Join" in p.split("== Physical Plan ==")[1] and "FileScan" in p]
+    scans = [line for p in joins for line in p.splitlines() if "FileScan" in line and "text:string" in line]
+    assert len(joins) >= 3 and scans and all("Bucketed: true" in line for line in scans)
+    assert {t.name for t in spark.catalog.listTables()} == old
+
+
+def test_seeds_of_many_texts():
+    rnd = np.random.default_rng(6)
+    for _ in range(50):
+        texts = [" ".join(f"w{x}" for x in rnd.integers(0, rnd.choice([3, 500]), rnd.integers(0, rnd.choice([6, 20, 200])))).encode() for _ in range(6)]
+        h, at, _, _ = words(texts)
+        seed, pos, many = chaining.seeds_of(h, at)
+        own = [grams(h[i:j], chaining.K) if j - i >= chaining.K else h[:0] for i, j in zip(at[:-1], at[1:], strict=True)]
+        places = [chaining.minimizers(g, chaining.WINDOW) for g in own]
+        assert many.tolist() == [len(p) for p in places] and pos.tolist() == np.concatenate(places).tolist()
+        assert seed.tolist() == np.concatenate([g[p] for g, p in zip(own, places, strict=True)]).tolist()

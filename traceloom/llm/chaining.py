@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from traceloom.llm.common import by_text, chunks, cut, encoded, grams, words
-from traceloom.session import keep, scratch
+from traceloom.session import bucketed, buckets, keep, scratch
 
 K, WINDOW = 5, 12  # words in a seed, seeds in a window: 16 equal words share a seed
 GAP = 0.25  # cost of a word that a chain skips on either side
@@ -51,27 +51,52 @@ def spaced(seed: np.ndarray, pos: np.ndarray, apart: int) -> tuple[np.ndarray, n
     return s[keep], p[keep]
 
 
-def seeds(docs: DataFrame, k: int = K, window: int = WINDOW) -> DataFrame:
-    """(id, seed, pos): seeds of every whole text, at all their places; pos counts words."""
+def seeds_of(h: np.ndarray, at: np.ndarray, k: int = K, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``minimizers`` of many texts at once, whose words begin at ``at``: seeds, their places in their own text, and how many each text has."""
+    if len(h) < k:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(len(at) - 1, np.int64)
+    g = grams(h, k)
+    size = np.diff(at) - k + 1  # seeds that a text could have
+    n = max(len(g) - window + 1, 0)
+    best, place = g[:n].copy(), np.arange(n)
+    for i in range(1, window):
+        less = g[i:i + n] <= best
+        best[less] = g[i:i + n][less]
+        place[less] = np.flatnonzero(less) + i
+    wide = size > window
+    # a window counts that begins in a text and ends in it
+    edge = np.zeros(n + 1, np.int64)
+    np.add.at(edge, at[:-1][wide], 1)
+    np.add.at(edge, (at[:-1] + size - window + 1)[wide], -1)
+    place = place[np.cumsum(edge[:n]) > 0]
+    small = [i + int(np.argmin(g[i:i + m])) for i, m in zip(at[:-1][~wide].tolist(), size[~wide].tolist(), strict=True) if m > 0]
+    place = np.unique(np.concatenate([place, np.array(small, np.int64)]))
+    text = np.searchsorted(at, place, side="right") - 1
+    return g[place], place - at[text], np.bincount(text, minlength=len(at) - 1)
+
+
+def sown(rows: DataFrame) -> DataFrame:
+    """The numbered ``rows`` (id, text, m, other columns), with ``first``, the first document of the same text where that is another one, and the places and seeds
+    of all texts that are no copies (pos, seed: lists). Texts are dealt by id once and written in buckets; belongs to the scope outside."""
+    digests = cut(rows.filter("text is not null").select("id", "m"))
+    first = cut(digests.groupBy("m").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1"))
+    copies = cut(digests.join(first, "m").filter("id <> first").select("id", "first"))
+    n = buckets(rows)
+    dealt = rows.drop("m").repartition(n, "id").join(copies.hint("shuffle_hash"), "id", "left")
+    names = [*dealt.columns, "pos", "seed"]
+    at, copy = names.index("text"), names.index("first")
+
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        texts, row, seed, pos = encoded(b.column(1)), [], [], []
+        texts = [t if own else b"" for t, own in zip(encoded(b.column(at)), b.column(copy).is_null().to_pylist(), strict=True)]
+        seed, pos, many = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(1, np.int64)]
         for lo, hi in chunks(texts):
-            h, at, _, _ = words(texts[lo:hi])
-            for n, (i, j) in enumerate(zip(at[:-1], at[1:], strict=True)):
-                if j - i < k:
-                    continue
-                g = grams(h[i:j], k)
-                p = minimizers(g, window)
-                row.append(np.full(len(p), lo + n))
-                seed.append(g[p].view(np.int64))
-                pos.append(p)
-        if not row:
-            row, seed, pos = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        take = pa.array(np.concatenate(row))
-        return pa.RecordBatch.from_arrays([b.column(0).take(take), pa.array(np.concatenate(seed)), pa.array(np.concatenate(pos).astype(np.int32))],
-                                          ["id", "seed", "pos"])
-    kind = docs.schema["id"].dataType.simpleString()
-    return by_text(docs.select("id", "text"), run, f"id {kind}, seed bigint, pos int")
+            for out, x in zip((seed, pos, many), seeds_of(*words(texts[lo:hi])[:2]), strict=True):
+                out.append(x)
+        offsets = pa.array(np.cumsum(np.concatenate(many)).astype(np.int32))
+        lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (np.concatenate(pos).astype(np.int32), np.concatenate(seed).view(np.int64))]
+        return pa.RecordBatch.from_arrays([*b.columns, *lists], names)
+    kinds = ", ".join(f"{c} {t}" for c, t in dealt.dtypes)
+    return bucketed(by_text(dealt, run, f"{kinds}, pos array<int>, seed array<bigint>"), "id", n, outer=True)
 
 
 def runs(x: np.ndarray, y: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -296,38 +321,32 @@ def covering(pos: np.ndarray, source: np.ndarray, other: np.ndarray, least: int)
 def exact_runs(own: DataFrame, marked: DataFrame, found: DataFrame, least: int) -> DataFrame | None:
     """Runs of ``least`` words outside the passages ``found`` (id, start, end) that an earlier document has: (id, source, spans).
 
-    Each run points to the first document that has all of it, from the seeds ``marked`` (id, seed, pos, source: an earlier document
-    with the seed, or null). Only texts that have seeds of open runs are read. None if there is nothing to look for.
+    Each run points to the first document that has all of it. ``own`` (id, text, pos) has all texts and the places of all their seeds, ``marked`` (id, seed, pos,
+    source: an earlier document with the seed, or null) those that stand in several. Only texts with seeds of open runs are read. None if there is nothing to look for.
     """
     kind = own.schema["id"].dataType.simpleString()
-
-    def ranges(flag: Column, seeds: DataFrame, spans: DataFrame | None) -> DataFrame:
-        by_id = seeds.groupBy("id").agg(F.collect_list(F.struct("pos", "seed", flag.alias("f"))).alias("m"), F.sum(flag.cast("int")).alias("n"))
-        by_id = by_id.filter("n > 0").select("id", "m.pos", "m.seed", "m.f")
-        by_id = by_id.join(spans, "id", "left") if spans is not None else by_id.withColumn("a", F.lit(None).cast("array<bigint>")).withColumn("b", F.col("a"))
-
-        def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for f in frames:
-                out = []
-                for r in f.itertuples(index=False):
-                    pos, seed, flags = np.asarray(r.pos, np.int64), np.asarray(r.seed, np.int64), np.asarray(r.f, bool)
-                    t = open_runs(pos, flags, least, [] if r.a is None else list(zip(r.a.tolist(), r.b.tolist(), strict=True)))
-                    if len(t):
-                        # the first run that begins behind pos - (least - K) begins at pos or before: the seed lies inside it
-                        k = np.minimum(np.searchsorted(t, pos - (least - K)), len(t) - 1)
-                        inside = flags & (t[k] <= pos) & (t[k] >= pos - (least - K))
-                        out.append((r.id, t, np.unique(seed[inside])))
-                yield pd.DataFrame(out, columns=["id", "starts", "seeds"])
-        return cut(by_id.mapInPandas(run, f"id {kind}, starts array<bigint>, seeds array<bigint>"))
-
     spans = found.groupBy("id").agg(F.collect_list(F.struct("start", "end")).alias("s")).select("id", F.col("s.start").alias("a"), F.col("s.end").alias("b"))
-    searched = ranges(F.col("source").isNotNull(), marked.select("id", "seed", "pos", "source"), spans)
+    later = marked.filter("source is not null").groupBy("id").agg(F.collect_list(F.struct("pos", "seed")).alias("m")).select(
+        "id", F.col("m.pos").alias("own"), "m.seed").join(spans, "id", "left")
+
+    def searching(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            out = []
+            for r in f.itertuples(index=False):
+                every, pos, seed = np.asarray(r.pos, np.int64), np.asarray(r.own, np.int64), np.asarray(r.seed, np.int64)
+                t = open_runs(every, np.isin(every, pos), least, [] if r.a is None else list(zip(r.a.tolist(), r.b.tolist(), strict=True)))
+                if len(t):
+                    # the first run that begins behind pos - (least - K) begins at pos or before: the seed lies inside it
+                    k = np.minimum(np.searchsorted(t, pos - (least - K)), len(t) - 1)
+                    out.append((r.id, t, np.unique(seed[(t[k] <= pos) & (t[k] >= pos - (least - K))])))
+            yield pd.DataFrame(out, columns=["id", "starts", "seeds"])
+    searched = cut(own.select("id", "pos").join(later.hint("shuffle_hash"), "id").select("id", "pos", "own", "seed", "a", "b").mapInPandas(
+        searching, f"id {kind}, starts array<bigint>, seeds array<bigint>"))
     if searched.isEmpty():
         return None
-    wanted = cut(searched.select(F.explode("seeds").alias("seed")).distinct().withColumn("w", F.lit(True)))
-    flagged = marked.select("id", "seed", "pos").join(wanted, "seed", "left").withColumn("w", F.coalesce("w", F.lit(False)))
-    every = ranges(F.col("w"), flagged, None)
-    both = every.select("id", "starts").join(searched.select("id", F.col("starts").alias("open")), "id", "left")
+    wanted = cut(searched.select(F.explode("seeds").alias("seed")).distinct())
+    flagged = marked.select("id", "seed", "pos").join(wanted, "seed").groupBy("id").agg(F.collect_list("pos").alias("own"))
+    both = flagged.join(searched.select("id", F.col("starts").alias("open")), "id", "left")
 
     def hashed(b: pa.RecordBatch) -> pa.RecordBatch:
         row, gram, pos, opened = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, bool)]
@@ -335,7 +354,8 @@ def exact_runs(own: DataFrame, marked: DataFrame, found: DataFrame, least: int)
             h = words([text])[0]
             if len(h) < least:
                 continue
-            t, o = (np.array(b.column(c)[i].as_py() or [], np.int64) for c in (1, 2))
+            every, flags, o = (np.array(b.column(c)[i].as_py() or [], np.int64) for c in (1, 2, 4))
+            t = open_runs(every, np.isin(every, flags), least, [])
             t = t[t <= len(h) - least]
             row.append(np.full(len(t), i))
             gram.append(grams(h, least)[t].view(np.int64))
@@ -344,7 +364,7 @@ def exact_runs(own: DataFrame, marked: DataFrame, found: DataFrame, least: int)
         row, gram, pos, opened = (np.concatenate(x) for x in (row, gram, pos, opened))
         return pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row)), pa.array(gram), pa.array(pos.astype(np.int32)), pa.array(opened)],
                                           ["id", "gram", "pos", "open"])
-    run = cut(by_text(both.join(own, "id").select("id", "starts", "open", "text"), hashed, f"id {kind}, gram bigint, pos int, open boolean"))
+    run = cut(by_text(own.join(both.hint("shuffle_hash"), "id").select("id", "pos", "own", "text", "open"), hashed, f"id {kind}, gram bigint, pos int, open boolean"))
     # written, so that the join with a frequent run's one row can be split
     first = cut(run.groupBy("gram").agg(F.min(F.struct("id", "pos")).alias("s"), F.max("id").alias("last")).filter("s.id <> last").select(
         "gram", F.col("s.id").alias("source"), F.col("s.pos").alias("other")))
@@ -365,12 +385,17 @@ def exact_runs(own: DataFrame, marked: DataFrame, found: DataFrame, least: int)
 
 
 def numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """All rows in the order of (id, nulls last, text): columns c0, c1 ... of ``docs``, the text's md5, and ``row``, a
-    number that ascends in that order. Equal rows get numbers of their own. To be written once."""
+    """All rows: columns c0, c1 ... of ``docs``, the text's md5 m, and ``row``, a number that ascends in the order of (id, nulls last, text).
+
+    Whole numbers as ids, each in one row, are these numbers. Otherwise equal rows get numbers of their own, and the rows are written, into the scope outside.
+    """
     flat = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
     own, text = (f"c{docs.columns.index(c)}" for c in (id_col, text_col))
-    flat = flat.withColumn("m", F.md5(text)).withColumn("tie", F.monotonically_increasing_id())
-    return flat.orderBy(F.col(own).asc_nulls_last(), "m", "tie").drop("tie").withColumn("row", F.monotonically_increasing_id())
+    flat = flat.withColumn("m", F.md5(text))
+    if dict(flat.dtypes)[own] in ("tinyint", "smallint", "int", "bigint") and flat.groupBy(own).count().filter(F.col(own).isNull() | (F.col("count") > 1)).isEmpty():
+        return flat.withColumn("row", F.col(own).cast("long"))
+    flat = flat.withColumn("tie", F.monotonically_increasing_id())
+    return keep(flat.orderBy(F.col(own).asc_nulls_last(), "m", "tie").drop("tie").withColumn("row", F.monotonically_increasing_id()))
 
 
 def likely_passages(matches: DataFrame, least: int) -> DataFrame:
@@ -430,9 +455,10 @@ def verified(likely: DataFrame, own: DataFrame, least: int, alike: float) -> Dat
         take = pa.array(cols[0], pa.int64())
         return pa.RecordBatch.from_arrays([b.column(0).take(take), *[pa.array(cols[i], pa.int64()) for i in (1, 2)], b.column(1).take(take),
                                            *[pa.array(cols[i], pa.int64()) for i in (3, 4)], pa.array(cols[5], pa.float64())], NAMES)
-    needed = cut(likely.select("id").union(likely.select("source")).distinct())
-    texts = cut(own.join(needed, "id"))
-    both = likely.join(texts.select(F.col("id").alias("source"), F.col("text").alias("other")), "source").join(texts, "id")
+    # ``own`` is written in buckets: the pairs go to the texts of their sources, then with these to their own
+    texts = own.select("id", "text")
+    both = texts.select(F.col("id").alias("source"), F.col("text").alias("other")).join(likely.hint("shuffle_hash"), "source")
+    both = texts.join(both.hint("shuffle_hash"), "id")
     return keep(by_text(both.select("id", "source", "chains", "text", "other"), aligned,
                         "id bigint, start bigint, `end` bigint, source bigint, source_start bigint, source_end bigint, alike double"))
 
@@ -474,20 +500,22 @@ def may_reach(one: np.ndarray, dist: int, many: np.ndarray, dists: np.ndarray, l
     side: with its loss of at most 12 it goes on only to two equal words that begin within 8 words, shifted by one at most.
     A chain with a seed outside the run has a pair of seeds that leaves the run, and that pair is not left out.
     """
-    ends = []
-    more = np.zeros(len(many), bool)
-    rows, ahead = np.arange(len(many))[:, None], np.arange(10)[None]
-    for half in (slice(0, SIDE), slice(SIDE, 2 * SIDE)):
-        a, b = one[half], many[:, half]
-        same = (b == a) & (a != 0)
-        n = np.where(same.all(axis=1), SIDE, np.argmin(same, axis=1))
-        ends.append(n)
-        i = np.minimum(n[:, None] + ahead, SIDE - 1)
-        for shift in (-1, 0, 1):
-            hit = (a[i] == b[rows, np.clip(i + shift, 0, SIDE - 1)]) & (a[i] != 0)
-            more |= (hit[:, :-1] & hit[:, 1:]).any(axis=1)
-    long = (ends[0] + ends[1] >= least) | (np.maximum(*ends) > SIDE - 12)
-    return more | long | (dists != dist) | (ends[1] < dist + K)
+    def equal(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Words in common, as bits of one number for each half of the windows."""
+        return np.packbits((a == b) & (a != 0), axis=1, bitorder="little").view("<u8")
+    one, out = np.broadcast_to(one, many.shape), dists != dist
+    left = np.flatnonzero(~out)
+    a, b = (x[left].reshape(-1, SIDE) for x in (one, many))
+    same = equal(a, b).reshape(-1, 2)
+    # bits below the lowest one that is not set
+    n = np.bitwise_count(same & ~(same + np.uint64(1))).astype(np.int64)
+    far = (n.sum(axis=1) >= least) | (n.max(axis=1) > SIDE - 12) | (n[:, 1] < np.broadcast_to(dist, len(many))[left] + K)
+    # two equal words that follow each other, with the same shift
+    near = np.zeros(same.shape, np.uint64)
+    for x, by in ((same, 0), (equal(a[:, :-1], b[:, 1:]).reshape(-1, 2), 0), (equal(a[:, 1:], b[:, :-1]).reshape(-1, 2), 1)):
+        near |= (x & (x >> np.uint64(1))) << np.uint64(by)
+    out[left[far | ((near >> np.minimum(n, SIDE - 1).astype(np.uint64)) & np.uint64(0x1FF)).any(axis=1)]] = True
+    return out
 
 
 def pairs_in_blocks(rows: DataFrame, own: DataFrame, least: int) -> DataFrame:
@@ -510,7 +538,7 @@ def pairs_in_blocks(rows: DataFrame, own: DataFrame, least: int) -> DataFrame:
         flat = [pa.array([x for c in b.column(n).to_pylist() for x in c], t) for n, t in ((1, pa.int64()), (3, pa.int32()), (4, pa.bool_()), (5, pa.int32()))]
         return pa.RecordBatch.from_arrays([b.column(0).take(row), *flat, pa.array(out, pa.binary())], ["id", "key", "d", "open", "blocks", "w"])
     lists = rows.groupBy("id").agg(F.collect_list(F.struct("key", "p", "d", "open", "blocks")).alias("m")).select("id", "m.key", "m.p", "m.d", "m.open", "m.blocks")
-    seen = by_text(lists.join(own, "id").select("id", "key", "p", "d", "open", "blocks", "text"), windows,
+    seen = by_text(own.select("id", "text").join(lists.hint("shuffle_hash"), "id").select("id", "key", "p", "d", "open", "blocks", "text"), windows,
                    "id bigint, key bigint, d int, open boolean, blocks int, w binary")
     seen = cut(seen.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")))
     # a block meets every block, itself included
@@ -518,19 +546,30 @@ def pairs_in_blocks(rows: DataFrame, own: DataFrame, least: int) -> DataFrame:
         "key", F.least("block", "x").alias("g"), F.greatest("block", "x").alias("other")).agg(
         F.collect_list(F.struct("id", "d", "open", "block", "w")).alias("m")).filter(F.size("m") > 1)
 
-    def compared(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            out = [np.zeros((0, 2), np.int64)]
-            for r in f.itertuples(index=False):
-                ids, dists, block = np.asarray(r.id), np.asarray(r.d), np.asarray(r.block)
-                w = np.frombuffer(b"".join(r.w), np.uint32).reshape(-1, 2 * SIDE)
-                for i in np.flatnonzero(np.asarray(r.open, bool)):
-                    earlier = np.flatnonzero((ids < ids[i]) & ((block != block[i]) | (r.g == r.other)))
-                    if len(earlier):
-                        hit = ids[earlier[may_reach(w[i], int(dists[i]), w[earlier], dists[earlier], least)]]
-                        out.append(np.stack([np.full(len(hit), ids[i]), hit], axis=1))
-            yield pd.DataFrame(np.concatenate(out), columns=["id", "source"])
-    return meet.select("g", "other", "m.id", "m.d", "m.open", "m.block", "m.w").mapInPandas(compared, "id bigint, source bigint").distinct()
+    def compared(b: pa.RecordBatch) -> pa.RecordBatch:
+        many = b.column(2).value_lengths().to_numpy()
+        group = np.repeat(np.arange(len(many)), many)
+        ids, dists, open_, block = (b.column(c).flatten().to_numpy(zero_copy_only=False) for c in (2, 3, 4, 5))
+        order = np.lexsort((ids, group))
+        ids, dists, open_, block = ids[order], dists[order], open_[order], block[order]
+        w = np.frombuffer(b"".join(b.column(6).flatten().to_pylist()), np.uint32).reshape(-1, 2 * SIDE)[order]
+        own = (b.column(0).to_numpy() == b.column(1).to_numpy())[group]
+        begin = np.repeat(np.cumsum(many) - many, many)
+        # an open row meets all rows of its key before it, some thousand pairs at a time
+        at = np.flatnonzero(open_)
+        before = at - begin[at]
+        slab = np.cumsum(before) // (1 << 12)
+        out = [np.zeros((0, 2), np.int64)]
+        for lo, hi in zip(*(np.searchsorted(slab, np.unique(slab), side=k) for k in ("left", "right")), strict=True):
+            i = np.repeat(at[lo:hi], before[lo:hi])
+            j = np.arange(len(i)) - np.repeat(np.cumsum(before[lo:hi]) - before[lo:hi], before[lo:hi]) + begin[i]
+            met = (block[i] != block[j]) | own[i]
+            i, j = i[met], j[met]
+            hit = may_reach(w[i], dists[i], w[j], dists[j], least)
+            out.append(np.unique(np.stack([ids[i[hit]], ids[j[hit]]], axis=1), axis=0))
+        pairs = np.unique(np.concatenate(out), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["id", "source"])
+    return by_text(meet.select("g", "other", "m.id", "m.d", "m.open", "m.block", "m.w"), compared, "id bigint, source bigint").distinct()
 
 
 def further_sources(own: DataFrame, hits: DataFrame, later: DataFrame, found: DataFrame, least: int, alike: float) -> list[DataFrame]:
@@ -553,11 +592,11 @@ def further_sources(own: DataFrame, hits: DataFrame, later: DataFrame, found: Da
 
     def joined(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            out = [pd.DataFrame({"id": [], "key": [], "p": [], "d": [], "open": []})]
+            out = [(np.zeros(0, np.int64),) * 4 + (np.zeros(0, bool),)]
             for r in f.itertuples(index=False):
                 key, p, d, both = pairs_of_seeds(np.asarray(r.pos, np.int64), np.asarray(r.seed, np.int64), np.asarray(r.f, bool))
-                out.append(pd.DataFrame({"id": r.id, "key": key, "p": p, "d": d, "open": both}))
-            yield pd.concat(out[1:] or out)
+                out.append((np.full(len(key), r.id), key, p, d, both))
+            yield pd.DataFrame(dict(zip(["id", "key", "p", "d", "open"], map(np.concatenate, zip(*out, strict=True)), strict=True)))
     rows = cut(places.mapInPandas(joined, kind))
     common = cut(rows.groupBy("key").agg(F.min("id").alias("least"), F.max(F.when(F.col("open"), F.col("id"))).alias("last")).filter("last > least").select("key", "last"))
     rows = cut(rows.join(common, "key").filter("id <= last").select("id", "key", "p", "d", "open"))
@@ -597,30 +636,28 @@ def further_sources(own: DataFrame, hits: DataFrame, later: DataFrame, found: Da
     return out
 
 
-def passages_of(rows: DataFrame, least: int, alike: float) -> DataFrame:
-    """Columns NAMES for rows (id, text, m) of numbered documents; ids and sources are their numbers. Written by ``keep``."""
-    with scratch(rows.sparkSession):
-        base = rows.filter("text is not null")
-        first = cut(base.groupBy("m").agg(F.min("id").alias("source"), F.count(F.lit(1)).alias("n")).filter("n > 1"))
-        copies = cut(base.select("id", "m").join(first, "m").filter("id <> source").select("id", "source"))
-        own = base.select("id", "text").join(copies.select("id"), "id", "left_anti")
-        with scratch(rows.sparkSession):
-            hits = cut(seeds(own))
+def passages_of(table: DataFrame, least: int, alike: float) -> DataFrame:
+    """Columns NAMES for the documents of ``sown``; ids and sources are their numbers. Written by ``keep``."""
+    spark = table.sparkSession
+    with scratch(spark):
+        own = table.filter("first is null and text is not null").select("id", "text", "pos", "seed")
+        with scratch(spark):
+            hits = own.select("id", F.inline(F.arrays_zip("seed", "pos")))
             # first document of each seed that stands in two or more
             shared = cut(hits.groupBy("seed").agg(F.min(F.struct("id", "pos")).alias("s"), F.max("id").alias("last")).filter("s.id <> last").select(
                 "seed", F.col("s.id").alias("source"), F.col("s.pos").alias("other")))
             earlier = F.col("source") < F.col("id")
-            marked = keep(hits.join(shared, "seed", "left").select("id", "seed", "pos", F.when(earlier, F.col("source")).alias("source"), "other"))
+            marked = keep(hits.join(shared, "seed").select("id", "seed", "pos", F.when(earlier, F.col("source")).alias("source"), "other"))
         later = marked.filter("source is not null")
-        with scratch(rows.sparkSession):
+        with scratch(spark):
             found = verified(likely_passages(later.select("id", "pos", "source", "other", F.lit(True).alias("fresh")), least), own, least, alike)
-        with scratch(rows.sparkSession):
+        with scratch(spark):
             rest = exact_runs(own, marked, found.select("id", "start", "end"), least)
             if rest is not None:
                 rest = verified(rest, own, least, alike)
         if rest is not None:
             found = found.union(rest)
-        with scratch(rows.sparkSession):
+        with scratch(spark):
             all_found = found
             for more in further_sources(own, marked.select("id", "seed", "pos"), later.select("id", "seed", "pos"), found, least, alike):
                 all_found = all_found.union(more)
@@ -629,7 +666,8 @@ def passages_of(rows: DataFrame, least: int, alike: float) -> DataFrame:
         def counted(b: pa.RecordBatch) -> pa.RecordBatch:
             n = [len(t.split()) for t in encoded(b.column(2))]
             return pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64())], ["id", "source", "n"])
-        whole = by_text(base.join(copies, "id").select("id", "source", "text"), counted, "id bigint, source bigint, n bigint")
+        copies = table.filter("first is not null").select("id", F.col("first").alias("source"), "text")
+        whole = by_text(copies, counted, "id bigint, source bigint, n bigint")
         zero = F.lit(0).cast("long")
         return keep(found.union(whole.filter(F.col("n") >= least).select("id", zero, "n", "source", zero, "n", F.lit(1.0))))
 
@@ -645,8 +683,10 @@ def repeats(docs: DataFrame, least: int = 50, alike: float = 0.8, id_col: str =
     gives an empty table. Other columns are not read.
     """
     with scratch(docs.sparkSession):
-        rows = cut(numbered(docs.select(id_col, text_col), id_col, text_col))
-        found = passages_of(rows.select(F.col("row").alias("id"), F.col("c1").alias("text"), "m"), least, alike)
+        with scratch(docs.sparkSession):
+            rows = numbered(docs.select(id_col, text_col), id_col, text_col)
+            table = sown(rows.select(F.col("row").alias("id"), F.col("c1").alias("text"), "m"))
+        found = passages_of(table, least, alike)
         own, other = (rows.select(F.col("row").alias(k), F.col("c0").alias("_" + k)) for k in ("id", "source"))
         return keep(found.join(own, "id").join(other, "source").select(
             F.col("_id").alias(id_col), "start", "end", F.col("_source").alias("source"), "source_start", "source_end", "alike"))
@@ -658,11 +698,12 @@ def without_repeats(docs: DataFrame, least: int = 50, alike: float = 0.8, id_col
     White space before a passage goes with it. Texts without such a passage are unchanged, null stays null. Every row is a
     document of its own, as in ``repeats``: of equal rows the first keeps its text. An empty table stays empty.
     """
+    at = docs.columns.index(text_col)
     with scratch(docs.sparkSession):
-        rows = keep(numbered(docs, id_col, text_col))
-        at = docs.columns.index(text_col)
-        spans = keep(passages_of(rows.select(F.col("row").alias("id"), F.col(f"c{at}").alias("text"), "m"), least, alike)
-                     .groupBy(F.col("id").alias("row")).agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans")))
+        with scratch(docs.sparkSession):
+            rows = numbered(docs, id_col, text_col)
+        table = sown(rows.withColumnsRenamed({f"c{at}": "text", "row": "id"}))
+        spans = keep(passages_of(table, least, alike).groupBy("id").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans")))
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         out = []
@@ -682,4 +723,5 @@ def without_repeats(docs: DataFrame, least: int = 50, alike: float = 0.8, id_col
         return pa.RecordBatch.from_arrays([pa.array(out, pa.string()) if i == at else c for i, c in enumerate(b.columns[:-1])], flat)
     flat = [f"c{i}" for i in range(len(docs.columns))]
     types = ", ".join(f"{c} {t}" for c, (_, t) in zip(flat, docs.dtypes, strict=True))
-    return by_text(rows.join(spans, "row", "left").select(*flat, "spans"), run, types).toDF(*docs.columns)
+    cut_out = table.join(spans.hint("shuffle_hash"), "id", "left").withColumnRenamed("text", f"c{at}")
+    return by_text(cut_out.select(*flat, "spans"), run, types).toDF(*docs.columns)
