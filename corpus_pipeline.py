@@ -30,12 +30,12 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     flat = [f"c{i}" for i in range(len(docs.columns))]
     own, text = (flat[docs.columns.index(c)] for c in ("doc_id", "text"))
     with scratch(spark):
-        rows = keep(docs.toDF(*flat).withColumn("id", F.monotonically_increasing_id()))
+        rows = minhash.numbered(docs.toDF(*flat), outer=True)
         # the operator links rows; the one kept of a component is the first by its document's id
         linked = minhash.linked(rows.select("id", F.col(text).alias("text"))).join(rows.select("id", F.col(own).alias("own")), "id")
         first = F.min_by("id", F.struct(F.col("own").isNull(), "own", "id"))
         kept = keep(linked.groupBy("component").agg(first.alias("id")).select("id"))
-    return rows.join(kept, "id", "left_semi").select(*flat).toDF(*docs.columns)
+    return rows.join(kept.hint("shuffle_hash"), "id", "left_semi").select(*flat).toDF(*docs.columns)
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -138,7 +138,7 @@ def test_texts_are_dealt_once(spark, monkeypatch):
     before, old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold"), {t.name for t in spark.catalog.listTables()}
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        assert chaining.repeats(docs).count() >= 12
+        assert chaining.repeats(docs).count() >= 12 and minhash.near_duplicates(docs).count() == 24
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     joins = [p for p in plans if "Join" in p.split("== Physical Plan ==")[1] and "FileScan" in p]

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from traceloom.llm.common import by_text, chunks, components, cut, encoded, grams, mix, words
-from traceloom.session import keep, scratch
+from traceloom.session import bucketed, buckets, keep, scratch
 
 _TABLES: dict[tuple[int, int, int], tuple[np.ndarray, np.ndarray]] = {}
 _BLOCK = 8192  # shingles of one document that are looked up at once
@@ -86,7 +86,9 @@ def verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFr
             keep.append(bool(len(x) and len(y)) and 100 * both >= percent * (len(x) + len(y) - both))
         return pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(keep))
     kind = pairs.schema["a"].dataType.simpleString()
-    full = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
+    # ``texts`` are written in buckets: the pairs go to the texts of a, then with these to those of b
+    full = left.join(pairs.hint("shuffle_hash"), "a")
+    full = right.join(full.hint("shuffle_hash"), "b").select("a", "b", "text_a", "text_b")
     return by_text(full, run, f"a {kind}, b {kind}")
 
 
@@ -112,7 +114,7 @@ def crossed(members: DataFrame, texts: DataFrame, sizes: DataFrame, n: int, perc
     sides = F.when(F.col("block1") == F.col("block2"), F.array(F.struct(F.lit(3).alias("side"), F.col("reps1").alias("reps")))).otherwise(
         F.array(F.struct(F.lit(1).alias("side"), F.col("reps1").alias("reps")), F.struct(F.lit(2).alias("side"), F.col("reps2").alias("reps"))))
     rows = met.select("block1", "block2", F.inline(sides)).select("block1", "block2", "side", F.explode("reps").alias("rep"))
-    rows = rows.join(texts.select(F.col("id").alias("rep"), "text"), "rep").join(place.select("rep", "c"), "rep")
+    rows = texts.select(F.col("id").alias("rep"), "text").join(rows.hint("shuffle_hash"), "rep").join(place.select("rep", "c"), "rep")
 
     def compare(t: pa.Table) -> pa.Table:
         rep, side = t.column("rep").combine_chunks(), t.column("side").to_numpy()
@@ -146,8 +148,14 @@ def crossed(members: DataFrame, texts: DataFrame, sizes: DataFrame, n: int, perc
     return rows.groupBy("block1", "block2").applyInArrow(compare, f"a {kind}, b {kind}")
 
 
+def numbered(docs: DataFrame, outer: bool = False) -> DataFrame:
+    """``docs`` with a number ``id`` for each row, written in buckets by it, so that joins with texts move only their other side."""
+    n = buckets(docs)
+    return bucketed(docs.withColumn("id", F.monotonically_increasing_id()).repartition(n, "id"), "id", n, outer)
+
+
 def linked(base: DataFrame, n: int = 5, percent: int = 75, bands: int = 64, rows: int = 6, hub_rounds: int = 2) -> DataFrame:
-    """(id, n_shingles, component) of rows (id, text) whose ids are unique numbers: the smallest id reachable over links.
+    """(id, n_shingles, component) of rows (id, text) whose ids are unique numbers, as ``numbered`` writes them: the smallest id reachable over links.
 
     Equal sets are one vertex from the start, known by two 64-bit sums and their size, so copies cost nothing further.
     """
@@ -162,7 +170,7 @@ def linked(base: DataFrame, n: int = 5, percent: int = 75, bands: int = 64, rows
     crowd = cut(member.groupBy("band").agg(F.count(F.lit(1)).alias("n")))
     heavy = member.join(crowd, "band").groupBy("rep").agg(F.sum("n").alias("buckets"))
     group = cut(heavy.join(classes.select("rep", "n_shingles"), "rep").withColumn("c", F.col("rep")))
-    texts = cut(base.join(group.select(F.col("rep").alias("id")), "id"))
+    texts = base.select("id", "text")
     size_a, size_b = (group.select(F.col("rep").alias(c), F.col("n_shingles").alias("n_" + c)) for c in "ab")
     rank = group.select("rep", "buckets")
     tested = links = None
@@ -205,7 +213,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 75, bands: int =
     empty table. Other columns are not read.
     """
     with scratch(docs.sparkSession):
-        base = cut(docs.select(F.col(id_col).alias("own"), F.col(text_col).alias("text")).withColumn("id", F.monotonically_increasing_id()))
+        base = numbered(docs.select(F.col(id_col).alias("own"), F.col(text_col).alias("text")))
         found = cut(linked(base.select("id", "text"), n, percent, bands, rows, hub_rounds).join(base.select("id", "own"), "id"))
         least = cut(found.groupBy("component").agg(F.min("own").alias("least"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"))
         out = found.join(least, "component", "left").select(
