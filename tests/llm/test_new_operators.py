@@ -131,6 +131,29 @@ def test_ranges_leave_subtrees_out(vectors):
     assert index.reach(probes).count() < 0.35 * probes.count() * index.tree.leaves
 
 
+def test_a_probe_is_written_once_for_a_bundle(spark):
+    """Where nothing can be left out, probes are repeated for bundles, not for leaves; the driver gets the sample, not a sample of every split."""
+    rng = np.random.default_rng(4)
+    df = spark.createDataFrame([(i, v.tolist(), i % 3) for i, v in enumerate(rng.normal(size=(3000, 16)) / 4)], "vec_id bigint, embedding array<float>, label int").repartition(12)
+    whole = hard_negatives.whole_vectors(df, 256, "vec_id", "embedding", "label", F.col("vec_id") % 10 == 0)
+    index = hard_negatives.Index(whole, leaf_rows=20, fanout=6, block=500)
+    low, high = F.array(F.lit(-(1 << 40)).cast("long")), F.array(F.lit(1 << 40).cast("long"))
+    reached = index.reach(index.homes.select("row", "label", "v", low.alias("low"), high.alias("high")))
+    assert index.tree.leaves > 10 * index.bundles and reached.count() == 300 * index.bundles
+    assert reached.agg(F.sum(F.size("leaves"))).first()[0] == 300 * index.tree.leaves
+    assert max(r["count"] for r in index.blocks.groupBy("bundle").count().collect()) <= 500 and index.blocks.count() == 3000
+    assert 100 <= hard_negatives.low_hashes(whole, 3000, 100).count() <= 260
+
+
+def test_first_scores_keep_order():
+    rng = np.random.default_rng(5)
+    score, ok, row = rng.integers(0, 6, (40, 300)).astype(float), rng.random((40, 300)) < .8, rng.permutation(300)
+    ok[:3] = False
+    i, j = hard_negatives.first_scores(score, ok, row, 4)
+    want = [(a, b) for a in range(40) for b in sorted(np.flatnonzero(ok[a]), key=lambda b: (-score[a, b], row[b]))[:4]]
+    assert list(zip(i.tolist(), j.tolist())) == [(a, int(b)) for a, b in want]
+
+
 def test_hard_negatives_empty(vectors):
     assert hard_negatives.hard_negatives(vectors[1].limit(0), F.col("vec_id") % 100 == 0).count() == 0
     assert hard_negatives.hard_negatives(vectors[1], F.lit(None).cast("boolean")).count() == 0

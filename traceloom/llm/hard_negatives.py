@@ -7,8 +7,8 @@ lengths less twice the product. Where the distances that the annulus allows to a
 sibling, the sibling's subtree is left out. What remains are leaves, which are compared exactly.
 
 The split points are fitted on a bounded sample; all vectors are routed, and the ranges are minima and maxima over all of them.
-Leaves are packed into blocks of a bounded number of vectors, so a leaf of copies is many blocks, and blocks of vectors meet blocks
-of anchors in an equi-join by leaf.
+Neighbouring leaves are put into bundles of a bounded number of vectors, so a leaf of copies is many bundles. An anchor is written
+once for every bundle with a leaf that is open to it, and vectors are dealt by bundle once.
 """
 
 from __future__ import annotations
@@ -23,14 +23,16 @@ from pyspark.sql import functions as F
 
 from traceloom.llm.common import by_text, cut
 from traceloom.operators.common import top_rows
+from traceloom.session import bucketed, keep, scratch
 
 LIMIT = 1 << 26  # components from here on (after scaling) are not searchable
 LOWEST, HIGHEST = -(1 << 62), 1 << 62  # beyond every score
+BUNDLE = 8 << 20  # bytes of vectors that a task holds at once
 
 
 def whole_vectors(rows: DataFrame, scale: int, id_col: str, vector_col: str, label_col: str, anchors: Column) -> DataFrame:
     """Usable rows as (row, id, label, anchor, v, top): v the bytes of floor(scale * component) as 32-bit integers, top the largest
-    of their amounts, row a number of its own."""
+    of their amounts, row a number of its own that ascends with the id, nulls last."""
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         at, out, top = [], [], []
         for i, v in enumerate(b.column(3).to_pylist()):
@@ -48,7 +50,9 @@ def whole_vectors(rows: DataFrame, scale: int, id_col: str, vector_col: str, lab
     base = rows.filter(F.col(label_col).isNotNull() & F.col(vector_col).isNotNull()).select(
         F.col(id_col).alias("id"), F.col(label_col).cast("string").alias("label"), F.coalesce(anchors, F.lit(False)).alias("anchor"), F.col(vector_col).alias("v"))
     kind = dict(base.dtypes)["id"]
-    return cut(by_text(base, run, f"id {kind}, label string, anchor boolean, v binary, top bigint").withColumn("row", F.monotonically_increasing_id()))
+    whole = by_text(base, run, f"id {kind}, label string, anchor boolean, v binary, top bigint")
+    # the hash spreads rows of one id over the parts of the sort
+    return cut(whole.orderBy(F.asc_nulls_last("id"), F.xxhash64("v")).withColumn("row", F.monotonically_increasing_id()))
 
 
 def _matrix(column: Iterable[bytes], dim: int, exact: bool) -> np.ndarray:
@@ -166,23 +170,21 @@ class Tree:
 
 
 class Index:
-    """Every vector in a leaf block of the tree, and the tree with the ranges of all vectors."""
+    """Every vector in a leaf of the tree and a bundle of leaves, and the tree with the ranges of all vectors."""
 
     def __init__(self, vectors: DataFrame, sample_rows: int = 16_384, leaf_rows: int = 512, fanout: int = 16, block: int = 1024):
         facts = vectors.agg(F.count(F.lit(1)).alias("n"), F.max(F.length("v")).alias("d"), F.max("top").alias("top")).first()
         dim, largest = (facts["d"] or 0) // 4, facts["top"] or 0
-        # at most sample_rows rows, drawn by hash
-        drawn = [bytes(r["v"]) for r in vectors.orderBy(F.xxhash64("v", "row")).limit(sample_rows).select("v").collect()]
         exact = dim * largest ** 2 < 1 << 51
         if dim * largest ** 2 >= 1 << 54:
             raise ValueError("inner products of these vectors do not fit 64 bits")
         self.kind, self.vectors = dict(vectors.dtypes)["id"], vectors
+        # at most sample_rows rows, drawn by hash
+        drawn = [bytes(r["v"]) for r in low_hashes(vectors, facts["n"], sample_rows).orderBy("h").limit(sample_rows).select("v").collect()]
         self.tree = Tree.fit(_matrix(drawn, dim, exact), exact, facts["n"], leaf_rows, fanout)
-        self.block = block
         placed = self._placed()
         self._measure(placed)
-        self.blocks = self._pack(placed.filter("node is null"))
-        self.homes = placed.filter("anchor").select("row", "label", "v", "leaf")
+        self._bundle(placed, facts["n"], dim, block)
 
     def _placed(self) -> DataFrame:
         """Vectors with their leaf, and beside them one row of ranges for each (node, child) that a task has met."""
@@ -216,57 +218,75 @@ class Index:
             else:
                 self.tree.short[node][child], self.tree.long[node][child] = r["low"], r["high"]
 
-    def _pack(self, placed: DataFrame) -> DataFrame:
-        size = placed.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / self.block).cast("int").alias("parts"))
-        one = F.struct(F.col("id").isNull().alias("none"), "id", "row", "label", "v")
-        spread = placed.join(size, "leaf").withColumn("part", F.pmod(F.xxhash64("row"), F.col("parts")).cast("int"))
-        return cut(spread.groupBy("leaf", "part").agg(F.array_sort(F.collect_list(one)).alias("rows")))
+    def _bundle(self, placed: DataFrame, n: int, dim: int, block: int) -> None:
+        """Deal the vectors by bundle: neighbouring leaves of about ``block`` rows at least, and a larger leaf as many bundles as it needs.
+
+        A probe is written once for every bundle, so bundles grow with the table, to as many rows as fill ``BUNDLE``.
+        """
+        spark = placed.sparkSession
+        rows = placed.filter("node is null")
+        most = max(block, min(BUNDLE // (4 * max(dim, 1)), -(-n // (4 * spark.sparkContext.defaultParallelism))))
+        self.first, self.parts = np.zeros(self.tree.leaves, np.int64), np.ones(self.tree.leaves, np.int64)
+        full, own = 0, 0  # bundles that are closed, rows in the open one
+        for leaf, size in sorted(map(tuple, rows.groupBy("leaf").count().collect())):  # as many rows as the tree has leaves
+            if own and own + size > most:
+                full, own = full + 1, 0
+            self.first[leaf] = full
+            if size > most:
+                self.parts[leaf] = -(-size // most)
+                full += int(self.parts[leaf])
+            else:
+                own += size
+        self.bundles = full + (own > 0)
+        at = spark.createDataFrame([(i, int(f), int(p)) for i, (f, p) in enumerate(zip(self.first, self.parts, strict=True))], "leaf int, first int, parts int")
+        dealt = rows.join(at, "leaf").withColumn("bundle", (F.col("first") + F.pmod(F.xxhash64("row"), F.col("parts"))).cast("int"))
+        buckets = max(1, min(self.bundles, 10_000))
+        self.blocks = bucketed(dealt.select("bundle", "leaf", "row", "label", "v").repartition(buckets, "bundle"), "bundle", buckets)
+        own = F.explode(F.expr("sequence(first, first + parts - 1)"))
+        self.homes = rows.filter("anchor").select("row", "label", "v", "leaf")
+        self.at_home = self.homes.join(at, "leaf").select("row", "label", "v", own.alias("bundle"), F.array("leaf").alias("leaves"))
 
     def best(self, probes: DataFrame, same: bool, n: int) -> DataFrame:
-        """The first ``n`` rows by (score descending, id, row) of every window of every probe, in the leaves named.
+        """The first ``n`` rows by (score descending, row) of every window of every probe, in the leaves named.
 
-        ``probes``: row, label, v, leaf, low, high (arrays of bigint, one entry for each window). ``same``: rows of the probe's
-        label other than itself, else rows of other labels. Returns probe, window, score, id, row.
+        ``probes``: row, label, v, low, high (arrays of bigint, one entry for each window), bundle, leaves (those open in the bundle).
+        ``same``: rows of the probe's label other than itself, else rows of other labels. Returns probe, window, score, row.
         """
-        tree, kind = self.tree, self.kind
-        # anchors of a leaf in blocks of about 256
-        size = probes.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / 256).cast("int").alias("parts"))
-        packed = probes.join(size, "leaf").withColumn("part", F.pmod(F.xxhash64("row"), F.col("parts")).cast("int")).groupBy("leaf", "part").agg(
-            F.collect_list(F.struct("row", "label", "v", "low", "high")).alias("probes"))
-        # both sides grow with the data, and Spark's estimate does not see that probes are repeated for every leaf: no broadcast
-        pairs = packed.select("leaf", "probes").join(self.blocks.select("leaf", "rows").hint("merge"), "leaf").select("probes", "rows")
-
-        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                id_type = batch.schema.field(1).type.value_type.field("id").type
-                for i in range(batch.num_rows):
-                    a, b = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
-                    x, y = _matrix([r["v"] for r in a], tree.dim, tree.exact), _matrix([r["v"] for r in b], tree.dim, tree.exact)
-                    score = x @ y.T
-                    order = np.argsort(-score, axis=1, kind="stable")  # rows of a block stand by id
-                    score = np.take_along_axis(score, order, 1)
-                    _, code = np.unique([r["label"] for r in a] + [r["label"] for r in b], return_inverse=True)
-                    fits = (code[:len(a), None] == code[len(a):][order]) == same
+        tree = self.tree
+        names = ["probe", "window", "score", "row"]
+
+        def run(a: pa.Table, b: pa.Table) -> pa.Table:
+            out = [(np.zeros(0, np.int64),) * 4]
+            if a.num_rows and b.num_rows:
+                x, y = (_matrix(t.column("v").to_pylist(), tree.dim, tree.exact) for t in (a, b))
+                code = np.unique(a.column("label").to_pylist() + b.column("label").to_pylist(), return_inverse=True)[1]
+                number, row, leaf = a.column("row").to_numpy(), b.column("row").to_numpy(), b.column("leaf").to_numpy()
+                low, high, leaves = (a.column(c).to_pylist() for c in ("low", "high", "leaves"))
+                most = max(map(len, low))
+                low, high = (np.array([[*w, *[none] * (most - len(w))] for w in side], np.int64).reshape(len(side), most) for side, none in ((low, HIGHEST), (high, LOWEST)))
+                together = sorted(range(len(x)), key=lambda i: leaves[i])
+                for at in range(0, len(x), 128):
+                    p = np.array(together[at:at + 128])
+                    cols = np.flatnonzero(np.isin(leaf, np.unique(np.concatenate([leaves[i] for i in p]))))
+                    score = x[p] @ y[cols].T
+                    fits = (code[p][:, None] == code[len(x):][cols]) == same
                     if same:
-                        number = np.array([r["row"] for r in b])
-                        fits &= number[order] != np.array([r["row"] for r in a])[:, None]
-                    for w in range(max((len(r["low"]) for r in a), default=0)):
-                        low, high = (np.array([r[c][w] if w < len(r[c]) else none for r in a])[:, None] for c, none in (("low", HIGHEST), ("high", LOWEST)))
-                        ok = fits & (score >= low) & (score <= high)
-                        p, at = np.nonzero(ok & (np.cumsum(ok, axis=1) <= n))
-                        if len(p):
-                            q = order[p, at]
-                            yield pa.RecordBatch.from_arrays(
-                                [pa.array([a[k]["row"] for k in p], pa.int64()), pa.array(np.full(len(p), w, np.int32)), pa.array(score[p, at].astype(np.int64)),
-                                 pa.array([b[k]["id"] for k in q], id_type), pa.array([b[k]["row"] for k in q], pa.int64())],
-                                ["probe", "window", "score", "id", "row"])
-
-        found = pairs.mapInArrow(run, f"probe bigint, window int, score bigint, id {kind}, row bigint")
-        return top_rows(found, ["probe", "window"], [F.desc("score"), F.asc_nulls_last("id"), F.col("row")], n)
+                        fits &= number[p][:, None] != row[cols]
+                    for w in range(most):
+                        ok = fits & (score >= low[p, w][:, None]) & (score <= high[p, w][:, None])
+                        i, j = first_scores(score, ok, row[cols], n)
+                        out.append((number[p[i]], np.full(len(i), w), score[i, j].astype(np.int64), row[cols[j]]))
+            columns = [np.concatenate(c) for c in zip(*out, strict=True)]
+            return pa.table([pa.array(c.astype(t)) for c, t in zip(columns, (np.int64, np.int32, np.int64, np.int64), strict=True)], names)
+
+        vectors = self.blocks.groupBy("bundle")
+        found = probes.select("bundle", "row", "label", "v", "low", "high", "leaves").groupBy("bundle").cogroup(vectors).applyInArrow(
+            run, "probe bigint, window int, score bigint, row bigint")
+        return top_rows(found, ["probe", "window"], [F.desc("score"), F.col("row")], n)
 
     def reach(self, probes: DataFrame) -> DataFrame:
-        """Probes (row, label, v, low, high) repeated for every leaf that the ranges leave open for one of their windows."""
-        tree = self.tree
+        """Probes (row, label, v, low, high) repeated for every bundle with leaves that the ranges leave open for one of their windows."""
+        tree, first, parts, bundles = self.tree, self.first, self.parts, max(self.bundles, 1)
 
         def run(b: pa.RecordBatch) -> pa.RecordBatch:
             low, high = b.column(3).to_pylist(), b.column(4).to_pylist()
@@ -274,16 +294,44 @@ class Index:
             lo, hi = (np.array([[*w, *[none] * (most - len(w))] for w in side], np.float64).reshape(len(side), most)
                       for side, none in ((low, HIGHEST), (high, LOWEST)))
             x = _matrix(b.column(2).to_pylist(), tree.dim, tree.exact)
-            at, leaf = [], []
+            keys, sizes, leaves = [], [], []
             for i in range(0, len(x), 256):
-                p, q = tree.open_leaves(x[i:i + 256], lo[i:i + 256], hi[i:i + 256])
-                at.append(p + i)
-                leaf.append(q)
-            at, leaf = np.concatenate(at), np.concatenate(leaf)
-            take = pa.array(at)
-            return pa.RecordBatch.from_arrays([*[c.take(take) for c in b.columns], pa.array(leaf.astype(np.int32))], [*b.schema.names, "leaf"])
+                at, leaf = tree.open_leaves(x[i:i + 256], lo[i:i + 256], hi[i:i + 256])
+                times = parts[leaf]
+                part = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+                key = np.repeat((at + i) * bundles + first[leaf], times) + part
+                order = np.argsort(key, kind="stable")
+                key, size = np.unique(key[order], return_counts=True)
+                keys.append(key)
+                sizes.append(size)
+                leaves.append(np.repeat(leaf, times)[order])
+            keys, ends = np.concatenate(keys), np.concatenate(([0], np.cumsum(np.concatenate(sizes))))
+            take = pa.array(keys // bundles)
+            lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(np.concatenate(leaves).astype(np.int32)))
+            return pa.RecordBatch.from_arrays([*[c.take(take) for c in b.columns], pa.array((keys % bundles).astype(np.int32)), lists], [*b.schema.names, "bundle", "leaves"])
         return by_text(probes.select("row", "label", "v", "low", "high"), run,
-                       "row bigint, label string, v binary, low array<bigint>, high array<bigint>, leaf int")
+                       "row bigint, label string, v binary, low array<bigint>, high array<bigint>, bundle int, leaves array<int>")
+
+
+def low_hashes(vectors: DataFrame, n: int, most: int) -> DataFrame:
+    """Vectors (v, h) of ``n`` whose hash h is among the lowest: ``most`` of them and a margin.
+
+    Of an ordered ``limit`` alone the driver gets as many rows as the limit from every split.
+    """
+    hashed = vectors.select("v", F.pmod(F.xxhash64("v", "row"), F.lit(1 << 40)).alias("h"))
+    return hashed.filter(F.col("h") < int((most + 8 * most ** .5) / n * (1 << 40))) if n > most else hashed
+
+
+def first_scores(score: np.ndarray, ok: np.ndarray, row: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places (i, j) of the first ``n`` scores of every line by (score descending, row) among those that are ``ok``."""
+    if ok.shape[1] > n and ok.sum() > 8 * n * len(ok):
+        least = -np.inf if score.dtype.kind == "f" else np.iinfo(score.dtype).min
+        ok = ok & (score >= np.partition(np.where(ok, score, least), -n, axis=1)[:, -n][:, None])  # all that tie with the last one stay
+    i, j = np.nonzero(ok)
+    order = np.lexsort((row[j], -score[i, j], i))
+    i, j = i[order], j[order]
+    place = np.arange(len(i)) - np.searchsorted(i, i)
+    return i[place < n], j[place < n]
 
 
 def hard_negatives(rows: DataFrame, anchors: Column, positives: int = 5, negatives: int = 5, low: int = 80, high: int = 100, scale: int = 256,
@@ -300,27 +348,29 @@ def hard_negatives(rows: DataFrame, anchors: Column, positives: int = 5, negativ
     rows are rows of their own, so an anchor's copy may be its positive. A null anchor condition is no anchor. Fewer positives or
     negatives give fewer rows, none of them a null row. Other columns are not read; an empty table gives no rows.
     """
-    vectors = whole_vectors(rows, scale, id_col, vector_col, label_col, anchors)
-    index = Index(vectors, **tree)
-    least, most = F.lit(LOWEST), F.array(F.lit(HIGHEST))
-    # the last positive found at home bounds the first search
-    home = index.best(index.homes.select("*", F.array(least).alias("low"), most.alias("high")), True, positives)
-    bound = cut(home.groupBy("probe").agg(F.min("score").alias("bound"), F.count(F.lit(1)).alias("n")).filter(F.col("n") == positives))
-    probes = index.homes.join(bound.select(F.col("probe").alias("row"), "bound"), "row", "left").select(
-        "row", "label", "v", F.array(F.coalesce("bound", least)).alias("low"), most.alias("high"))
-    first = cut(index.best(index.reach(probes), True, positives))
-    # one window for each positive; a negative score leaves none open unless the bounds are equal or crossed
-    pair = F.struct(F.col("score").alias("s"), "id", F.col("row").alias("r"))
-    wanted = first.groupBy("probe").agg(F.array_sort(F.collect_list(pair)).alias("positives"))
-    # whole numbers: the next above low * s / 100 and the next below high * s / 100
-    up = F.expr(f"transform(positives, p -> (p.s * {low}) div 100 + if((p.s * {low}) % 100 > 0, 1, 0))")
-    down = F.expr(f"transform(positives, p -> (p.s * {high}) div 100 - if((p.s * {high}) % 100 < 0, 1, 0))")
-    wanted = cut(wanted.join(index.homes.select(F.col("row").alias("probe"), "label", "v"), "probe").select(
-        F.col("probe").alias("row"), "label", "v", "positives", up.alias("low"), down.alias("high")))
-    found = index.best(index.reach(wanted), False, negatives)
-    rank = F.row_number().over(Window.partitionBy("probe", "window").orderBy(F.desc("score"), F.asc_nulls_last("id"), "row")).cast("int")
-    ids = vectors.filter("anchor").select(F.col("row").alias("probe"), F.col("id").alias("anchor_id"))
-    named = found.withColumn("rank", rank).join(wanted.select(F.col("row").alias("probe"), "positives"), "probe").join(ids, "probe")
-    positive = F.col("positives")[F.col("window")]
-    return named.select("anchor_id", positive["id"].alias("positive_id"), "rank", F.col("id").alias("negative_id"),
-                        positive["s"].cast("long").alias("positive_score"), F.col("score").alias("negative_score"))
+    with scratch(rows.sparkSession):
+        vectors = whole_vectors(rows, scale, id_col, vector_col, label_col, anchors)
+        index = Index(vectors, **tree)
+        least, most = F.lit(LOWEST), F.array(F.lit(HIGHEST))
+        # the last positive found at home bounds the first search
+        home = index.best(index.at_home.select("*", F.array(least).alias("low"), most.alias("high")), True, positives)
+        bound = cut(home.groupBy("probe").agg(F.min("score").alias("bound"), F.count(F.lit(1)).alias("n")).filter(F.col("n") == positives))
+        probes = index.homes.join(bound.select(F.col("probe").alias("row"), "bound"), "row", "left").select(
+            "row", "label", "v", F.array(F.coalesce("bound", least)).alias("low"), most.alias("high"))
+        first = cut(index.best(index.reach(probes), True, positives))
+        # one window for each positive; a negative score leaves none open unless the bounds are equal or crossed
+        pair = F.struct(F.col("score").alias("s"), F.col("row").alias("r"))
+        wanted = first.groupBy("probe").agg(F.array_sort(F.collect_list(pair)).alias("positives"))
+        # whole numbers: the next above low * s / 100 and the next below high * s / 100
+        up = F.expr(f"transform(positives, p -> (p.s * {low}) div 100 + if((p.s * {low}) % 100 > 0, 1, 0))")
+        down = F.expr(f"transform(positives, p -> (p.s * {high}) div 100 - if((p.s * {high}) % 100 < 0, 1, 0))")
+        wanted = cut(wanted.join(index.homes.select(F.col("row").alias("probe"), "label", "v"), "probe").select(
+            F.col("probe").alias("row"), "label", "v", "positives", up.alias("low"), down.alias("high")))
+        found = index.best(index.reach(wanted), False, negatives)
+        rank = F.row_number().over(Window.partitionBy("probe", "window").orderBy(F.desc("score"), "row")).cast("int")
+        positive = F.col("positives")[F.col("window")]
+        named = cut(found.withColumn("rank", rank).join(wanted.select(F.col("row").alias("probe"), "positives"), "probe").select(
+            "probe", positive["r"].alias("positive"), "rank", "row", positive["s"].cast("long").alias("positive_score"), F.col("score").alias("negative_score")))
+        for at, name in (("probe", "anchor_id"), ("positive", "positive_id"), ("row", "negative_id")):
+            named = named.join(vectors.select(F.col("row").alias(at), F.col("id").alias(name)), at)
+        return keep(named.select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score"))
