@@ -78,6 +78,56 @@ def test_causal_levels_in_numbers(spark, head=2):
     assert front.filter("pos is not null").groupBy("start").count().agg({"count": "max"}).first()[0] <= head
 
 
+@pytest.mark.parametrize("bounds", [{}, {"max_depth": 2}, {"max_nodes": 5}])
+def test_causal_search_in_tasks(spark, monkeypatch, bounds):
+    """Starts searched in tasks give the patterns of the search in tables, and no row of a tree is written or moved."""
+    from traceloom.operators import causal_search as S
+    rng = np.random.default_rng(6)
+    rows = [(i, f"n{a}", f"n{b}", f"EVENT_{c}") for i, (a, b, c) in enumerate(zip(rng.integers(0, 40, 150), rng.integers(0, 40, 150), rng.integers(0, 90, 150)))]
+    rows += [(200 + i, f"n{41 + i}", f"n{42 + i}", "") for i in range(12)] + [(300, None, "n1", "EVENT_1"), (301, "n1", "n1", "EVENT_2|t1")]
+    e = spark.createDataFrame(rows, "log_idx long, src string, dst string, action string")
+    kinds = spark.createDataFrame([(f"n{i}", f"t{i % 3}") for i in range(60) if i % 7] + [("n1", "t1|t2")], "node string, vtype string")
+    want = sorted(map(tuple, P.causal_profiles(e, kinds, "log_idx", **bounds, held=0).collect()))
+    for name, most in (("EDGES", 3), ("TEXTS", 50), ("ROWS", 40)):
+        monkeypatch.setattr(S, name, most)
+    with monkeypatch.context() as m:
+        m.setattr(P, "causal_levels", None)  # not called
+        got = P.causal_profiles(e, kinds, "log_idx", **bounds)
+    assert sorted(map(tuple, got.collect())) == want and len(want) > 300
+
+
+def test_causal_search_of_a_hub():
+    """Levels beyond one chunk of edges, from either side, enter nodes in the order of a queue."""
+    from traceloom.operators.causal_search import Search
+    rng = np.random.default_rng(3)
+    # starts to hubs, hubs to many, many back to hubs: bipartite as logs are
+    src = np.concatenate([rng.integers(0, 300, 1500), rng.integers(300, 330, 9000)])
+    dst = np.concatenate([rng.integers(300, 330, 1500), rng.integers(0, 300, 9000)])
+    src, dst = (x[np.sort(np.unique(src * 1000 + dst, return_index=True)[1])] for x in (src, dst))
+    order = np.lexsort((rng.random(len(src)), src))
+    src, dst, code = src[order].astype(np.int32), dst[order].astype(np.int32), rng.integers(0, 70, len(order)).astype(np.int32)
+    sets = {}
+    for s, c in zip(src.tolist(), code.tolist()):
+        sets[s, c // 64] = sets.get((s, c // 64), 0) | 1 << c % 64
+    sets = np.array([[s, w, m - (1 << 64) * (m >= 1 << 63)] for (s, w), m in sets.items()], np.int64).T
+    search = Search([np.stack([src, dst, code])[:, i:i + 700].tobytes() for i in range(0, len(src), 700)], [sets.tobytes()], [f"s{i}".encode() for i in range(70)])
+    out = {}
+    for a, b, c in zip(src.tolist(), dst.tolist(), code.tolist()):
+        out.setdefault(a, []).append((b, c))
+    for start in (0, 7, 305):
+        search.add(start, str(start))
+        got = [p for b in search.rows() for p in b.column(1).to_pylist()]
+        paths, queue, want = {start: ""}, [start], set()
+        for node in queue:
+            for b, c in out.get(node, []):
+                text = f"{paths[node]}|s{c}" if paths[node] else f"s{c}"
+                want.add(text)
+                if b not in paths:
+                    paths[b] = text
+                    queue.append(b)
+        assert len(got) == len(set(got)) and set(got) == want and len(queue) > 300
+
+
 def test_split_parts(spark, small):
     rows, e = small
     from pyspark.sql import functions as F

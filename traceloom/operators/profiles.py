@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from traceloom.operators.causal_search import Search
 from traceloom.operators.common import top_rows, with_group_stats
 from traceloom.operators.ordered import row_index
 from traceloom.session import cut, keep, scratch
@@ -61,6 +64,7 @@ def one_hop_profiles(e: DataFrame, types: DataFrame, untyped: DataFrame | None)
 
 
 SALTS = 16  # parts of a node's starts
+HELD = 20 << 20  # edges and steps of nodes of a graph that a task holds whole, some 20 bytes each
 WAY = 31  # bits of an edge's number in a way: a place in the queue and an edge, which sort as one long
 
 
@@ -173,14 +177,21 @@ def causal_levels(nodes: DataFrame, steps: DataFrame, edges: DataFrame, max_dept
 
 
 def causal_profiles(e: DataFrame, types: DataFrame, seq: str, max_depth: int | None = None,
-                    max_nodes: int | None = None, head: int = 64) -> DataFrame:
+                    max_nodes: int | None = None, head: int = 64, held: int = HELD) -> DataFrame:
     """Distinct (node, pattern) of causal paths, breadth first from every typed node.
 
-    Every typed out-edge of every node of a start's tree (``causal_levels``) adds the path to it and its own step as a pattern. The search
-    of a node ends when nothing new is reached; ``max_depth`` bounds the steps of a pattern, ``max_nodes`` the expansions. The steps
-    out of all nodes with one path are joined as bits before a pattern becomes a row.
+    Every typed out-edge of every node of a start's tree adds the path to it and its own step as a pattern. The search
+    of a node ends when nothing new is reached; ``max_depth`` bounds the steps of a pattern, ``max_nodes`` the expansions.
+
+    A graph of up to ``held`` edges and steps of nodes goes to every task, which searches its starts one by one (``causal_search.Search``), so
+    no tree is ever a table. A larger graph is searched in tables (``causal_levels``): a row for every pair of a start and a node it
+    reaches, and the steps out of all nodes with one path are joined as bits before a pattern becomes a row.
     """
     nodes, steps, edges, sets = numbered_graph(e, types, seq)
+    own = nodes.filter("typed").select(F.col("id").alias("src"))
+    sizes = [edges.count(), sets.count(), steps.agg(F.coalesce(F.sum(F.octet_length("step") + 64), F.lit(0))).first()[0] // 16]
+    if sum(sizes) <= held:
+        return _held_profiles(nodes, steps, edges.join(own, "src", "left_semi"), sets.join(own, F.col("node") == F.col("src"), "left_semi"), max_depth, max_nodes)
     out = None
     for front, texts in causal_levels(nodes, steps, edges, max_depth, max_nodes, head):
         rows = front if max_nodes is None else front.filter(F.col("pos") < max_nodes)
@@ -194,6 +205,54 @@ def causal_profiles(e: DataFrame, types: DataFrame, seq: str, max_depth: int | N
         F.col("name").alias("node"), pattern.alias("pattern")).distinct()
 
 
+def _held_profiles(nodes: DataFrame, steps: DataFrame, edges: DataFrame, sets: DataFrame, max_depth: int | None, max_nodes: int | None) -> DataFrame:
+    """``causal_profiles`` with the whole graph in every task: the graph goes to as many tasks as twice the cores, starts are dealt among them."""
+    tasks = 2 * nodes.sparkSession.sparkContext.defaultParallelism
+    # in the order of their numbers, a batch in one row: kind, its place, its columns as bytes
+    ordered = edges.repartitionByRange("edge").sortWithinPartitions("edge")
+    part = "kind int, at bigint, data binary"
+    graph = ordered.select("edge", "src", "dst", "code").mapInArrow(_in_rows(0, np.int32), part).union(
+        sets.select(F.monotonically_increasing_id().alias("at"), "node", "word", "mask").mapInArrow(_in_rows(1, np.int64), part)).union(
+        steps.select(F.lit(2).alias("kind"), F.col("code").alias("at"), F.encode("step", "UTF-8").alias("data")))
+    # one plan is read by every task, so it is written once
+    graph = cut(graph).select(F.explode(F.sequence(F.lit(0), F.lit(tasks - 1))).alias("task"), "kind", "at", "data")
+    starts = edges.select(F.col("src").alias("id")).distinct().join(nodes.select("id", "name"), "id").select(
+        F.pmod(F.xxhash64("id"), F.lit(tasks)).cast("int").alias("task"), F.lit(3).alias("kind"), F.col("id").alias("at"), F.encode("name", "UTF-8").alias("data"))
+    dealt = graph.union(starts).repartitionById(tasks, "task").sortWithinPartitions("task", "kind", "at")
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: list[list] = [[], [], []]
+        search = None
+        for b in batches:
+            kinds, at, data = b.column(1).to_numpy(), b.column(2).to_pylist(), b.column(3)
+            for i, kind in enumerate(kinds.tolist()):
+                if kind < 3:
+                    if search is not None:  # the graph of another task, whose rows follow here
+                        yield from search.rows()
+                        search, parts = None, [[], [], []]
+                    parts[kind].append(data[i].as_py())
+                else:
+                    if search is None:
+                        search, parts = Search(*parts, max_depth, max_nodes), [[], [], []]
+                    search.add(at[i], data[i].as_py().decode())
+                    if search.full:
+                        yield from search.rows()
+        if search is not None:
+            yield from search.rows()
+
+    return dealt.mapInArrow(run, "node string, pattern string")
+
+
+def _in_rows(kind: int, width: type) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Batches of numbers as one row each: kind, the first number of the first column, the other columns as bytes."""
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                data = np.stack([c.to_numpy(zero_copy_only=False).astype(width) for c in b.columns[1:]]).tobytes()
+                yield pa.RecordBatch.from_arrays([pa.array([kind], pa.int32()), pa.array([b.column(0)[0].as_py()], pa.int64()), pa.array([data], pa.binary())], ["kind", "at", "data"])
+    return run
+
+
 def profile_matrix(profiles: DataFrame, max_patterns: int = 5000) -> DataFrame:
     """Wide 0/1 matrix with one column per pattern in sorted order, for small vocabularies.
 
